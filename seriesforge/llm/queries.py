@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, sharding
+from pyspark.sql import functions as F
+
+from . import decontamination, exact_dedup, language_id, license_scan, mixing, sharding, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -42,6 +44,11 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN n
 """
 
 
+@_query
+def op4_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_source_mixing(spark, sf_dir):
     cols = ["doc_id", "size", "source_size", "target", "taken"]
@@ -90,3 +97,18 @@ WINDOW g AS (PARTITION BY h)
 @_query
 def op9_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs), keep=("doc_id",))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op10_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_license_scan"] = license_scan.oracle_sql()

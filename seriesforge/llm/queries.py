@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, license_scan, mixing, sharding, simhash
+from . import decontamination, exact_dedup, language_id, license_scan, mixing, sharding, simhash, substring_dedup
 from .common import table
 
 QUERIES: dict = {}
@@ -44,6 +44,23 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN n
 """
 
 
+@_query
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS h FROM s),
+r AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS n FROM h) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM r),
+k AS (SELECT d.doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+j AS (SELECT k.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY k.i) AS line FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.i = k.i WHERE g.i IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)
+"""
+
+
 @_query
 def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, lead, materialise, n_words
+from .common import NOT_ALNUM, broadcast_if_small, lead, materialise, n_words
 from .postings import MAX_BROADCAST, postings, term_counts, with_words
 
 WINDOW = 8
@@ -68,21 +68,25 @@ def proximity_matches(index: DataFrame, wins: DataFrame, signature: DataFrame) -
     return anchors.where(F.size(F.array_except("win_words", "near")) == 0).select("row", "win", "pos")
 
 
-def _covered(spans: Column) -> Column:
-    """Words in the union of sorted (start, end) spans."""
-    zero = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
-    return F.aggregate(
-        spans,
-        zero,
-        lambda a, s: F.struct(F.greatest(a["upto"], s["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["upto"]))).alias("n")),
-        lambda a: a["n"],
-    )
+def _merged(spans: Column) -> Column:
+    """Sorted (start, end) spans with those that touch made one."""
+    span = "struct<start:int,end:int>"
+    zero = F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(None).cast(span).alias("now"))
 
+    def step(a, s):
+        s = F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))
+        apart = a["now"].isNull() | (s["start"] > a["now"]["end"])
+        wider = F.struct(a["now"]["start"].alias("start"), F.greatest(a["now"]["end"], s["end"]).alias("end"))
+        done = F.when(apart & a["now"].isNotNull(), F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
+        return F.struct(done.alias("done"), F.when(apart, s).otherwise(wider).alias("now"))
 
-def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, items: int = ITEMS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
+    return F.aggregate(spans, zero, step, lambda a: F.concat(a["done"], F.array(a["now"])))
 
-    n_near counts the windows with a proximity match.
+
+def judge(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """files (row, doc_id, text_hash, n_words), hits (row, spans, items), near (row, n_near).
+
+    The last two have only rows with a hit; spans are disjoint word ranges, items sorted ids.
     """
     wins = materialise(windows(tests, window), "windows")
     counts = term_counts(docs, wins.select(F.explode("win_words").alias("term")).distinct())
@@ -91,15 +95,46 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, items
     found = phrase_matches(index, wins, signature)
     span = F.struct("start", (F.col("start") + F.col("len")).alias("end"))
     found = found.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("win").alias("wins"))
-    found = materialise(found, "found")
+    found = materialise(found.withColumn("spans", _merged(F.col("spans"))), "found")
     items_of = broadcast_if_small(wins.select("win", "item_ids"), MAX_BROADCAST)
-    listed = found.select("row", F.explode("wins").alias("win")).join(items_of, "win").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
+    listed = found.select("row", "spans", F.explode("wins").alias("win")).join(items_of, "win").groupBy("row").agg(
+        F.first("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items")
+    )
     near = proximity_matches(index, wins, signature).groupBy("row").agg(F.count_distinct("win").alias("n_near"))
+    return index.where(F.col("term").isNull()).select("row", "doc_id", "text_hash", "n_words"), listed, near
+
+
+def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, items: int = ITEMS) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
+
+    n_near counts the windows with a proximity match.
+    """
+    files, hits, near = judge(docs, tests, window)
     none = F.array().cast("array<string>")
-    rows = index.where(F.col("term").isNull()).select("row", "doc_id", "n_words")
-    df = rows.join(found.select("row", _covered(F.col("spans")).alias("n_hit")), "row", "left").join(listed, "row", "left").join(near, "row", "left")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    df = files.join(hits, "row", "left").join(near, "row", "left")
     df = df.withColumn("items", F.coalesce("items", none)).withColumn("n_items", F.size("items").cast("long"))
     return df.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "doc_id", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_items") >= items).alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
     )
+
+
+def clean(docs: DataFrame, tests: DataFrame, window: int = WINDOW, items: int = ITEMS) -> DataFrame:
+    """``docs`` without contaminated documents; from the others the hit words are cut, with the
+    separators after them, and n_chars, where there is such a column, is counted anew."""
+    files, hits, _ = judge(docs, tests, window)
+    key = {"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "k_null": F.col("doc_id").isNull()}
+    hits = files.join(hits, "row").withColumns(key).groupBy("k_id", "k_null", "text_hash").agg(F.first("spans").alias("cuts"), (F.max(F.size("items")) >= items).alias("contaminated"))
+    hits = materialise(hits, "hits")
+    few = (hits.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= 2 * MAX_BROADCAST
+    keyed = docs.withColumns({**key, "text_hash": F.xxhash64("text")})
+    df = keyed.join(F.broadcast(hits) if few else hits.hint("merge"), list(key) + ["text_hash"], "left").where("contaminated is null or not contaminated")
+    # Each piece is a word and what follows it, so piece i holds word i.
+    pieces = F.regexp_extract_all("text", F.lit(f"([^{NOT_ALNUM[1:-2]}]+{NOT_ALNUM[:-1]}*)"), F.lit(1))
+    kept = F.filter(pieces, lambda p, i: ~F.exists("cuts", lambda s: (i >= s["start"]) & (i < s["end"])))
+    cut = F.concat(F.regexp_extract("text", f"^{NOT_ALNUM[:-1]}*", 0), F.concat_ws("", kept))
+    df = df.withColumn("text", F.when(F.col("cuts").isNotNull(), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        df = df.withColumn("n_chars", F.when(F.col("cuts").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return df.select(*docs.columns)

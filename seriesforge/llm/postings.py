@@ -29,17 +29,17 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_id") -> DataFrame:
-    """row, doc_id, n_words, term, pos, near_from, near: a row for every occurrence of a term.
+    """row, doc_id, text_hash, n_words, term, pos, near_from, near: a row for every occurrence of a term.
 
     ``near`` holds the words from ``near_from`` on, up to ``reach`` words on either side, for
     terms whose ``wide`` is true, else null. Every document has one more row, whose term and pos are
-    null and which carries n_words. ``row`` numbers the rows of ``docs``; it is fixed
+    null and which carries n_words and text_hash. ``row`` numbers the rows of ``docs``; it is fixed
     only once the result is written.
     """
     keyed = terms.select("term", F.xxhash64("term").alias("h"), "wide").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"), F.xxhash64(F.lit("")).alias("h"), F.lit(False).alias("wide")))
     keyed = broadcast_if_small(keyed, MAX_BROADCAST)
-    df = with_words(docs.select(F.col(id_col).alias("doc_id"), "text")).withColumn("row", F.monotonically_increasing_id())
-    df = df.select("row", "doc_id", "words", F.posexplode("words").alias("i", "w")).withColumn("h", F.xxhash64("w"))
+    df = with_words(docs.select(F.col(id_col).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))).withColumn("row", F.monotonically_increasing_id())
+    df = df.select("row", "doc_id", "text_hash", "words", F.posexplode("words").alias("i", "w")).withColumn("h", F.xxhash64("w"))
     df = df.join(keyed, "h").where("w = term and (w <> '' or i = size(words) - 1)")
     pos = F.col("i") - lead(F.col("words"))
     start = F.greatest(pos - reach, F.lit(0))
@@ -47,6 +47,7 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_i
     return df.select(
         "row",
         "doc_id",
+        F.when(~real, F.col("text_hash")).alias("text_hash"),
         F.when(~real, pos).cast("long").alias("n_words"),
         F.when(real, F.col("w")).alias("term"),
         F.when(real, pos).alias("pos"),

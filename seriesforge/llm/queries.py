@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, license_scan, mixing, sharding, simhash, substring_dedup
+from . import decontamination, exact_dedup, html_extract, language_id, license_scan, mixing, sharding, simhash, substring_dedup
 from .common import table
 
 QUERIES: dict = {}
@@ -63,7 +63,12 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(kept, 0) A
 
 @_query
 def op4_simhash(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@_query
+def op5_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 @_query

@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialise
+from .common import attach, broadcast_if_small, materialise
 
 SHINGLE = 4
 DISTANCE = 4
+#: Up to so many rows to drop are broadcast, else joined by a shuffle.
+MAX_BROADCAST = 500_000
 SEED = 42
 #: Segments of the ring as (lowest bit, number of bits).
 RING = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -59,14 +61,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed number) of every row."""
+    """doc_id, text_hash, fp (the 64 bits as a signed number) of every row."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return df.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def ring_keys(fps: np.ndarray) -> np.ndarray:
@@ -176,11 +179,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id."""
+    """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id, text_hash."""
     rows = materialise(fingerprints(docs, shingle), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
     found = components(links(nodes.select("fp")))
     classes = nodes.join(found, nodes.fp == found.node, "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = materialise(classes.join(least, "root").select("fp", "n", "component_id"), "classes")
-    return attach(rows, classes, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return attach(rows, classes, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest doc_id.
+
+    Of components whose rows all have a null doc_id, one row of each different text stays.
+    """
+    found = near_duplicates(docs, shingle)
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), "text_hash"]
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(*key).distinct()
+    gone = broadcast_if_small(materialise(gone, "gone"), MAX_BROADCAST)
+    keyed = docs.withColumns({"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "k_null": F.col("doc_id").isNull(), "text_hash": F.xxhash64("text")})
+    kept = keyed.join(gone, ["k_id", "k_null", "text_hash"], "left_anti")
+    counts = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if counts[0] != counts[1]:
+        kept = kept.dropDuplicates(["k_id", "k_null", "text_hash"])
+    return kept.select(*docs.columns)

@@ -134,10 +134,10 @@ def rule_classify(spark, sf_dir):
     return nz.classify(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", _RULES, ["family", "shelf"]).drop("p_name")
 
 
-@query(f"WITH l AS (SELECT p_name, {_RULE_SQL} FROM part WHERE p_partkey % 3 = 0 GROUP BY p_name) SELECT p.p_partkey, l.family AS norm_p_name_family, l.shelf AS norm_p_name_shelf FROM part p LEFT JOIN l ON l.p_name = p.p_name")
+@query(f"WITH l AS (SELECT p_name, {_RULE_SQL} FROM part WHERE p_size < 10 GROUP BY p_name) SELECT p.p_partkey, l.family AS norm_p_name_family, l.shelf AS norm_p_name_shelf FROM part p LEFT JOIN l ON l.p_name = p.p_name")
 def lookup_enrich(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    lookup = nz.classify(part.where("p_partkey % 3 = 0").select(F.col("p_name").alias("raw_value")).distinct(), "raw_value", _RULES, ["family", "shelf"])
+    lookup = nz.classify(part.where("p_size < 10").select(F.col("p_name").alias("raw_value")).distinct(), "raw_value", _RULES, ["family", "shelf"])
     return nz.lookup_enrich(part.select("p_partkey", "p_name"), lookup, "p_name", ["family", "shelf"]).drop("p_name")
 
 

@@ -1 +1,140 @@
-"""Queries."""
+"""Queries that correlate signals. Events serve as signals: their type is the source, users stand at made-up places."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import correlate as co
+from ..sources import sinks
+from . import query, rounded, table
+
+#: Every event as a signal.
+_SIGNALS = """s AS (SELECT 'e' || event_id AS signal_id, event_type AS source_id, CASE WHEN event_id % 11 = 0 THEN 'baseline_pattern' ELSE 'point_anomaly' END AS signal_type, CASE WHEN value >= 90 THEN 'critical' WHEN value >= 70 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END AS severity,
+ ts AS ts_start, ts + to_minutes(CAST(event_id % 90 AS BIGINT)) AS ts_end, value AS magnitude, (event_id % 10) / 10.0::DOUBLE AS confidence, (user_id % 120 - 60)::DOUBLE AS latitude, ((user_id * 37) % 360 - 180)::DOUBLE AS longitude, user_id, event_id FROM events)"""
+
+
+def signals(spark, sf_dir):
+    e = F.col("event_id")
+    sev = F.when(F.col("value") >= 90, "critical").when(F.col("value") >= 70, "high").when(F.col("value") >= 40, "medium").otherwise("low")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("e"), e.cast("string")).alias("signal_id"), F.col("event_type").alias("source_id"), F.when(e % 11 == 0, co.BASELINE).otherwise("point_anomaly").alias("signal_type"), F.lit("value").alias("column_name"), sev.alias("severity"),
+        F.col("ts").alias("ts_start"), (F.col("ts") + F.make_dt_interval(mins=(e % 90).cast("int"))).alias("ts_end"), F.col("value").alias("magnitude"), (e % 10 / 10.0).alias("confidence"),
+        (F.col("user_id") % 120 - 60).cast("double").alias("latitude"), ((F.col("user_id") * 37) % 360 - 180).cast("double").alias("longitude"),
+        F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("bucket"), (e % 50).cast("string")).alias("entity_values"), F.when(e % 3 == 0, "sustained").otherwise("transient").alias("persistence"),
+    )
+
+
+_CO = f"""{_SIGNALS}, r AS (SELECT *, epoch_us(ts_start) / 1e6 AS a, epoch_us(ts_end) / 1e6 AS z, CASE WHEN confidence = 0 THEN 0.5 ELSE confidence END AS c FROM s WHERE signal_type <> 'baseline_pattern'),
+p AS (SELECT x.signal_id AS signal_a_id, y.signal_id AS signal_b_id, x.source_id AS source_a_id, y.source_id AS source_b_id, greatest(0, least(x.z, y.z) - greatest(x.a, y.a)) / greatest(x.z - x.a, y.z - y.a, 1.0) AS o, least(x.c, y.c) AS c
+ FROM r x JOIN r y ON x.source_id < y.source_id AND greatest(0, y.a - x.z, x.a - y.z) <= 600),
+co AS (SELECT signal_a_id, signal_b_id, source_a_id, source_b_id, 'temporal_co_occurrence' AS correlation_type, round(o, 4) AS strength, round(least(1.0, (0.5 + o * 0.5) * c / 0.5), 4) AS confidence FROM p WHERE round(least(1.0, (0.5 + o * 0.5) * c / 0.5), 4) >= 0.8)"""
+
+
+@query(f"WITH {_CO} SELECT * FROM co")
+def co_occurrence(spark, sf_dir):
+    return co.co_occurrence(signals(spark, sf_dir), 600.0, 0.8).drop("lag_periods", "spatial_distance_km")
+
+
+@query(f"""WITH {_SIGNALS}, p AS (SELECT x.signal_id AS signal_a_id, y.signal_id AS signal_b_id, 2 * 6371.0 * asin(sqrt(least(1.0, sin(radians(y.latitude - x.latitude) / 2) ^ 2 + cos(radians(x.latitude)) * cos(radians(y.latitude)) * sin(radians(y.longitude - x.longitude) / 2) ^ 2))) AS d
+ FROM s x JOIN s y ON x.source_id < y.source_id WHERE x.signal_type <> 'baseline_pattern' AND y.signal_type <> 'baseline_pattern' AND abs(x.latitude - y.latitude) < 6)
+SELECT signal_a_id, signal_b_id, round(greatest(0, 1 - d / 500.0), 4) AS strength, round(d, 2) AS spatial_distance_km, round(greatest(0, 1 - d / 500.0) * 0.5 + 0.5, 4) AS confidence FROM p WHERE d <= 500.0""")
+def spatial_pairs(spark, sf_dir):
+    return co.spatial_alignment(signals(spark, sf_dir), 500.0, 0.3).select("signal_a_id", "signal_b_id", "strength", "spatial_distance_km", "confidence")
+
+
+@query(f"""WITH {_SIGNALS} SELECT x.signal_id AS signal_a_id, y.signal_id AS signal_b_id, round((CAST(x.user_id = y.user_id AS INT) + CAST(x.event_id % 50 = y.event_id % 50 AS INT)) / 2.0::DOUBLE, 4) AS strength FROM s x JOIN s y ON x.source_id < y.source_id
+WHERE x.user_id = y.user_id AND x.event_id % 50 = y.event_id % 50""")
+def entity_pairs(spark, sf_dir):
+    return co.entity_alignment(signals(spark, sf_dir), 0.9).select("signal_a_id", "signal_b_id", "strength")
+
+
+_PAT = "t AS (SELECT event_type AS source_id, event_type || '-h' AS signal_id, 'hourly' AS l, round(stddev_pop(value) / 100, 6) AS st, hour(max(ts)) AS ph FROM events GROUP BY 1 UNION ALL SELECT event_type, event_type || '-w', 'weekly', round(avg(value) / 1000, 6), isodow(min(ts)) FROM events GROUP BY 1)"
+
+
+@query(f"""WITH {_PAT}, p AS (SELECT x.signal_id AS signal_a_id, y.signal_id AS signal_b_id, round((1 - abs(x.st - y.st)) * 0.4 + CASE WHEN x.ph = y.ph THEN 1.0 ELSE 0.3 END * 0.6, 4) AS strength FROM t x JOIN t y ON x.l = y.l AND x.source_id < y.source_id)
+SELECT * FROM p WHERE strength >= 0.3""")
+def pattern_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source_id"))
+    h = e.agg(F.round(F.stddev_pop("value") / 100, 6).alias("strength"), F.hour(F.max("ts")).alias("peak_phase")).withColumns({"signal_id": F.concat("source_id", F.lit("-h")), "period_label": F.lit("hourly")})
+    w = e.agg(F.round(F.avg("value") / 1000, 6).alias("strength"), (F.weekday(F.min("ts")) + 1).alias("peak_phase")).withColumns({"signal_id": F.concat("source_id", F.lit("-w")), "period_label": F.lit("weekly")})
+    return co.pattern_similarity(h.unionByName(w)).select("signal_a_id", "signal_b_id", "strength")
+
+
+_LAG = """d AS (SELECT event_type AS s, ts::DATE AS day, sum(value) AS v FROM events GROUP BY 1, 2), e AS (SELECT s, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1),
+f AS (SELECT e.s, g::DATE AS day, coalesce(v, 0) AS v FROM (SELECT s, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS g FROM e) e LEFT JOIN d ON d.s = e.s AND d.day = g::DATE),
+c AS (SELECT x.s AS a, y.s AS b, count(*) AS n, min(x.day) AS lo, max(x.day) AS hi FROM f x JOIN f y ON x.day = y.day AND x.s < y.s GROUP BY 1, 2 HAVING count(*) >= 10),
+l AS (SELECT *, unnest(range(-least(5, n // 3), least(5, n // 3) + 1)) AS lag FROM c)
+SELECT l.a AS source_a, l.b AS source_b, CAST(lag AS INT) AS lag, count(*) AS n, round(corr(x.v, y.v), 6) AS r FROM l JOIN f x ON x.s = l.a AND x.day BETWEEN lo AND hi JOIN f y ON y.s = l.b AND y.day = x.day - CAST(lag AS INT) AND y.day BETWEEN lo AND hi GROUP BY 1, 2, 3 HAVING count(*) >= 5"""
+
+
+@query(f"WITH {_LAG}")
+def lag_correlation(spark, sf_dir):
+    from ..operators.series import aggregate
+
+    daily = aggregate(table(spark, sf_dir, "events"), "ts", "day", [("sum", "value")], ["event_type"])
+    return rounded(co.lag_scan(daily.select(F.col("event_type").alias("source_id"), "period", F.col("sum_value").alias("value")), 5), 6)
+
+
+@query()
+def lagged_correlations(spark, sf_dir):
+    return co.lagged_correlation(signals(spark, sf_dir), 5, 0.1)
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS node, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1""")
+def components(spark, sf_dir):
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    edge = lambda df, p, k, n: df.select(F.concat(F.lit(p), F.col(k).cast("string")).alias("a"), F.concat(F.lit("n"), F.col(n).cast("string")).alias("b"))
+    return co.components(edge(c, "c", "c_custkey", "c_nationkey").unionByName(edge(s, "s", "s_suppkey", "s_nationkey")))
+
+
+@query()
+def insight_scores(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    return co.insights(co.correlate(s, 60.0, least=0.9, methods=("temporal", "entity")), s).select("insight_id", "component", "n_sources", "n_correlations", "correlation_types", "strength", "actionability", "narrative")
+
+
+@query()
+def weakest_link(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    c = co.correlate(s, 60.0, least=0.9, methods=("temporal",))
+    return co.explain(co.insights(c, s), c)
+
+
+@query(f"WITH {_SIGNALS} SELECT signal_id, source_id, severity FROM s WHERE source_id IN ('click', 'view') AND severity IN ('critical', 'high') AND ts_start >= TIMESTAMP '2024-01-05'")
+def query_signals(spark, sf_dir):
+    import datetime
+
+    return co.query_signals(signals(spark, sf_dir), ["click", "view"], None, ["critical", "high"], datetime.datetime(2024, 1, 5)).select("signal_id", "source_id", "severity")
+
+
+@query()
+def query_insights(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    found = co.insights(co.correlate(s, 60.0, least=0.9, methods=("temporal",)), s)
+    return co.query_insights(found, s, 0.1, 0.0, ["click"], limit=10).select("insight_id", "strength", "actionability")
+
+
+@query(f"WITH {_SIGNALS}, n AS (SELECT DISTINCT event_type AS source_id FROM events UNION ALL SELECT 'silent') SELECT n.source_id, count(signal_id) AS n_signals, max(ts_start)::TIMESTAMP AS last_signal FROM n LEFT JOIN s USING (source_id) GROUP BY 1")
+def source_overview(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    sources = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id")).distinct().union(spark.range(1).select(F.lit("silent")))
+    return co.source_overview(sources, s)
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def upsert_latest(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return sinks.upsert_latest(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'"), "o_custkey", "o_orderkey").drop("o_orderstatus")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'updated' ELSE 'registered' END AS status FROM customer")
+def upsert_source(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return sinks.upsert_status(c.where("c_mktsegment = 'BUILDING'"), c, "c_custkey").drop("c_mktsegment")
+
+
+@query("""WITH n AS (SELECT o_orderkey, o_custkey, row_number() OVER w AS r, lag(o_orderkey) OVER w AS nx FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC))
+SELECT o_orderkey, CASE WHEN r = 1 THEN 'active' ELSE 'superseded' END AS status, nx AS superseded_by FROM n""")
+def supersede(spark, sf_dir):
+    return sinks.supersede(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_orderkey", "status", "superseded_by")

@@ -1 +1,81 @@
-"""Queries."""
+"""Queries that write and read back, so that each format keeps every row."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..sources import readers, sinks
+from . import query, rounded, table
+
+
+def _folder(spark) -> str:
+    """A folder of its own in the one that all executors share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None:
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="io-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_SUM = "SELECT n_regionkey, count(*) AS n, min(n_name) AS first_name FROM nation GROUP BY 1"
+
+
+def _back(df):
+    return df.groupBy(F.col("n_regionkey").cast("int").alias("n_regionkey")).agg(F.count("*").alias("n"), F.min("n_name").alias("first_name"))
+
+
+@query(_SUM)
+def round_trip_csv(spark, sf_dir):
+    path = _folder(spark) + "/nation.csv"
+    sinks.export(table(spark, sf_dir, "nation"), path, "csv")
+    return _back(readers.scan(spark, path))
+
+
+@query(_SUM)
+def round_trip_json(spark, sf_dir):
+    path = _folder(spark) + "/nation"
+    sinks.export(table(spark, sf_dir, "nation"), path, "json")
+    return _back(spark.read.json(path))
+
+
+@query(_SUM)
+def round_trip_parquet(spark, sf_dir):
+    path = _folder(spark) + "/nation.parquet"
+    sinks.export(table(spark, sf_dir, "nation"), path)
+    return _back(readers.scan(spark, path))
+
+
+@query("SELECT o_orderstatus AS segment_id, count(*) AS n FROM orders GROUP BY 1")
+def export_segments(spark, sf_dir):
+    path = _folder(spark) + "/segments"
+    sinks.export_segments(table(spark, sf_dir, "orders").withColumn("segment_id", F.col("o_orderstatus")), path)
+    return readers.scan(spark, path, "parquet").groupBy("segment_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand, count(*) FILTER (WHERE p_type IS NOT NULL) AS n FROM part GROUP BY 1")
+def load_view(spark, sf_dir):
+    name = f"part_{uuid.uuid4().hex}"
+    readers.load(spark, f"{sf_dir}/part.parquet", name)
+    return spark.sql(f"SELECT p_brand, count(*) FILTER (WHERE p_type IS NOT NULL) AS n FROM {name} GROUP BY p_brand")
+
+
+@query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS period, count(*) AS count_all, round(sum(value), 4) AS sum_value FROM events GROUP BY 1, 2")
+def stream_windowed(spark, sf_dir):
+    from ..streaming import aggregates as st
+
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = st.run_to_end(st.windowed(stream, "ts", "1 day", [("count", "*"), ("sum", "value")], ["event_type"]), f"w_{uuid.uuid4().hex}", "complete")
+    return rounded(out).withColumn("period", F.col("period").cast("timestamp_ntz"))
+
+
+@query()
+def stream_zscores(spark, sf_dir):
+    from ..streaming import aggregates as st
+
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return rounded(st.run_to_end(st.running_zscores(stream, "event_type", "ts", "value"), f"z_{uuid.uuid4().hex}"))

@@ -1 +1,39 @@
-"""Queries."""
+"""Queries that run series kernels; tests hold them against planted series."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import signals as sg
+from ..operators.series import aggregate
+from . import query, rounded, table
+
+
+def _daily(spark, sf_dir):
+    return aggregate(table(spark, sf_dir, "orders"), "o_orderdate", "day", [("sum", "o_totalprice")], ["o_orderpriority"]).withColumn("period", F.to_date("period"))
+
+
+@query()
+def stl_baseline(spark, sf_dir):
+    return rounded(sg.decompose(_daily(spark, sf_dir), ["o_orderpriority"], "period", "sum_o_totalprice"), 2)
+
+
+@query()
+def savgol_trend(spark, sf_dir):
+    return rounded(sg.smooth(_daily(spark, sf_dir), ["o_orderpriority"], "period", "sum_o_totalprice"), 2)
+
+
+@query()
+def change_points(spark, sf_dir):
+    return rounded(sg.change_points(_daily(spark, sf_dir), ["o_orderpriority"], "period", "sum_o_totalprice"), 2)
+
+
+@query()
+def matrix_profile(spark, sf_dir):
+    return rounded(sg.discords(_daily(spark, sf_dir), ["o_orderpriority"], "period", "sum_o_totalprice"), 4)
+
+
+@query()
+def detect_deviations(spark, sf_dir):
+    out = sg.analyse(table(spark, sf_dir, "events"), "event_type", "ts", ["value"])
+    return out.select("segment_id", "column", F.explode("deviations").alias("d")).select("segment_id", "column", "d.kind", "d.at", "d.severity", F.round("d.magnitude", 4).alias("magnitude"))

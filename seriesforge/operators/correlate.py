@@ -7,6 +7,8 @@ its source_b.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,12 +73,13 @@ def spatial_alignment(signals: DataFrame, radius_km: float, least: float = 0.3)
     rows = signals.where((F.col("signal_type") != BASELINE) & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     step = radius_km / 111.19  # degrees of latitude
     rows = rows.withColumn("_cy", F.floor(F.col("latitude") / step).cast("long"))
-    # Longitude cells of a row of cells are as wide as the radius is at its edge next to the pole.
-    edge = lambda cy: F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs(cy * step), F.abs((cy + 1) * step)) + step)))
+    # Longitude cells of a row are as wide as the radius reaches at the row's edge next to the pole; round the pole there is one.
+    top = lambda cy: F.radians(F.least(F.lit(90.0), F.greatest(F.abs(cy * step), F.abs((cy + 1) * step)) + step))
+    reach = lambda cy: math.sin(math.radians(step)) / F.greatest(F.cos(top(cy)), F.lit(1e-9))
     cols = ["signal_id", "source_id", "latitude", "longitude", "_cy"]
     a = _sided(rows, "a", cols).withColumn("cy", F.explode(F.array(*[F.col("_cy_a") + d for d in (-1, 0, 1)])))
-    wide = lambda cy: F.least(F.lit(360.0), step / edge(cy))
-    cells = lambda cy: F.floor(360 / wide(cy)).cast("long")
+    wide = lambda cy: F.when(reach(cy) < 1, F.degrees(F.asin(F.least(F.lit(1.0), reach(cy))))).otherwise(360.0)
+    cells = lambda cy: F.greatest(F.lit(1), F.floor(360 / wide(cy)).cast("long"))
     at = lambda lon, cy: F.pmod(F.floor((lon + 180) / (360 / cells(cy))).cast("long"), cells(cy))
     a = a.withColumn("cx", F.explode(F.array_distinct(F.array(*[F.pmod(at(F.col("longitude_a"), F.col("cy")) + d, cells(F.col("cy"))) for d in (-1, 0, 1)]))))
     b = _sided(rows, "b", cols).withColumn("cy", F.col("_cy_b")).withColumn("cx", at(F.col("longitude_b"), F.col("cy")))

@@ -13,10 +13,15 @@ from seriesforge.llm.common import materialise, table
 LEAST_SCORE = 0.3
 
 
+def _rows(docs: DataFrame, *needed: str) -> DataFrame:
+    """Each row whole, as a struct, beside the columns that an operator needs: no names can clash."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *needed)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no text, no letter, or no language that fits."""
-    found = language_id.identify(docs, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language_id.identify(_rows(docs, "text"), language_id.train(docs), keep=("row",))
+    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +36,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number (0 to 3)."""
-    mixed = mixing.mix(docs, keep=tuple(docs.columns))
+    mixed = mixing.mix(_rows(docs, "doc_id", "text", "source"), keep=("row",))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.withColumn("times", times).where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    return mixed.withColumn("times", times).where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

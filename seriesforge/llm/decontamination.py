@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, broadcast_if_small, lead, materialise, n_words
+from .common import broadcast_if_small, lead, materialise, n_words
 from .postings import MAX_BROADCAST, postings, term_counts, with_words
 
 WINDOW = 8
@@ -128,13 +128,15 @@ def clean(docs: DataFrame, tests: DataFrame, window: int = WINDOW, items: int =
     hits = files.join(hits, "row").withColumns(key).groupBy("k_id", "k_null", "text_hash").agg(F.first("spans").alias("cuts"), (F.max(F.size("items")) >= items).alias("contaminated"))
     hits = materialise(hits, "hits")
     few = (hits.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= 2 * MAX_BROADCAST
-    keyed = docs.withColumns({**key, "text_hash": F.xxhash64("text")})
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in key.items()], F.xxhash64("text").alias("text_hash"))
     df = keyed.join(F.broadcast(hits) if few else hits.hint("merge"), list(key) + ["text_hash"], "left").where("contaminated is null or not contaminated")
-    # Each piece is a word and what follows it, so piece i holds word i.
-    pieces = F.regexp_extract_all("text", F.lit(f"([^{NOT_ALNUM[1:-2]}]+{NOT_ALNUM[:-1]}*)"), F.lit(1))
+    text = F.col("row.text")
+    # Each piece is a word, in either case, and what follows it, so piece i holds word i.
+    apart = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
+    pieces = F.regexp_extract_all(text, F.lit(f"([^{apart}]+[{apart}]*)"), F.lit(1))
     kept = F.filter(pieces, lambda p, i: ~F.exists("cuts", lambda s: (i >= s["start"]) & (i < s["end"])))
-    cut = F.concat(F.regexp_extract("text", f"^{NOT_ALNUM[:-1]}*", 0), F.concat_ws("", kept))
-    df = df.withColumn("text", F.when(F.col("cuts").isNotNull(), cut).otherwise(F.col("text")))
+    cut = F.when(F.col("cuts").isNull(), text).otherwise(F.concat(F.regexp_extract(text, f"^[{apart}]*", 0), F.concat_ws("", kept)))
+    anew = {"text": cut}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("cuts").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+        anew["n_chars"] = F.when(F.col("cuts").isNull(), F.col("row.n_chars")).otherwise(F.char_length(cut))
+    return df.select(*[anew.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -198,9 +198,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), "text_hash"]
     gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(*key).distinct()
     gone = broadcast_if_small(materialise(gone, "gone"), MAX_BROADCAST)
-    keyed = docs.withColumns({"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "k_null": F.col("doc_id").isNull(), "text_hash": F.xxhash64("text")})
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *key[:2], F.xxhash64("text").alias("text_hash"))
     kept = keyed.join(gone, ["k_id", "k_null", "text_hash"], "left_anti")
     counts = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if counts[0] != counts[1]:
         kept = kept.dropDuplicates(["k_id", "k_null", "text_hash"])
-    return kept.select(*docs.columns)
+    return kept.select("row.*")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.numbers import fixed
 from ..functions.stats import pearson_p
 from .series import daily_magnitude, seconds
 
@@ -38,7 +39,7 @@ def _result(df: DataFrame, kind: str, strength: Column, confidence: Column, lag=
     none = F.lit(None)
     return df.select(
         F.col("signal_id_a").alias("signal_a_id"), F.col("signal_id_b").alias("signal_b_id"), F.col("source_id_a").alias("source_a_id"), F.col("source_id_b").alias("source_b_id"), F.lit(kind).alias("correlation_type"),
-        F.round(strength, 4).alias("strength"), (none if lag is None else lag).cast("int").alias("lag_periods"), (none if distance is None else F.round(distance, 2)).cast("double").alias("spatial_distance_km"), F.round(confidence, 4).alias("confidence"),
+        fixed(strength, 4).alias("strength"), (none if lag is None else lag).cast("int").alias("lag_periods"), (none if distance is None else fixed(distance, 2)).cast("double").alias("spatial_distance_km"), fixed(confidence, 4).alias("confidence"),
     )
 
 
@@ -196,7 +197,7 @@ def insights(correlations: DataFrame, signals: DataFrame) -> DataFrame:
     )
     out = sides.join(linked, "component").join(F.broadcast(total))
     parts = (F.col("mean_severity"), F.col("n_sources") / F.col("_total"), F.col("mean_confidence"), F.col("persistence_score"))
-    out = out.withColumn("actionability", F.round(sum(w * p for w, p in zip(ACTION, parts)), 4)).withColumn("strength", F.round("mean_strength", 4))
+    out = out.withColumn("actionability", fixed(sum(w * p for w, p in zip(ACTION, parts)), 4)).withColumn("strength", fixed("mean_strength", 4))
     out = out.withColumn("insight_id", F.concat(F.lit("ins_"), F.substring(F.sha2(F.array_join("signal_ids", "|"), 256), 1, 12)))
     strength = F.when(F.col("strength") >= 0.75, "strong").when(F.col("strength") >= 0.5, "moderate").otherwise("weak")
     return out.withColumn("narrative", F.format_string("%s link between %d signals of %d sources", strength, F.size("signal_ids"), F.col("n_sources"))).drop("_total", "mean_strength")

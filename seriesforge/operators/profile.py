@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numbers import fixed
+
 #: Limits of the role rules.
 DISCRIMINATOR_MAX = 500
 DISCRIMINATOR_RATIO = 0.05
@@ -48,7 +50,7 @@ def value_stats(df: DataFrame) -> DataFrame:
         aggs.append(F.struct(F.lit(c).alias("column"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.median(x).alias("median")))
     out = df.agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)]).select(F.explode(F.array(*[f"_{i}" for i in range(len(aggs))])).alias("s")).select("s.*")
     out = out.withColumn("cv", F.col("std") / F.nullif(F.abs("mean"), F.lit(0.0)))
-    return out.select("column", *[F.nullif(F.round(c, 4), F.lit(0.0)).alias(c) for c in ("mean", "std", "min", "max", "median")], F.round("cv", 4).alias("cv"))
+    return out.select("column", *[F.nullif(fixed(c, 4), F.lit(0.0)).alias(c) for c in ("mean", "std", "min", "max", "median")], fixed("cv", 4).alias("cv"))
 
 
 def samples(df: DataFrame, col: str, n: int = 10) -> DataFrame:

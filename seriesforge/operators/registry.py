@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.numbers import fixed
+
 #: Codes of grains and directions in the shape embedding.
 GRAINS = {"sub_hourly": 0.0, "hourly": 0.2, "daily": 0.4, "weekly": 0.6, "monthly": 0.8, "quarterly": 0.9, "yearly": 1.0}
 DIRECTIONS = {"decreasing": -1.0, "flat": 0.0, "increasing": 1.0}
@@ -81,7 +83,7 @@ def shape_embedding() -> Column:
         clip(F.col("critical_pct"), 0, 1), F.log1p(F.coalesce(F.nullif(F.col("row_count"), F.lit(0)), F.lit(1)).cast("double")) / 15, _code(F.col("temporal_grain"), GRAINS, 0.4), _code(F.col("trend_direction"), DIRECTIONS, 0.0),
         clip(F.col("variance_explained"), 0, 1), clip(F.col("residual_kurtosis"), -5, 20) / 20,
     )
-    return F.transform(F.concat(part("weekly", 7), part("hourly", 24), part("monthly", 12), scalars), lambda x: F.round(x, 6))
+    return F.transform(F.concat(part("weekly", 7), part("hourly", 24), part("monthly", 12), scalars), lambda x: fixed(x, 6))
 
 
 def deviation_embedding(devs: DataFrame, key: str, totals: DataFrame | None = None) -> DataFrame:
@@ -115,7 +117,7 @@ def deviation_embedding(devs: DataFrame, key: str, totals: DataFrame | None = No
     gaps = F.when(F.col("_gx").isNotNull(), F.array(F.col("_gm") / top, F.col("_gs") / top, F.col("_gl") / top, F.lit(1.0))).otherwise(F.array_repeat(F.lit(0.0), 4))
     density = F.array(clip(F.col("_n") / F.greatest(total, F.lit(1)), 0, 1), clip(F.col("_sev")[3] / F.greatest("_n", F.lit(1)), 0, 1))
     whole = F.concat(distribution(F.col("_sev")), distribution(F.col("_dow")), distribution(F.col("_month")), z, distribution(F.col("_kind")), gaps, F.array_repeat(F.lit(0.0), 3), density, distribution(F.col("_hist")))
-    return agg.select(key, F.transform(whole, lambda x: F.round(x, 6)).alias("embedding"))
+    return agg.select(key, F.transform(whole, lambda x: fixed(x, 6)).alias("embedding"))
 
 
 def text_embedding(c: Column, size: int = 384) -> Column:
@@ -150,7 +152,7 @@ def clusters(df: DataFrame, vector: str, id_col: str, k: int, seed: int = 42, re
     heads = out.groupBy("cluster").agg(F.min_by(id_col, F.struct("_far", id_col)).alias("representative"), F.count("*").alias("size"), F.avg(F.col("xy")[0]).alias("_x"), F.avg(F.col("xy")[1]).alias("_y"))
     mean = out.agg(F.avg(F.col("xy")[0]).alias("_mx"), F.avg(F.col("xy")[1]).alias("_my"))
     out = out.join(F.broadcast(heads), "cluster").join(F.broadcast(mean))  # k rows and one row
-    return out.select(id_col, "cluster", "representative", "size", F.round(F.col("xy")[0] - F.col("_mx"), 4).alias("x"), F.round(F.col("xy")[1] - F.col("_my"), 4).alias("y"))
+    return out.select(id_col, "cluster", "representative", "size", fixed(F.col("xy")[0] - F.col("_mx"), 4).alias("x"), fixed(F.col("xy")[1] - F.col("_my"), 4).alias("y"))
 
 
 def store_statistics(df: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from importlib import import_module
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,11 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def rounded(df: DataFrame, places: int = 4) -> DataFrame:
     """Doubles rounded, as sums of doubles depend on their order."""
-    return df.select(*[(F.round(F.col(c), places).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes])
+    return df.select(*[(fixed(F.col(c), places).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes])
 
 
 def r4(c: Column | str) -> Column:
-    return F.round(c, 4)
+    return fixed(c, 4)
 
 
 for _name in ("series", "profile", "clean", "segments", "plans", "correlate", "registry", "kernels", "extract", "io"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
 from ..functions import text as tx
 from ..operators import clean as c
 from ..operators import normalize as nz
@@ -14,7 +15,7 @@ from . import query, rounded, table
 def _holed(spark, sf_dir):
     """Events with some nulls, mixed case and padding, as the tables themselves have none."""
     kind = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), F.upper("event_type"))).when(F.col("event_id") % 7 != 0, F.col("event_type"))
-    return table(spark, sf_dir, "events").withColumns({"kind": kind, "money": F.concat(F.lit("$"), F.round(F.col("value"), 2).cast("decimal(12,2)").cast("string")), "maybe": F.when(F.col("event_id") % 5 != 0, F.col("value"))})
+    return table(spark, sf_dir, "events").withColumns({"kind": kind, "money": F.concat(F.lit("$"), fixed(F.col("value"), 2).cast("decimal(12,2)").cast("string")), "maybe": F.when(F.col("event_id") % 5 != 0, F.col("value"))})
 
 
 _HOLED = "h AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN ' ' || upper(event_type) WHEN event_id % 7 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 5 <> 0 THEN value END AS maybe FROM events)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
 from ..operators import correlate as co
 from ..sources import sinks
 from . import query, rounded, table
@@ -55,8 +56,8 @@ _PAT = "t AS (SELECT event_type AS source_id, event_type || '-h' AS signal_id, '
 SELECT * FROM p WHERE strength >= 0.3""")
 def pattern_pairs(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source_id"))
-    h = e.agg(F.round(F.stddev_pop("value") / 100, 6).alias("strength"), F.hour(F.max("ts")).alias("peak_phase")).withColumns({"signal_id": F.concat("source_id", F.lit("-h")), "period_label": F.lit("hourly")})
-    w = e.agg(F.round(F.avg("value") / 1000, 6).alias("strength"), (F.weekday(F.min("ts")) + 1).alias("peak_phase")).withColumns({"signal_id": F.concat("source_id", F.lit("-w")), "period_label": F.lit("weekly")})
+    h = e.agg(fixed(F.stddev_pop("value") / 100, 6).alias("strength"), F.hour(F.max("ts")).alias("peak_phase")).withColumns({"signal_id": F.concat("source_id", F.lit("-h")), "period_label": F.lit("hourly")})
+    w = e.agg(fixed(F.avg("value") / 1000, 6).alias("strength"), (F.weekday(F.min("ts")) + 1).alias("peak_phase")).withColumns({"signal_id": F.concat("source_id", F.lit("-w")), "period_label": F.lit("weekly")})
     return co.pattern_similarity(h.unionByName(w)).select("signal_a_id", "signal_b_id", "strength")
 
 

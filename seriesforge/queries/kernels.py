@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
 from ..operators import signals as sg
 from ..operators.series import aggregate
 from . import query, rounded, table
@@ -36,4 +37,4 @@ def matrix_profile(spark, sf_dir):
 @query()
 def detect_deviations(spark, sf_dir):
     out = sg.analyse(table(spark, sf_dir, "events"), "event_type", "ts", ["value"])
-    return out.select("segment_id", "column", F.explode("deviations").alias("d")).select("segment_id", "column", "d.kind", "d.at", "d.severity", F.round("d.magnitude", 4).alias("magnitude"))
+    return out.select("segment_id", "column", F.explode("deviations").alias("d")).select("segment_id", "column", "d.kind", "d.at", "d.severity", fixed("d.magnitude", 4).alias("magnitude"))

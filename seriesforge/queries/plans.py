@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
 from ..plans import batch
 from ..plans import executor as x
 from . import query, rounded, table
@@ -68,4 +69,4 @@ def plan_by_value(spark, sf_dir):
 def batch_run(spark, sf_dir):
     manifest = {"data_path": f"{sf_dir}/events.parquet", "dataset_name": "events", "timestamp_col": "ts", "value_cols": ["value"], "scenarios": [{"name": "by_type", "segment_by": "event_type"}]}
     out = batch.run(spark, manifest)
-    return out.select("scenario", "segment_id", "column", "n", F.round("variance_explained", 4).alias("variance_explained"), "direction", "n_deviations", "error")
+    return out.select("scenario", "segment_id", "column", "n", fixed("variance_explained", 4).alias("variance_explained"), "direction", "n_deviations", "error")

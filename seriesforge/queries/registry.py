@@ -71,7 +71,7 @@ def ilike_search(spark, sf_dir):
 
 
 @query("""WITH h AS (SELECT event_type, hour(ts) AS h, avg(value) AS v FROM events GROUP BY 1, 2), m AS (SELECT event_type, min(v) AS lo, max(v) AS hi, count(*) AS n FROM h GROUP BY 1), c AS (SELECT event_type, count(*) AS rows, stddev_pop(value) AS sd FROM events GROUP BY 1)
-SELECT c.event_type, CAST(54 AS INT) AS n, round(0.7, 6)::DOUBLE AS strength, round(least(100, sd) / 100, 4) AS residual, round(ln(1 + rows) / 15, 4) AS size, 0.4::DOUBLE AS grain, round((v - lo) / (hi - lo), 4) AS noon FROM c JOIN h ON h.event_type = c.event_type AND h.h = 12 JOIN m ON m.event_type = c.event_type""")
+SELECT c.event_type, CAST(54 AS INT) AS n, round(0.7, 6)::DOUBLE AS strength, round(least(100, sd) / 100, 6) AS residual, round(ln(1 + rows) / 15, 6) AS size, 0.4::DOUBLE AS grain, round((v - lo) / (hi - lo), 6) AS noon FROM c JOIN h ON h.event_type = c.event_type AND h.h = 12 JOIN m ON m.event_type = c.event_type""")
 def shape_embedding(spark, sf_dir):
     from ..operators.series import seasonal_vector
 
@@ -81,7 +81,7 @@ def shape_embedding(spark, sf_dir):
     df = sums.join(seasonal_vector(e, "ts", "value", ["event_type"], "hour").withColumnRenamed("seasonal", "hourly"), "event_type")
     df = df.withColumns({**none, "weekly": F.lit(None).cast("array<double>"), "monthly": F.lit(None).cast("array<double>"), "temporal_grain": F.lit("daily"), "trend_direction": F.lit("flat"), "seasonality_strength": F.lit(0.7)})
     v = df.select("event_type", rg.shape_embedding().alias("e"))
-    return v.select("event_type", F.size("e").alias("n"), F.col("e")[44].alias("strength"), F.round(F.col("e")[45], 4).alias("residual"), F.round(F.col("e")[49], 4).alias("size"), F.col("e")[50].alias("grain"), F.round(F.col("e")[7 + 12], 4).alias("noon"))
+    return v.select("event_type", F.size("e").alias("n"), F.col("e")[44].alias("strength"), F.col("e")[45].alias("residual"), F.col("e")[49].alias("size"), F.col("e")[50].alias("grain"), F.col("e")[7 + 12].alias("noon"))
 
 
 @query("""WITH d AS (SELECT event_type, ts, value / 20 AS z, CASE WHEN value >= 90 THEN 'critical' WHEN value >= 70 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END AS s FROM events)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
 from ..operators import forecast as fc
 from ..operators import series as s
 from . import query, rounded, table
@@ -210,7 +211,7 @@ WITH m AS (SELECT event_type, hour(ts) AS h, avg(value) AS v FROM events GROUP B
 SELECT event_type, round(list_sum(list(coalesce(v, 0) ORDER BY i)), 3) AS total, len(list(i)) AS n, round(list(coalesce(v, 0) ORDER BY i)[13], 4) AS at_noon FROM (SELECT k.event_type, i, v FROM k CROSS JOIN (SELECT unnest(range(24)) AS i) r LEFT JOIN m ON m.event_type = k.event_type AND m.h = r.i) GROUP BY 1""")
 def seasonal_vector(spark, sf_dir):
     df = s.seasonal_vector(table(spark, sf_dir, "events"), "ts", "value", ["event_type"], "hour")
-    return df.select("event_type", F.round(F.aggregate("seasonal", F.lit(0.0), lambda a, x: a + x), 3).alias("total"), F.size("seasonal").cast("long").alias("n"), F.round(F.get("seasonal", F.lit(12)), 4).alias("at_noon"))
+    return df.select("event_type", fixed(F.aggregate("seasonal", F.lit(0.0), lambda a, x: a + x), 3).alias("total"), F.size("seasonal").cast("long").alias("n"), fixed(F.get("seasonal", F.lit(12)), 4).alias("at_noon"))
 
 
 @query(f"""{_ROLL} SELECT event_type, round(greatest(0, 1 - var_samp(residual) / var_samp(sum_value)), 4) AS variance_explained FROM z GROUP BY 1""")

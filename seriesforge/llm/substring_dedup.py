@@ -9,7 +9,7 @@ hashes word by word, so the count is exact.
 Copies are combined before the shuffle: of equal super-k-mers that a task packs together, the
 string travels once with the places it stands at. Buckets are made in proportion to the bytes of
 all texts, so one fits a task's memory at any size. Only places of removed words come back to
-the documents, by a broadcast if there are few, else by a join on the doc_id.
+the documents, by a join on the doc_id.
 
 Defined results: a null or empty text has no words; a text of fewer than 20 words keeps them all;
 rows that share a doc_id count as one document, so equal places of theirs are none earlier and
@@ -35,7 +35,7 @@ MINIMISER = 4
 BUCKET_BYTES = 6_000_000
 #: Bytes of text that a task packs at once: more combines more copies and takes more memory.
 PACK_BYTES = 8_000_000
-#: Up to so many places the documents get them by a broadcast.
+#: Up to so many doc_ids that several rows share are broadcast.
 MAX_BROADCAST = 1_000_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)  # odd, with bits set all over
 
@@ -290,9 +290,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept, the words that stay)."""
     keyed = _keyed(docs.select("doc_id", "text"))
     found = places(keyed, window).groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    found = materialise(found, "removed_places")
-    few = (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= MAX_BROADCAST
-    df = keyed.join(F.broadcast(found) if few else found.hint("merge"), ["doc", "tag"], "left")
+    # Always by a join on the document: the places grow with the corpus, and a broadcast would only serve small ones.
+    df = keyed.join(found.hint("merge"), ["doc", "tag"], "left")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
     df = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "spans").mapInArrow(_cleaned, out)
     return df.withColumn("kept", F.col("kept").cast("string")) if with_text else df.drop("kept")

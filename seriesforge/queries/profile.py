@@ -51,12 +51,12 @@ def _roles_sql(t: str, cols: dict) -> str:
 
 
 @query(_roles_sql("orders", _ORDERS))
-def tdv_roles(spark, sf_dir):
+def column_roles(spark, sf_dir):
     return p.roles(table(spark, sf_dir, "orders"))
 
 
 @query(_roles_sql("part", _PART))
-def tdv_roles_part(spark, sf_dir):
+def column_roles_part(spark, sf_dir):
     return p.roles(table(spark, sf_dir, "part"))
 
 

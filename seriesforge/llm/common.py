@@ -46,17 +46,22 @@ def count_words(text: Column, separators: str) -> Column:
     return n_words(words).cast("long")
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none, as in local tests, a temporary folder is set.
+    Only where the session names none, on a local master as in tests, a temporary folder serves.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if sc.applicationId not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="shared-")
+        root = _LOCAL_ROOTS[sc.applicationId]
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

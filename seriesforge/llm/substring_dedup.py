@@ -290,6 +290,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept, the words that stay)."""
     keyed = _keyed(docs.select("doc_id", "text"))
     found = places(keyed, window).groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    found = materialise(found, "removed_places")  # the packed strings' shuffle can go before the texts' begins
     # Always by a join on the document: the places grow with the corpus, and a broadcast would only serve small ones.
     df = keyed.join(found.hint("merge"), ["doc", "tag"], "left")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"

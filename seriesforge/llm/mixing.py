@@ -24,6 +24,7 @@ from .common import WHITE, count_words, materialise
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SLOTS = 65536
+CHUNK = 1024
 GOLDEN = 0.6180339887498949
 SEED = "mix-1"
 
@@ -67,7 +68,12 @@ def schedule(sources: DataFrame, block: int, total: int) -> DataFrame:
     edges = sources.where("target > 0").select(F.lit(-1).cast("long").alias("place"), F.col("reach").alias("at"), F.col("sid").alias("own"))
     both = places.unionByName(edges)
     sid = F.last("own", ignorenulls=True).over(Window.orderBy("at", "place", "own"))
-    return both.withColumn("sid", sid).where("place >= 0").select("place", "sid", (F.row_number().over(Window.partitionBy("sid").orderBy("place")) - 1).alias("rank"))
+    drawn = both.withColumn("sid", sid).where("place >= 0").select("place", "sid", F.floor(F.col("place") / CHUNK).alias("chunk"))
+    # A source's places are ranked chunk by chunk, as one source may hold most of the schedule.
+    before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    first = drawn.groupBy("sid", "chunk").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    nth = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("place")) - 1
+    return drawn.withColumn("nth", nth).join(first.hint("merge"), ["sid", "chunk"]).select("place", "sid", (F.col("first") + F.col("nth")).alias("rank"))
 
 
 def blocks(sources: DataFrame, plan: DataFrame, block: int, most: int = MOST) -> DataFrame:

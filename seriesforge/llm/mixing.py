@@ -83,9 +83,14 @@ def blocks(sources: DataFrame, plan: DataFrame, block: int, most: int = MOST) ->
     counted = sources.where("source_size > 0").select("sid", n.alias("n"))
     uses = plan.join(F.broadcast(counted), "sid").where(F.col("rank") < most * F.col("n")).groupBy("sid", (F.col("rank") % F.col("n")).alias("block")).agg(F.count("*").alias("uses"))
     long = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block)
-    before = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     df = every.join(uses, ["sid", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
-    return df.withColumn("taken_before", F.coalesce(F.sum(F.col("uses") * long).over(before), F.lit(0))).select("sid", "block", "uses", "taken_before")
+    df = df.select("sid", "block", "uses", (F.col("uses") * long).alias("words"), F.floor(F.col("block") / CHUNK).alias("chunk"))
+    # Running sums chunk by chunk, as one source may hold most of the blocks.
+    before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    first = df.groupBy("sid", "chunk").agg(F.sum("words").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inner = Window.partitionBy("sid", "chunk").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("own", F.coalesce(F.sum("words").over(inner), F.lit(0))).join(first.hint("merge"), ["sid", "chunk"])
+    return df.select("sid", "block", "uses", (F.col("first") + F.col("own")).alias("taken_before"))
 
 
 def mix(docs: DataFrame, keep: tuple[str, ...] = (), slots: int = SLOTS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_extract, language_id, license_scan, mixing, sharding, simhash, substring_dedup
+from . import decontamination, exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, sharding, simhash, substring_dedup
 from .common import table
 
 QUERIES: dict = {}
@@ -61,6 +61,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(kept, 0) A
 """
 
 
+@_query
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS l FROM documents),
+w AS (SELECT doc_id, s, array_to_string(l[s:s + 2], chr(10)) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS s FROM d WHERE len(l) >= 3)),
+r AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS n FROM w) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 3)) AS i FROM r),
+k AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+j AS (SELECT k.doc_id, count(*) AS kept, string_agg(line, chr(10) ORDER BY k.i) AS body FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.i = k.i WHERE g.i IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, len(l) - coalesce(kept, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)
+"""
+
+
 @_query
 def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

@@ -11,7 +11,7 @@ import xxhash
 from oracle import DATA, compare, connect
 from pyspark.sql import functions as F
 
-from seriesforge.llm import decontamination, exact_dedup, html_extract, language_id, license_scan, mixing, queries, sharding, simhash, substring_dedup
+from seriesforge.llm import decontamination, exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, queries, sharding, simhash, substring_dedup
 from seriesforge.llm.common import materialise
 
 WHITE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -237,6 +237,32 @@ def test_hash_collisions_are_compared(monkeypatch):
     assert gone == {(1, i) for i in range(24)} | {(2, i) for i in range(24)} | {(3, i) for i in range(25)}
 
 
+# --- line dedup
+
+
+def test_line_dedup_brute(make):
+    rng = np.random.default_rng(21)
+    docs = [(int(i), "\n".join(rng.choice(["a", "b", "", "c d", "é"], int(rng.integers(1, 14))))) for i in rng.permutation(40)]
+    docs += [(None, docs[0][1]), (50, None), (51, ""), (52, "x\ny"), (3, "a\nb\nc d\nlast"), (53, "\n\n\n\n"), (60, docs[5][1]), (60, docs[5][1])]
+    key = lambda d: 2**63 - 1 if d is None else d
+    lines = [(d, t.split("\n") if t else []) for d, t in docs]
+    first, want = {}, []
+    for d, ls in lines:
+        for s in range(len(ls) - 2):
+            k = tuple(ls[s : s + 3])
+            first[k] = min(first.get(k, (key(d), s)), (key(d), s))
+    for d, ls in lines:
+        gone = {i for s in range(len(ls) - 2) if first[tuple(ls[s : s + 3])] < (key(d), s) for i in range(s, s + 3)}
+        body = "\n".join(x for i, x in enumerate(ls) if i not in gone)
+        want.append((d, len(ls), len(gone), hashlib.sha256(body.encode()).hexdigest()))
+    got = line_dedup.line_dedup(make(*docs)).collect()
+    assert sorted([(r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in got], key=repr) == sorted(want, key=repr)
+
+
+def test_line_dedup_odd(odd, empty):
+    assert line_dedup.line_dedup(odd, with_text=True).count() == odd.count() and line_dedup.line_dedup(empty).count() == 0
+
+
 # --- near duplicates
 
 

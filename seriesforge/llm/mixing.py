@@ -6,7 +6,10 @@ of the mix is drawn from; a place's rank within its source says which block it t
 that is drawn beyond its last block starts again, three times at most.
 
 The schedule has about ``slots`` places whatever the size of the corpus (the blocks grow), so it
-and the table of blocks are bounded and may be broadcast. Documents are ordered by a hash within
+and the table of blocks are bounded and may be broadcast. A source for which a block of several
+words is coarse (its size or its target is under ``FEW`` blocks) is settled to the word instead: the
+whole passes that its target holds, and the rest of it from the start of its order, which is what
+the schedule comes to as its blocks get small. Documents are ordered by a hash within
 4096 buckets a source, so a source that holds a third of all rows is sorted by many tasks.
 
 Defined results: a null text has no words, a document without words is taken 0 times, a null
@@ -24,6 +27,8 @@ from .common import WHITE, count_words, materialise
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SLOTS = 65536
+#: A source of fewer blocks than this, by size or target, is settled to the word.
+FEW = 256
 CHUNK = 1024
 GOLDEN = 0.6180339887498949
 SEED = "mix-1"
@@ -115,11 +120,17 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), slots: int = SLOTS) -> Data
     df = placed.join(offsets.hint("merge"), ["source_key", "bucket"]).withColumn("mix_at", F.col("bucket_at") + F.col("upto") - F.col("size"))
     last = F.ceil(F.col("source_size") / block).cast("long") - 1
 
+    coarse = F.lit(block > 1) & (F.least(F.col("source_size").cast("double"), F.col("target")) < FEW * block)
+    whole = F.round("target").cast("long")
+    passes = F.floor(whole / F.col("source_size")).cast("long")
+    rest = whole - passes * F.col("source_size")
+
     def with_taken(df: DataFrame, at: Column, name: str) -> DataFrame:
         side = cut.select(F.col("sid").alias("cut_sid"), F.col("block").alias("cut_block"), "uses", "taken_before")
         df = df.withColumn("cut_at", at).withColumn("on", F.least(F.floor(F.col("cut_at") / block).cast("long"), last))
         df = df.join(F.broadcast(side), (F.col("sid") == F.col("cut_sid")) & (F.col("on") == F.col("cut_block")), "left")
         upto = F.col("taken_before") + F.col("uses") * (F.col("cut_at") - F.col("on") * block)
+        upto = F.when(coarse, passes * F.col("cut_at") + F.least(F.col("cut_at"), rest)).otherwise(upto)
         return df.withColumn(name, F.coalesce(upto, F.lit(0))).drop("cut_sid", "cut_block", "uses", "taken_before", "cut_at", "on")
 
     df = with_taken(df, F.col("mix_at"), "taken_from")

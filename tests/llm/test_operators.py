@@ -122,6 +122,20 @@ def test_targets_brute(spark):
         assert np.allclose(got, want)
 
 
+def test_tiny_sources_beside_a_large_total(make):
+    docs = [(i, "w " * 400, "large" if i % 2 else "big") for i in range(500)]
+    docs += [(1000 + i, "w " * (5 + i % 11), f"tiny{i % 30:02d}") for i in range(300)]
+    rows = mixing.mix(make(*docs), slots=1000).collect()
+    taken, target, size = Counter(), {}, {}
+    for r in rows:
+        taken[r.sid] += r.taken
+        target[r.sid], size[r.sid] = r.target, r.source_size
+        assert 0 <= r.taken <= 3 * r["size"]
+    tiny = [s for s in size if size[s] < 1000]
+    assert len(tiny) == 30 and all(abs(taken[s] - target[s]) <= 1 for s in tiny)
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in size)
+
+
 def test_mix_odd(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(r.taken == 0 for r in rows if r["size"] == 0)

@@ -2,11 +2,13 @@
 
 A page is a sequence of tokens: tags, with the containers they stand in, and text blocks. A token's
 occurrence vector says how often it stands in each page of its host. Tokens that share a
-vector are an equivalence class; classes that stand on every page, keep one order and nest without
-crossing make up the host's template. What the template does not fix are its slots. The
+vector are an equivalence class; classes that stand on ``SUPPORT`` of the host's different pages, keep
+one order and nest without crossing make up the host's template. Zeros in a vector are allowed, so an
+error page or one of another layout leaves the template as it is; null and blank pages are not
+counted, and copies of a page count once. What the template does not fix are its slots. The
 text is taken from the slots of the article, without the parts that are no article by
 their element or class (menus, adverts, forms, reader comments and the like); text blocks
-that belong to the template, alike on all pages of a host, are left out.
+that belong to the template, alike on the pages of a host, are left out.
 
 Vectors are never laid out: each task adds up a 128-bit sum over its pages for every token of a host,
 and equal sums are equal vectors. So a host with a third of all pages costs one row a token and
@@ -34,6 +36,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialise
 
 MIN_PAGES = 10
+#: Share of a host's different pages that a token of its template stands on.
+SUPPORT = 0.8
+#: Up to so many different pages that have copies are broadcast.
+MAX_COPIED = 100_000
 #: Templates of up to so many hosts are broadcast.
 MAX_BROADCAST = 20_000
 
@@ -204,18 +210,30 @@ def _wrapping_sum(column: str) -> Column:
     return F.shiftleft(high + F.shiftrightunsigned(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, tokens array<struct<token, class, rank>>: the classes of tokens that stand on every page.
+def different_pages(pages: DataFrame) -> DataFrame:
+    """host, digest, html of each different page that is not blank; only pages that have copies are shuffled."""
+    keyed = pages.where(F.col("html").rlike("\\S")).select("host", F.xxhash64("html").alias("digest"), "html")
+    copied = materialise(keyed.groupBy("host", "digest").count().where("count > 1").select("host", "digest"), "copied")
+    key = ["host", "digest"]
+    if copied.limit(MAX_COPIED + 1).count() > MAX_COPIED:
+        return keyed.groupBy(*key).agg(F.first("html").alias("html"))
+    once = keyed.join(F.broadcast(copied), key, "left_anti").select(*key, "html")
+    return once.unionByName(keyed.join(F.broadcast(copied), key, "left_semi").groupBy(*key).agg(F.first("html").alias("html")))
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
+    """host, tokens array<struct<token, class, rank>>: the classes of tokens that stand on enough of the pages.
 
     ``pages`` has host and html. A class needs two tokens; its tokens are ranked by their mean place.
     """
-    sums = pages.mapInArrow(_vectors, "host string, token long, is_text boolean, pages long, v1 long, v2 long, at long")
+    different = different_pages(pages)
+    sums = different.select("host", "html").mapInArrow(_vectors, "host string, token long, is_text boolean, pages long, v1 long, v2 long, at long")
     sums = sums.groupBy("host", "token").agg(F.max("is_text").alias("is_text"), F.sum("pages").alias("pages"), _wrapping_sum("v1").alias("v1"), _wrapping_sum("v2").alias("v2"), F.sum("at").alias("at"))
-    of_host = pages.groupBy("host").agg(F.count("*").alias("host_pages"), F.approx_count_distinct(F.xxhash64("html"), 0.02).alias("different"))
-    every = sums.join(broadcast_if_small(of_host, MAX_BROADCAST), "host").where("pages = host_pages")
-    every = every.where(~F.col("is_text") | (F.col("different") >= min_pages))
+    of_host = materialise(different.groupBy("host").agg(F.count("*").alias("host_pages")), "host_pages")
+    often = sums.join(broadcast_if_small(of_host, MAX_BROADCAST), "host").where(F.col("pages") >= F.lit(support) * F.col("host_pages"))
+    often = often.where(~F.col("is_text") | (F.col("host_pages") >= min_pages))
     token = F.struct(F.col("at").alias("at"), F.col("token").alias("token"))
-    classes = every.groupBy("host", "v1", "v2").agg(F.array_sort(F.collect_list(token)).alias("ts")).where(F.size("ts") > 1)
+    classes = often.groupBy("host", "v1", "v2").agg(F.array_sort(F.collect_list(token)).alias("ts")).where(F.size("ts") > 1)
     ranked = F.transform("ts", lambda t, i: F.struct(t["token"].alias("token"), F.xxhash64("v1", "v2").alias("class"), i.alias("rank")))
     return classes.groupBy("host").agg(F.flatten(F.collect_list(ranked)).alias("tokens"))
 

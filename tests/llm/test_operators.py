@@ -405,6 +405,16 @@ def test_extract_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_odd_pages_leave_the_template(spark):
+    page = '<html><body><article><div class="x1"><p>Brought to you by the desk</p></div><p>Story {i}</p></article></body></html>'
+    rows = [(i, "http://h.example/", page.format(i=i)) for i in range(20)]
+    rows += [(20, "http://h.example/", None), (21, "http://h.example/", " "), (22, "http://h.example/", "<html><body><h1>Error</h1></body></html>")]
+    rows += [(23 + i, "http://h.example/", "<html><body><p>Copied</p></body></html>") for i in range(30)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(20)] == [f"Story {i}" for i in range(20)]
+    assert got[20] == got[21] == "" and got[22] == "Error" and got[23] == "Copied"
+
+
 def test_few_or_equal_pages_keep_their_text(spark):
     html = "<html><body><article><p>Same text</p></article></body></html>"
     df = spark.createDataFrame([(i, "http://h.example/", html) for i in range(30)], "page_id long, url string, html string")

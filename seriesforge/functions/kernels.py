@@ -98,43 +98,46 @@ def savgol(y: np.ndarray, window: int, degree: int = 2) -> np.ndarray:
     return out
 
 
-def pelt(y: np.ndarray, penalty: float, min_size: int = 2, jump: int = 1, most: int = 2000) -> list[int]:
+def _pair_distance(x: np.ndarray, nth: int) -> float:
+    """The nth smallest (from 0) distance of two of the sorted values ``x``, found by counting."""
+    low, high = 0, int(np.float64(x[-1] - x[0]).view(np.int64))  # floats from 0 on are in the order of their bits
+    own = np.arange(1, len(x) + 1)
+    while low < high:
+        mid = (low + high) // 2
+        if (np.searchsorted(x, x + np.int64(mid).view(np.float64), "right") - own).sum() > nth:
+            high = mid
+        else:
+            low = mid + 1
+    return float(np.int64(low).view(np.float64))
+
+
+def pelt(y: np.ndarray, penalty: float, min_size: int = 2, jump: int = 1) -> list[int]:
     """Change points of a series under a kernel cost (Gaussian, width by the median distance).
 
-    The cost of a segment needs sums over a square of the kernel matrix; above ``most`` points the
-    series is averaged in equal groups first and the change points are scaled back.
+    The cost of a segment needs the sum over a square of the kernel matrix; the sums of all open
+    starts grow by a column of the matrix at each point, so memory is in proportion to the length.
     """
     n = len(y)
-    group = -(-n // most)
-    if group > 1:
-        cut = n // group * group
-        found = pelt(y[:cut].reshape(-1, group).mean(axis=1), penalty, max(1, min_size // group), max(1, jump // group), most)
-        return [min(n - 1, f * group) for f in found]
     if n < 2 * min_size:
         return []
-    d = (y[:, None] - y[None, :]) ** 2
-    med = np.median(d[np.triu_indices(n, 1)]) if n > 1 else 0
-    k = np.exp(-d / med) if med > 0 else np.ones((n, n))
-    s = np.zeros((n + 1, n + 1))
-    s[1:, 1:] = k.cumsum(0).cumsum(1)
-    diag = np.r_[0.0, np.cumsum(np.diag(k))]
-
-    def cost(a: np.ndarray, b: int) -> np.ndarray:
-        return diag[b] - diag[a] - (s[b, b] - s[a, b] - s[b, a] + s[a, a]) / (b - a)
-
-    ends = sorted({*range(0, n, jump), n} - set(range(1, min_size)))
-    best, last, open_ = {0: -penalty}, {0: 0}, [0]
-    for b in ends:
-        if b < min_size:
+    x, pairs = np.sort(y), n * (n - 1) // 2
+    med = (_pair_distance(x, (pairs - 1) // 2) ** 2 + _pair_distance(x, pairs // 2) ** 2) / 2 if pairs else 0.0
+    best, last, open_, square = np.zeros(n + 1), {0: 0}, np.array([0]), np.zeros(n)
+    best[0] = -penalty
+    for b in range(1, n + 1):
+        low = open_[0]
+        column = np.exp(-((y[low:b] - y[b - 1]) ** 2) / med) if med > 0 else np.ones(b - low)
+        square[low:b] += 2 * column[::-1].cumsum()[::-1] - 1
+        if b < min_size or (b % jump and b != n):
             continue
-        a = np.array([x for x in open_ if b - x >= min_size])
+        a = open_[b - open_ >= min_size]
         if not len(a):
             continue
-        total = np.array([best[x] for x in a]) + cost(a, b) + penalty
+        total = best[a] + (b - a) - square[a] / (b - a) + penalty
         i = int(total.argmin())
-        best[b], last[b] = float(total[i]), int(a[i])
-        gone = {int(x) for x, t in zip(a, total) if t - penalty > best[b]}
-        open_ = [x for x in open_ if x not in gone] + [b]
+        best[b], last[b] = total[i], int(a[i])
+        gone = a[total - penalty > best[b]]
+        open_ = np.r_[open_[~np.isin(open_, gone)], b]
     points, at = [], n
     while at in last and last[at] > 0:
         at = last[at]

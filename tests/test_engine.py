@@ -79,6 +79,27 @@ def test_change_point_and_discord():
     assert any(180 <= at <= 216 for at, _ in k.discords(z))
 
 
+def test_change_points_of_a_long_series_are_the_direct_search():
+    rng = np.random.default_rng(7)
+    n, size = 2403, 240
+    y = np.r_[rng.normal(0, 1, 801), rng.normal(3, 1, 1002), rng.normal(-1, 1, 600)]
+    penalty = math.log(n) * float(y.var())
+    d = (y[:, None] - y[None, :]) ** 2
+    s = np.zeros((n + 1, n + 1))
+    s[1:, 1:] = np.exp(-d / np.median(d[np.triu_indices(n, 1)])).cumsum(0).cumsum(1)
+    best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+    best[0] = -penalty
+    for b in range(size, n + 1):
+        a = np.arange(0, b - size + 1)
+        total = best[a] + (b - a) - (s[b, b] - 2 * s[a, b] + s[a, a]) / (b - a) + penalty
+        best[b], last[b] = total.min(), total.argmin()
+    want, at = [], n
+    while last[at] > 0:
+        at = int(last[at])
+        want.append(at)
+    assert len(want) == 2 and k.pelt(y, penalty, size, 1) == want[::-1]
+
+
 def test_matrix_profile_brute():
     y = np.random.default_rng(2).normal(size=60)
     m, n = 6, 55

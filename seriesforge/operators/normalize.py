@@ -16,6 +16,7 @@ THRESHOLD = 80.0
 def cluster_names(values: DataFrame, threshold: float = THRESHOLD, block: str | None = None) -> DataFrame:
     """raw, normalized, cluster, canonical, confidence for distinct spellings (column raw).
 
+    confidence is the mean similarity of all pairs of a cluster's different normalised texts.
     The leader pass depends on the sorted order of all names, so it runs once per ``block`` (a
     column; by default one block, fit for the distinct names of one column).
     """
@@ -28,9 +29,9 @@ def cluster_names(values: DataFrame, threshold: float = THRESHOLD, block: str |
         pdf["cluster"] = tx.leaders(pdf["normalized"].tolist(), threshold)
         conf = {}
         for c, part in pdf.groupby("cluster"):
-            texts = part["normalized"].tolist()
-            pairs = [tx.token_sort_ratio(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :]] if len(texts) <= 200 else [tx.token_sort_ratio(texts[0], b) for b in texts[1:]]
-            conf[c] = round(sum(pairs) / len(pairs) / 100, 3) if pairs else 1.0
+            texts = sorted(set(part["normalized"]))
+            total = sum(tx.token_sort_ratio(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :])
+            conf[c] = round(total / (len(texts) * (len(texts) - 1) / 2) / 100, 3) if len(texts) > 1 else 1.0
         pdf["confidence"] = pdf["cluster"].map(conf)
         return pdf[["block", "raw", "normalized", "score", "cluster", "confidence"]]
 

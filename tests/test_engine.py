@@ -70,6 +70,15 @@ def test_decomposition_finds_season_and_slope():
     assert np.polyfit(x, trend, 1)[0] == pytest.approx(0.5, abs=0.02) and rest.std() < 1.0
 
 
+def test_confidence_of_a_large_cluster_is_of_all_pairs(spark):
+    names = ["abcdefghijklmnop", "ABCDEFGHIJKLMNOP"] + [f"abcdefghijklmnop {a}{b}" for a in "qrstuvwxyzacegi" for b in "qrstuvwxyzacegi"]
+    rows = normalize.cluster_names(spark.createDataFrame([(n,) for n in names], "raw string"), 80).collect()
+    texts = sorted({r.normalized for r in rows})
+    pairs = [tx.token_sort_ratio(a, b) for i, a in enumerate(texts) for b in texts[:i]]
+    assert len(texts) > 200 and {r.cluster for r in rows} == {0}
+    assert {r.confidence for r in rows} == {round(sum(pairs) / len(pairs) / 100, 3)}
+
+
 def test_change_point_and_discord():
     rng = np.random.default_rng(1)
     y = np.r_[rng.normal(0, 1, 60), rng.normal(8, 1, 60)]

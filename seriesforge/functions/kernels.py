@@ -167,8 +167,12 @@ def matrix_profile(y: np.ndarray, m: int) -> np.ndarray:
 
 
 def discords(y: np.ndarray, most: int = 5000) -> list[tuple[int, float]]:
-    """Windows whose distance is over the 95th percentile, as (start, distance over the largest), largest of each cluster."""
-    y = np.asarray(y, float)[-most:]
+    """Windows whose distance is over the 95th percentile, as (start, distance over the largest), largest of each cluster.
+
+    Only the last ``most`` points are profiled, as in the reference; starts count from the whole series' first point.
+    """
+    before = max(0, len(y) - most)
+    y = np.asarray(y, float)[before:]
     m = max(len(y) // 20, 4)
     if len(y) < 2 * m + 2:
         return []
@@ -180,7 +184,7 @@ def discords(y: np.ndarray, most: int = 5000) -> list[tuple[int, float]]:
             break
         if all(abs(int(i) - j) >= m for j, _ in out):
             out.append((int(i), float(p[i] / top)))
-    return sorted(out)
+    return sorted((before + i, s) for i, s in out)
 
 
 def adf(y: np.ndarray, lags: int | None = None) -> tuple[float, bool]:

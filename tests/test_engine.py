@@ -109,6 +109,13 @@ def test_change_points_of_a_long_series_are_the_direct_search():
     assert len(want) == 2 and k.pelt(y, penalty, size, 1) == want[::-1]
 
 
+def test_discords_of_a_long_series_keep_their_place():
+    y = np.sin(np.arange(900) / 5) + np.random.default_rng(1).normal(0, 0.02, 900)
+    y[700:715] = 0
+    assert any(680 <= at <= 716 for at, _ in k.discords(y, 400))
+    assert k.discords(y, 400) == [(500 + at, s) for at, s in k.discords(y[500:], 400)]
+
+
 def test_matrix_profile_brute():
     y = np.random.default_rng(2).normal(size=60)
     m, n = 6, 55

@@ -362,8 +362,8 @@ def test_language_kernel_brute():
     model = language_id.fit(texts, langs, landmarks=4)
 
     def grams(t):
-        classes = [model["classes"][ord(c)] for c in t]
-        return {tuple(classes[i : i + n]) for n in (1, 2, 3) for i in range(len(classes) - n + 1)} - {(0,)}
+        line = "".join(c if c.isalpha() else " " for c in t.lower())
+        return {line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1)} - {" "}
 
     kernel = lambda a, b: len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
     order = [0, 2, 1, 3]
@@ -373,11 +373,37 @@ def test_language_kernel_brute():
     y = np.array([[1.0 if x == n else -1.0 for n in ("p", "q")] for x in langs])
     w = np.linalg.solve(z.T @ z + language_id.RIDGE * 4 * np.eye(5), z.T @ y)
     want = z @ w
-    mark = np.zeros(language_id.SPACE, bool)
-    got = np.array([model["matrix"][s].sum(axis=0) / np.sqrt(len(s)) + model["bias"] for s in (language_id.grams(t, model["classes"], mark) for t in texts)])
+    got = language_id.product([language_id.grams(t, model["letters"]) for t in texts], model)
     assert np.allclose(got, want, atol=1e-4) and language_id.predict([None, "", "12 ..", "abc"], model)[0] == ["und", "und", "und", "p"]
 
 
+SCRIPTS = {"la": (0x61, 26), "ru": (0x430, 32), "el": (0x3B1, 25), "hi": (0x915, 37), "th": (0xE01, 46), "ko": (0xAC00, 900), "zh": (0x4E00, 1500), "ja": (0x3041, 83), "he": (0x5D0, 27), "ka": (0x10D0, 33), "ar": (0x628, 20)}
+
+
+def test_every_script_is_told(spark, make):
+    rng = np.random.default_rng(8)
+
+    def text(lang):
+        low, n = SCRIPTS[lang]
+        return " ".join("".join(chr(low + int(x)) for x in rng.integers(0, n, 4)) for _ in range(30))
+
+    langs = [name for name in SCRIPTS for _ in range(40)]
+    model = language_id.fit([text(x) for x in langs], langs)
+    tests = [name for name in SCRIPTS for _ in range(30)]
+    got = language_id.predict([text(x) for x in tests], model)[0]
+    right = Counter(g == t for g, t in zip(got, tests))
+    assert right[True] >= 0.97 * len(tests)
+
+
+def test_long_text_in_pieces(monkeypatch):
+    known = language_id.letters()
+    text = "".join(np.random.default_rng(2).choice(list("abcé 中文字"), 5000))
+    want = language_id.grams(text, known)
+    monkeypatch.setattr(language_id, "PIECE", 100)
+    assert (language_id.grams(text, known) == want).all()
+    assert len(language_id.grams("", known)) == 0 and len(language_id.grams("x", known)) == 1
+
+
 def test_language_odd(spark, odd, empty):
     model = language_id.fit(["hello there you", "bonjour les amis"], ["en", "fr"])
     got = {r.doc_id: r.lang_pred for r in language_id.identify(odd, model).collect() if r.doc_id}

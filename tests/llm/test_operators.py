@@ -49,6 +49,32 @@ def test_digest_index_persists(spark, make, tmp_path):
     assert got == {1: (False, 3), 2: (True, 2)} and again.table().count() == 3
 
 
+def test_digest_index_keeps_its_buckets(spark, make, tmp_path):
+    docs = make(*[(i, f"text {i}") for i in range(100)])
+    for n, (first, then) in enumerate(((4, 64), (64, 4), (4, None))):
+        index = exact_dedup.DigestIndex(spark, f"{tmp_path}/i{n}", first)
+        assert sum(r.kept for r in index.add(docs).collect()) == 100
+        index.close()
+        again = exact_dedup.DigestIndex(spark, f"{tmp_path}/i{n}", then)
+        assert again.buckets == first and sum(r.kept for r in again.add(docs).collect()) == 0 and again.table().count() == 100
+        again.close()
+    assert not [t for t in spark.catalog.listTables() if t.name in (index.name, again.name)]
+
+
+def test_unfinished_calls_do_not_count(spark, make, tmp_path):
+    import shutil
+
+    docs = make(*[(i, f"text {i}") for i in range(20)])
+    index = exact_dedup.DigestIndex(spark, f"{tmp_path}/i", 4)
+    index.add(docs).count()
+    shutil.rmtree(f"{tmp_path}/i/log")  # as if the driver was lost after the append
+    assert sum(r.kept for r in exact_dedup.exact_dedup(docs, f"{tmp_path}/i").collect()) == 20
+    assert sum(r.kept for r in exact_dedup.exact_dedup(docs, f"{tmp_path}/i").collect()) == 0
+    spark.range(1).selectExpr("1 AS layout", "4 AS buckets").write.parquet(f"{tmp_path}/old/about")
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, f"{tmp_path}/old")
+
+
 def test_heavy_groups_are_split(spark, make, monkeypatch):
     import seriesforge.llm.common as common
 

@@ -6,15 +6,19 @@ one packed string (a super-k-mer) to the minimiser's bucket, and equal windows a
 A bucket gives its words numbers, sorts the windows' rolling hashes and compares equal
 hashes word by word, so the count is exact.
 
-Copies are combined before the shuffle: of equal super-k-mers that a task packs together, the
-string travels once with the places it stands at. Buckets are made in proportion to the bytes of
-all texts, so one fits a task's memory at any size. Only places of removed words come back to
-the documents, by a join on the doc_id.
+Copies are settled before the shuffle: of equal super-k-mers that a task packs together, all but
+the earliest also start earlier, so their places are removed at once and only the earliest travels
+to the bucket. A passage that stands in every document so costs its bucket a string for each pack
+of ``PACK_BYTES``. Sequences that would be the minimiser of more text than a bucket should hold (by a
+sample, which decides nothing but where windows meet) rank behind all others, so a common
+phrase does not draw all windows around it to one bucket. Buckets and partitions are made in
+proportion to the bytes of all texts, so one fits a task's memory at any size. Only places of
+removed words come back to the documents, by a join on the doc_id.
 
 Defined results: a null or empty text has no words; a text of fewer than 20 words keeps them all;
 rows that share a doc_id count as one document, so equal places of theirs are none earlier and
 equal rows get equal results; a null doc_id comes after every other one; an empty table gives no
-rows. Extra columns are not read.
+rows; a very long text is one document, packed alone if it is larger than a pack. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,9 +39,17 @@ MINIMISER = 4
 BUCKET_BYTES = 6_000_000
 #: Bytes of text that a task packs at once: more combines more copies and takes more memory.
 PACK_BYTES = 8_000_000
+#: Bytes of packed text for each partition of the shuffle to the buckets.
+PARTITION_BYTES = 24_000_000
+#: Texts sampled to find common minimisers: their bytes, and their most share of the corpus.
+SAMPLE_BYTES = 64_000_000
+SAMPLE_SHARE = 1 / 16
+#: At most so many minimisers rank last.
+MOST_COMMON = 100_000
 #: Up to so many doc_ids that several rows share are broadcast.
 MAX_BROADCAST = 1_000_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)  # odd, with bits set all over
+_LAST = np.uint64(1 << 63)  # set in the rank of a common minimiser
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,15 +84,22 @@ def _roll(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def super_kmers(docs: list[list[bytes]], window: int = WINDOW, m: int = MINIMISER):
-    """Runs of windows that share a minimiser: (document, first word, packed string, minimiser)."""
+def super_kmers(docs: list[list[bytes]], window: int = WINDOW, m: int = MINIMISER, common: np.ndarray | None = None):
+    """Runs of windows that share a minimiser: (document, first word, packed string, minimiser).
+
+    ``common`` (sorted) has the minimisers that rank behind all others.
+    """
     docs_at = [(i, w) for i, w in enumerate(docs) if len(w) >= window]
     if not docs_at:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0, np.uint64)
     number: dict[bytes, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for _, words in docs_at for w in words], np.int64)
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))[ids]
-    least = _slide_min(_mix(_roll(hashes, m)), window - m + 1)  # one for each window start of the whole line
+    ranks = _mix(_roll(hashes, m)) & ~_LAST
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, ranks), len(common) - 1)
+        ranks = np.where(common[at] == ranks, ranks | _LAST, ranks)
+    least = _slide_min(ranks, window - m + 1)  # one for each window start of the whole line
     sizes = np.array([len(w) for _, w in docs_at])
     first = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(docs_at)), sizes)[: len(least)]
@@ -99,8 +118,10 @@ def super_kmers(docs: list[list[bytes]], window: int = WINDOW, m: int = MINIMISE
 _CODEC = "zstd"
 
 
-def pack(strings: list[bytes], sid: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[bytes, int]:
+def pack(strings: list[bytes], sid: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, long: np.ndarray | None = None) -> tuple[bytes, int]:
+    """Strings and places as bytes, and their size unpacked; settled places carry ``long``, their words, for a string's number."""
     head = np.array([len(sid)], np.int64).tobytes()
+    sid = np.cumsum(long) if long is not None else sid
     raw = b"".join([head, np.diff(sid, prepend=0).astype(np.int32).tobytes(), np.diff(doc, prepend=0).tobytes(), tag.tobytes(), start.astype(np.int32).tobytes(), b"\n".join(strings)])
     return pa.compress(raw, codec=_CODEC, asbytes=True), len(raw)
 
@@ -118,8 +139,18 @@ def unpack(blob: bytes, size: int):
     return raw[at:].split(b"\n"), np.cumsum(sid, dtype=np.int64), np.cumsum(doc, dtype=np.int64), tag, start.astype(np.int64)
 
 
-def _packed(buckets: int, window: int):
-    """Arrow batches of (doc, tag, text) -> (bucket, blob, size)."""
+def _first_places(sid: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray):
+    """Which rows, in the order of (sid, doc, start, tag), are the earliest of their string, ties with them
+    included, and which repeat a row wholly."""
+    new = np.r_[True, np.diff(sid) != 0]
+    lead = np.repeat(np.flatnonzero(new), np.diff(np.r_[np.flatnonzero(new), len(sid)]))
+    again = np.r_[False, ~new[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (tag[1:] == tag[:-1])]
+    return (doc == doc[lead]) & (start == start[lead]), again
+
+
+def _packed(buckets: int, window: int, common: np.ndarray):
+    """Arrow batches of (doc, tag, text) -> (bucket, blob, size): the earliest place of each string of a pack for
+    the string's bucket, and the places of its copies, settled already, for a bucket below zero."""
 
     def flush(held):
         if not held:
@@ -127,14 +158,25 @@ def _packed(buckets: int, window: int):
         doc, tag, start, least = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2, 4))
         texts = [t for h in held for t in h[3]]
         bucket = (_mix(least) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((start, doc, bucket))
-        cuts = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)]
+        number: dict[bytes, int] = {}
+        sid = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+        order = np.lexsort((tag, start, doc, sid))
+        first, again = _first_places(sid[order], doc[order], tag[order], start[order])
+        later = order[~first & ~again]
         out = []
+        if len(later):
+            sizes = np.fromiter((t.count(b" ") + 1 for t in number), np.int64, len(number))
+            later = later[np.lexsort((start[later], doc[later]))]
+            spans = pack([], np.zeros(len(later), np.int64), doc[later], tag[later], start[later], sizes[sid[later]])
+            out.append((-1 - int(_mix(doc[later[:1]].astype(np.uint64))[0] % np.uint64(buckets)), *spans))
+        order = order[first & ~again]
+        order = order[np.lexsort((start[order], doc[order], bucket[order]))]
+        cuts = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             at = order[a:b]
-            number: dict[bytes, int] = {}
-            sid = np.array([number.setdefault(texts[i], len(number)) for i in at.tolist()], np.int64)
-            out.append((int(bucket[at[0]]), *pack(list(number), sid, doc[at], tag[at], start[at])))
+            number = {}
+            sids = np.array([number.setdefault(texts[i], len(number)) for i in at.tolist()], np.int64)
+            out.append((int(bucket[at[0]]), *pack(list(number), sids, doc[at], tag[at], start[at])))
         cols = list(zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], names=["bucket", "blob", "size"])
 
@@ -142,7 +184,7 @@ def _packed(buckets: int, window: int):
         held, held_bytes, words, ids, tags, now = [], 0, [], [], [], 0
 
         def cut():
-            at, start, texts, least = super_kmers(words, window)
+            at, start, texts, least = super_kmers(words, window, common=common)
             if texts:
                 held.append((np.array(ids, np.int64)[at], np.array(tags, np.int64)[at], start, texts, least))
 
@@ -235,12 +277,17 @@ def repeated_places(strings: list[bytes], sid: np.ndarray, doc: np.ndarray, tag:
 def _in_bucket(window: int):
     def run(table: pa.Table) -> pa.Table:
         strings, cols, n = [], [], 0
+        settled = table.column("bucket")[0].as_py() < 0
         for blob, size in zip(table.column("blob").to_pylist(), table.column("size").to_pylist()):
             s, sid, doc, tag, start = unpack(blob, size)
-            cols.append((sid + n, doc, tag, start))
+            cols.append((np.diff(sid, prepend=0) if settled else sid + n, doc, tag, start))
             strings += s
             n += len(s)
-        doc, tag, a, b = repeated_places(strings, *(np.concatenate([c[i] for c in cols]) for i in range(4)), window=window)
+        sid, doc, tag, start = (np.concatenate([c[i] for c in cols]) for i in range(4))
+        if settled:
+            a, b = start, start + sid
+        else:
+            doc, tag, a, b = repeated_places(strings, sid, doc, tag, start, window=window)
         return pa.table({"doc": pa.array(doc, pa.int64()), "tag": pa.array(tag, pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
 
     return run
@@ -278,12 +325,34 @@ def _cleaned(batches):
         yield pa.RecordBatch.from_arrays([doc_ids, pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
+def common_minimisers(texts: DataFrame, total: int, window: int, bucket_bytes: int) -> np.ndarray:
+    """Minimisers whose windows would make up half a bucket or more, by a sample of the texts (column text, binary)."""
+    share = min(SAMPLE_SHARE, SAMPLE_BYTES / max(1, total))
+
+    def count(batches):
+        for batch in batches:
+            texts = [t.split() for t in batch.column(0).to_pylist() if t]
+            _, _, strings, least = super_kmers(texts, window)
+            if strings:
+                which, at = np.unique(least, return_inverse=True)
+                size = np.bincount(at, weights=[len(s) for s in strings]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(which.view(np.int64)), pa.array(size)], names=["least", "size"])
+
+    drawn = texts.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    sizes = drawn.mapInArrow(count, "least long, size long").groupBy("least").agg(F.sum("size").alias("size"))
+    rows = sizes.where(F.col("size") >= share * bucket_bytes / 2).orderBy(F.desc("size"), "least").limit(MOST_COMMON).select("least").collect()
+    return np.sort(np.array([r.least for r in rows], np.int64).view(np.uint64))
+
+
 def places(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc, tag, a, b: stretches of words that also start earlier (they may overlap). ``docs`` is keyed."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-3 * total // bucket_bytes))  # packed strings hold each word about three times
-    packed = docs.select("doc", "tag", F.col("text").cast("binary").alias("text")).mapInArrow(_packed(buckets, window), "bucket long, blob binary, size long")
-    return packed.groupBy("bucket").applyInArrow(_in_bucket(window), "doc long, tag long, a int, b int")
+    texts = docs.select("doc", "tag", F.col("text").cast("binary").alias("text"))
+    common = common_minimisers(texts, total, window, bucket_bytes)
+    packed = texts.mapInArrow(_packed(buckets, window, common), "bucket long, blob binary, size long")
+    parts = max(1, -(-3 * total // PARTITION_BYTES))
+    return packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_in_bucket(window), "doc long, tag long, a int, b int")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:

@@ -268,6 +268,38 @@ def test_substring_dedup_odd(odd, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_a_common_passage_does_not_fill_its_bucket(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PACK_BYTES", 400_000)
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = spark.range(200_000).selectExpr("id AS doc_id", f"concat('a', id, ' b', id % 7, ' {passage} c', id) AS text")
+    texts = substring_dedup._keyed(docs).select("doc", "tag", F.col("text").cast("binary").alias("text"))
+    common = substring_dedup.common_minimisers(texts, texts.agg(F.sum(F.length("text"))).first()[0], 20, substring_dedup.BUCKET_BYTES)
+    sizes = texts.mapInArrow(substring_dedup._packed(20, 20, common), "bucket long, blob binary, size long")
+    sizes = {r.bucket: r.n for r in sizes.groupBy("bucket").agg(F.sum("size").alias("n")).collect()}
+    assert max(sizes.values()) <= 4 * substring_dedup.BUCKET_BYTES
+    got = substring_dedup.substring_dedup(docs).groupBy("n_removed").count().collect()
+    assert {(r.n_removed, r["count"]) for r in got} == {(0, 1), (40, 6), (41, 199_993)}  # with the word before the passage, which has 7 values
+
+
+def test_a_common_phrase_is_spread(spark, make, monkeypatch):
+    rng = np.random.default_rng(12)
+    phrase = "click here to subscribe"
+    docs = [(i, " ".join([*(f"x{v}" for v in rng.integers(0, 10**6, 20)), phrase, *(f"y{v}" for v in rng.integers(0, 10**6, 20))])) for i in range(300)]
+    docs += [(400 + i, docs[i][1] + " tail") for i in range(0, 300, 10)]
+    monkeypatch.setattr(substring_dedup, "SAMPLE_SHARE", 1.0)
+    keyed = substring_dedup._keyed(make(*docs))
+    texts = keyed.select("doc", "tag", F.col("text").cast("binary").alias("text"))
+    common = substring_dedup.common_minimisers(texts, 100_000, 20, 60_000)
+    _, _, _, least = substring_dedup.super_kmers([phrase.encode().split()], 4)
+    if least[0] in np.concatenate([substring_dedup.super_kmers([t.encode().split()])[3] for _, t in docs]):
+        assert least[0] in common
+    want = brute_kept(docs)
+    for some in (np.zeros(0, np.uint64), least, np.sort(np.concatenate([least, common]))):
+        monkeypatch.setattr(substring_dedup, "common_minimisers", lambda *a, some=some: np.unique(some))
+        got = substring_dedup.substring_dedup(make(*docs)).collect()
+        assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=repr) == want
+
+
 def test_hash_collisions_are_compared(monkeypatch):
     monkeypatch.setattr(substring_dedup, "_roll", lambda x, n: np.zeros(len(x) - n + 1, np.uint64))
     words = [[b"%d" % (i + j) for j in range(25)] for i in range(3)] + [[b"%d" % j for j in range(25)]]

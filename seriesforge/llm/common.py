@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def covered(starts: Column, length: int | None = None) -> Column:
+    """The places, each once, that stretches of ``length`` cover; ``starts`` is an array of where they start, or of
+    (start, len) for stretches of their own length. One pass over hash sets, so it stays linear on long texts."""
+    if length is not None:
+        every = F.transform(starts, lambda s: F.sequence(s, s + (length - 1)))
+    else:
+        every = F.transform(starts, lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))
+    return F.array_distinct(F.flatten(every))
+
+
+def without(elements: Column, n: Column, gone: Column) -> Column:
+    """The elements of an array of ``n`` that do not stand at the places ``gone``, in order."""
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.array_except(places, gone), lambda i: F.get(elements, i))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
@@ -79,6 +96,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if few else df.hint("shuffle_merge")
 
 
+def join_in_parts(rows: DataFrame, table: DataFrame, key: str, max_rows: int, finish=lambda df: df) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key`` by broadcasts of about ``max_rows`` rows each, so no key of ``rows``
+    is ever gathered in one task. With several parts each one's join is written before the next, so one part at a
+    time is held; both inputs are read once a part. ``finish`` is applied to each part's join."""
+    parts = max(1, -(-table.count() // max_rows))
+    if parts == 1:
+        return finish(rows.join(F.broadcast(table), key))
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    return reduce(DataFrame.unionByName, [materialise(finish(rows.join(F.broadcast(table.where(part == k)), key)), "part") for k in range(parts)])
+
+
 #: At most so many keys hold this share of all rows or more.
 HEAVY_KEYS = 1024
 

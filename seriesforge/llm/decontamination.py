@@ -11,7 +11,8 @@ common rarest word only has a longer list.
 Defined results: a null or empty text has no words; a text of fewer words than a window is one
 window; an item without words has none; equal windows of several items count for each; rows that
 share a doc_id, and equal rows, are judged on their own and each return a row; a null item_id
-is not listed; empty tables give no rows or no hits. Extra columns are not read.
+is not listed; empty tables give no rows or no hits; a very long text takes time in proportion to its words.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, lead, materialise, n_words
-from .postings import MAX_BROADCAST, postings, term_counts, with_words
+from . import postings as lists_of
+from .common import broadcast_if_small, covered, join_in_parts, lead, materialise, n_words, without
+from .postings import postings, term_counts, with_words
 
 WINDOW = 8
 ITEMS = 2
@@ -50,58 +52,51 @@ def build_index(docs: DataFrame, signature: DataFrame, window: int = WINDOW) ->
 
 def phrase_matches(index: DataFrame, wins: DataFrame, signature: DataFrame) -> DataFrame:
     """row, win, start, len: every place where a window stands word by word."""
-    lists = index.where(F.col("term").isNotNull()).join(broadcast_if_small(signature, MAX_BROADCAST), "term")
+    most = lists_of.MAX_BROADCAST
+    lists = join_in_parts(index.where(F.col("term").isNotNull()), signature, "term", most)
     lists = lists.withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
     rarest = lists.where("nth = 1").select("row", "win", "start", "len", "near_from", "near")
     second = lists.where("nth = 2").select("row", "win", "start")
     met = rarest.where("len > 1").join(second, ["row", "win", "start"], "left_semi").unionByName(rarest.where("len = 1"))
-    met = met.join(broadcast_if_small(wins.select("win", "win_words"), MAX_BROADCAST), "win")
     same = F.slice("near", F.col("start") - F.col("near_from") + 1, F.col("len")) == F.col("win_words")
-    return met.where(same).select("row", "win", "start", "len")
+    return join_in_parts(met, wins.select("win", "win_words"), "win", most, lambda df: df.where(same).select("row", "win", "start", "len"))
 
 
 def proximity_matches(index: DataFrame, wins: DataFrame, signature: DataFrame) -> DataFrame:
     """row, win, pos: places of a window's rarest word that have all its words, in any order,
     within a window's length on either side."""
-    anchors = index.where(F.col("near").isNotNull()).join(broadcast_if_small(signature.where("nth = 1"), MAX_BROADCAST), "term")
-    anchors = anchors.join(broadcast_if_small(wins.select("win", "win_words"), MAX_BROADCAST), "win")
-    return anchors.where(F.size(F.array_except("win_words", "near")) == 0).select("row", "win", "pos")
+    first = materialise(signature.where("nth = 1").join(wins.select("win", "win_words"), "win").select("win", "term", "win_words"), "rarest")
+    every = F.size(F.array_except("win_words", "near")) == 0
+    return join_in_parts(index.where(F.col("near").isNotNull()), first, "term", lists_of.MAX_BROADCAST, lambda df: df.where(every).select("row", "win", "pos"))
 
 
-def _merged(spans: Column) -> Column:
-    """Sorted (start, end) spans with those that touch made one."""
-    span = "struct<start:int,end:int>"
-    zero = F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(None).cast(span).alias("now"))
-
-    def step(a, s):
-        s = F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))
-        apart = a["now"].isNull() | (s["start"] > a["now"]["end"])
-        wider = F.struct(a["now"]["start"].alias("start"), F.greatest(a["now"]["end"], s["end"]).alias("end"))
-        done = F.when(apart & a["now"].isNotNull(), F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
-        return F.struct(done.alias("done"), F.when(apart, s).otherwise(wider).alias("now"))
-
-    return F.aggregate(spans, zero, step, lambda a: F.concat(a["done"], F.array(a["now"])))
+def items_of(found: DataFrame, wins: DataFrame) -> DataFrame:
+    """row, items: the items of the windows found (row, wins). Windows of the same items are one set of items, so a
+    row meets each set once, however many of its windows it has."""
+    sets = wins.withColumn("set", F.md5(F.to_json(F.array_sort("item_ids"))))
+    each = found.select("row", F.explode("wins").alias("win"))
+    each = join_in_parts(each, sets.select("win", "set"), "win", lists_of.MAX_BROADCAST).select("row", "set").distinct()
+    sets = materialise(sets.groupBy("set").agg(F.first("item_ids").alias("item_ids")), "item_sets")
+    few = (sets.agg(F.sum(F.size("item_ids"))).first()[0] or 0) <= lists_of.MAX_BROADCAST
+    each = each.join(F.broadcast(sets) if few else sets.hint("merge"), "set")
+    return each.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
 
 
 def judge(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """files (row, doc_id, text_hash, n_words), hits (row, spans, items), near (row, n_near).
+    """files (row, doc_id, text_hash, n_words), hits (row, hit, items), near (row, n_near).
 
-    The last two have only rows with a hit; spans are disjoint word ranges, items sorted ids.
+    The last two have only rows with a hit; hit has the places of the hit words, each once, items sorted ids.
     """
     wins = materialise(windows(tests, window), "windows")
     counts = term_counts(docs, wins.select(F.explode("win_words").alias("term")).distinct())
     signature = materialise(ranked(wins, counts).where("nth <= 2").select("win", "len", "term", "offset", "nth"), "signature")
     index = build_index(docs, signature, window)
     found = phrase_matches(index, wins, signature)
-    span = F.struct("start", (F.col("start") + F.col("len")).alias("end"))
-    found = found.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("win").alias("wins"))
-    found = materialise(found.withColumn("spans", _merged(F.col("spans"))), "found")
-    items_of = broadcast_if_small(wins.select("win", "item_ids"), MAX_BROADCAST)
-    listed = found.select("row", "spans", F.explode("wins").alias("win")).join(items_of, "win").groupBy("row").agg(
-        F.first("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items")
-    )
+    found = found.groupBy("row").agg(covered(F.collect_set(F.struct("start", "len"))).alias("hit"), F.collect_set("win").alias("wins"))
+    found = materialise(found, "found")
+    hits = found.select("row", "hit").join(items_of(found, wins), "row")
     near = proximity_matches(index, wins, signature).groupBy("row").agg(F.count_distinct("win").alias("n_near"))
-    return index.where(F.col("term").isNull()).select("row", "doc_id", "text_hash", "n_words"), listed, near
+    return index.where(F.col("term").isNull()).select("row", "doc_id", "text_hash", "n_words"), hits, near
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, items: int = ITEMS) -> DataFrame:
@@ -111,11 +106,11 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, items
     """
     files, hits, near = judge(docs, tests, window)
     none = F.array().cast("array<string>")
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     df = files.join(hits, "row", "left").join(near, "row", "left")
     df = df.withColumn("items", F.coalesce("items", none)).withColumn("n_items", F.size("items").cast("long"))
+    n_hit = F.when(F.col("hit").isNull(), 0).otherwise(F.size("hit")).cast("long")
     return df.select(
-        "doc_id", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_items") >= items).alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
     )
 
@@ -125,16 +120,17 @@ def clean(docs: DataFrame, tests: DataFrame, window: int = WINDOW, items: int =
     separators after them, and n_chars, where there is such a column, is counted anew."""
     files, hits, _ = judge(docs, tests, window)
     key = {"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "k_null": F.col("doc_id").isNull()}
-    hits = files.join(hits, "row").withColumns(key).groupBy("k_id", "k_null", "text_hash").agg(F.first("spans").alias("cuts"), (F.max(F.size("items")) >= items).alias("contaminated"))
+    hits = files.join(hits, "row").withColumns(key).groupBy("k_id", "k_null", "text_hash").agg(F.first("hit").alias("cuts"), (F.max(F.size("items")) >= items).alias("contaminated"))
     hits = materialise(hits, "hits")
-    few = (hits.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= 2 * MAX_BROADCAST
+    few = (hits.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= 2 * lists_of.MAX_BROADCAST
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in key.items()], F.xxhash64("text").alias("text_hash"))
     df = keyed.join(F.broadcast(hits) if few else hits.hint("merge"), list(key) + ["text_hash"], "left").where("contaminated is null or not contaminated")
     text = F.col("row.text")
     # Each piece is a word, in either case, and what follows it, so piece i holds word i.
     apart = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
     pieces = F.regexp_extract_all(text, F.lit(f"([^{apart}]+[{apart}]*)"), F.lit(1))
-    kept = F.filter(pieces, lambda p, i: ~F.exists("cuts", lambda s: (i >= s["start"]) & (i < s["end"])))
+    df = df.withColumn("pieces", F.when(F.col("cuts").isNotNull(), pieces))
+    kept = without(F.col("pieces"), F.size("pieces"), F.col("cuts"))
     cut = F.when(F.col("cuts").isNull(), text).otherwise(F.concat(F.regexp_extract(text, f"^[{apart}]*", 0), F.concat_ws("", kept)))
     anew = {"text": cut}
     if "n_chars" in docs.columns:

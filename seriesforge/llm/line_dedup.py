@@ -2,13 +2,13 @@
 
 Every three consecutive lines of a document are a window, known by the MD5 of its lines. The
 earliest place of each repeated window is found by an aggregation that combines before the
-shuffle; at every later place its lines are covered, covered stretches are merged, and what they
-cover is removed. Windows are judged on the input, not on what is left.
+shuffle; at every later place its lines are covered, and the union of the covered places is
+removed. Windows are judged on the input, not on what is left.
 
 Defined results: lines end at a line feed; a null or empty text has none; a text of fewer than
 three lines keeps them all; rows that share a doc_id count as one document, so equal places of
-theirs are none earlier; a null doc_id comes after every other one; an empty table gives no rows.
-Extra columns are not read.
+theirs are none earlier; a null doc_id comes after every other one; an empty table gives no rows;
+a text of many lines takes time in proportion to them. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialise
-from .decontamination import _merged
+from .common import attach, covered, materialise, without
 from .substring_dedup import _keyed
 
 WINDOW = 3
@@ -42,11 +41,9 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -
     groups = rows.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = materialise(groups.select("h", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"), "n"), "repeated_windows")
     later = attach(rows, groups, "h", "n").where("doc <> first_doc or start <> first_start")
-    span = F.struct(F.col("start").alias("start"), (F.col("start") + window).alias("end"))
-    gone = later.groupBy("doc", "tag").agg(_merged(F.array_sort(F.collect_set(span))).alias("spans"))
-    gone = materialise(gone, "covered_lines")
+    gone = materialise(later.groupBy("doc", "tag").agg(covered(F.collect_set("start"), window).alias("gone")), "covered_lines")
     df = keyed.join(gone.hint("merge"), ["doc", "tag"], "left").withColumn("lines", lines_of(F.col("text")))
-    kept = F.when(F.col("spans").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line, i: ~F.exists("spans", lambda s: (i >= s["start"]) & (i < s["end"]))))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(without(F.col("lines"), F.size("lines"), F.col("gone")))
     df = df.withColumn("kept_lines", kept)
     n = F.size("lines").cast("long")
     body = F.concat_ws("\n", "kept_lines")

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ascii_lower, broadcast_if_small, lead, split_words
+from .common import NOT_ALNUM, ascii_lower, join_in_parts, lead, split_words
 
-#: Terms of more rows than this are joined by a shuffle rather than broadcast.
+#: So many terms, or windows, are broadcast at a time.
 MAX_BROADCAST = 500_000
 
 
@@ -22,10 +22,14 @@ def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, df: occurrences in all documents of each of ``terms`` (column term, distinct)."""
-    keyed = broadcast_if_small(terms.select("term", F.xxhash64("term").alias("h")), MAX_BROADCAST)
-    words = with_words(docs.select("text")).select(F.explode("words").alias("w")).select("w", F.xxhash64("w").alias("h"))
-    found = words.join(keyed, "h").where("w = term").groupBy("h").agg(F.count("*").alias("n"))
-    return keyed.join(found, "h", "left").select("term", F.coalesce("n", F.lit(0)).alias("df"))
+    words = with_words(docs.select("text")).select(F.explode("words").alias("w"))
+    keyed = terms.select("term", F.xxhash64("term").alias("h"))
+    if terms.count() <= MAX_BROADCAST:
+        keyed = F.broadcast(keyed)
+        found = words.withColumn("h", F.xxhash64("w")).join(keyed, "h").where("w = term").groupBy("h").agg(F.count("*").alias("n"))
+        return keyed.join(found, "h", "left").select("term", F.coalesce("n", F.lit(0)).alias("df"))
+    found = words.groupBy("w").agg(F.count("*").alias("n"))  # combined before the shuffle: a row for each word and task
+    return keyed.join(found, F.col("term") == F.col("w"), "left").select("term", F.coalesce("n", F.lit(0)).alias("df"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_id") -> DataFrame:
@@ -34,17 +38,16 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_i
     ``near`` holds the words from ``near_from`` on, up to ``reach`` words on either side, for
     terms whose ``wide`` is true, else null. Every document has one more row, whose term and pos are
     null and which carries n_words and text_hash. ``row`` numbers the rows of ``docs``; it is fixed
-    only once the result is written.
+    only once the result is written. More terms than ``MAX_BROADCAST`` are looked up in several passes.
     """
-    keyed = terms.select("term", F.xxhash64("term").alias("h"), "wide").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"), F.xxhash64(F.lit("")).alias("h"), F.lit(False).alias("wide")))
-    keyed = broadcast_if_small(keyed, MAX_BROADCAST)
+    end = terms.sparkSession.range(1).select(F.lit("").alias("term"), F.xxhash64(F.lit("")).alias("h"), F.lit(False).alias("wide"))
+    keyed = terms.select("term", F.xxhash64("term").alias("h"), "wide").unionByName(end)
     df = with_words(docs.select(F.col(id_col).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))).withColumn("row", F.monotonically_increasing_id())
     df = df.select("row", "doc_id", "text_hash", "words", F.posexplode("words").alias("i", "w")).withColumn("h", F.xxhash64("w"))
-    df = df.join(keyed, "h").where("w = term and (w <> '' or i = size(words) - 1)")
     pos = F.col("i") - lead(F.col("words"))
     start = F.greatest(pos - reach, F.lit(0))
     real = F.col("w") != ""
-    return df.select(
+    columns = (
         "row",
         "doc_id",
         F.when(~real, F.col("text_hash")).alias("text_hash"),
@@ -54,3 +57,4 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_i
         F.when(real & F.col("wide"), start).alias("near_from"),
         F.when(real & F.col("wide"), F.slice("words", start + lead(F.col("words")) + 1, F.lit(2 * reach + 1))).alias("near"),
     )
+    return join_in_parts(df, keyed, "h", MAX_BROADCAST, lambda df: df.where("w = term and (w <> '' or i = size(words) - 1)").select(*columns))

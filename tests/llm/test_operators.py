@@ -200,6 +200,39 @@ def test_decontamination_brute(spark, make):
     assert sorted([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()], key=repr) == brute_hits(docs, tests)
 
 
+def test_many_terms_are_looked_up_in_parts(spark, monkeypatch):
+    from seriesforge.llm import postings
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    tests = spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet")
+    want = sorted(map(tuple, decontamination.decontaminate(docs, tests).collect()))
+    kept = sorted(map(tuple, decontamination.clean(docs, tests).collect()), key=repr)
+    n = decontamination.windows(tests).select(F.explode("win_words")).distinct().count()
+    monkeypatch.setattr(postings, "MAX_BROADCAST", n // 4)
+    assert sorted(map(tuple, decontamination.decontaminate(docs, tests).collect())) == want
+    assert sorted(map(tuple, decontamination.clean(docs, tests).collect()), key=repr) == kept
+
+
+def test_long_texts_take_time_in_proportion(spark, make):
+    import time
+
+    tests = spark.createDataFrame([(i, f"stock line {i} " + " ".join(f"t{i}x{j}" for j in range(8))) for i in range(50)], "item_id long, text string")
+    took = {}
+    for n in (1_000, 32_000, 64_000):
+        # Every second pair of lines repeats, so half of the lines are covered by stretches of their own.
+        body = "\n".join(f"same {i % 500 if i // 4 % 2 else i} line" for i in range(n))
+        hits = " ".join(f"word{i} stock line {i % 50} " + " ".join(f"t{i % 50}x{j}" for j in range(8)) for i in range(n // 8))
+        docs = make((1, body), (2, body + "\nend"), (3, hits))
+        a = time.time()
+        got = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+        b = time.time()
+        kept = decontamination.clean(docs, tests, items=100).collect()
+        took[n] = (b - a, time.time() - b)
+        assert got[2].n_lines == n + 1 and got[2].n_removed == n and len(kept) == 3
+        assert {r.doc_id: r.text for r in kept}[3].split() == [f"word{i}" for i in range(n // 8)]
+    assert all(b <= 2 * a + 2 for a, b in zip(took[32_000], took[64_000]))
+
+
 def test_clean_cuts_and_drops(spark, make):
     a, b = "one two three four five six seven eight nine", "uno dos tres cuatro cinco seis siete ocho"
     tests = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")

@@ -1,21 +1,25 @@
 """Licence scan by a positional rare-token index (DataFrame operations only).
 
-Licence notices are templates: words at fixed places, with a key phrase that must be there word
-by word. The corpus gives each template word its inverse document frequency. A file is looked up
-by the rarest word of each key phrase and by the rarest other words; postings that agree in
-their position relative to the template are intersected, then the key phrase is verified and the
-share of the template's words that stand in their places is the score.
+Licence notices are templates: words at places, with key phrases that must stand word by word. The
+corpus gives the key words their inverse document frequency, and each file is looked up by its
+highest-IDF licence words: a file that has a notice has the words of its first key phrase, so the two
+rarest of them miss none. Their postings are intersected by position relative to the template, the
+key phrases are verified, and the notice is aligned with the words around: a template word is in place if
+it stands within ``GAP`` words of where the key phrase puts it, so words that were put in or left out
+move the rest but do not lose it. The share of the words in place is the score.
 
-No match is lost: a template that tolerates e differing words is indexed by its key word and
-e + 1 others, one of which must be in place.
+Notices and identifiers are data (licences.txt). The base phrases must stand as they are.
 
 Defined results: a null or empty text has no words and no labels (empty strings, score 0);
 overlapping places all count; rows that share a doc_id, and equal rows, each return a row; an
-empty table gives no rows. Extra columns are not read.
+empty table gives no rows; a very long text only has more postings. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from pathlib import Path
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,79 +28,93 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .postings import postings, term_counts
 
+#: Words by which a notice's words may be out of place.
+GAP = 8
+
 
 class Template(NamedTuple):
     label: str
-    words: str
-    key: str
+    words: tuple[str, ...]
+    #: The first says where the template is; the others must stand within ``gap`` words of it.
+    keys: tuple[str, ...]
     #: Least share of the words that must be in place.
     share: float = 1.0
+    gap: int = GAP
     #: One of the fixed phrases whose places are counted.
     base: bool = False
 
+    @property
+    def key_at(self) -> int:
+        key = tuple(self.keys[0].split())
+        return next(i for i in range(len(self.words)) if self.words[i : i + len(key)] == key)
+
+    @property
+    def spare(self) -> int:
+        return int((1 - self.share) * len(self.words) + 1e-9)
+
+
+def words_of(text: str) -> tuple[str, ...]:
+    return tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
 
-#: The base phrases and the wording of public licence notices.
-TEMPLATES = (
-    Template("mit", "under the mit license", "under the mit license", base=True),
-    Template("apache-2", "apache license version 2", "apache license version 2", base=True),
-    Template("cc-by-nc", "cc by nc", "cc by nc", base=True),
-    Template("agpl-3", "gnu affero general public license", "gnu affero general public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms", 0.8),
-    Template("cc-by-sa", "cc by sa", "cc by sa"),
-    Template("cc-by-nc", "creative commons attribution noncommercial", "creative commons attribution noncommercial"),
-    Template("cc0", "cc0 1 0 universal", "cc0 1 0", 0.75),
-    Template("gpl-2", "under the terms of the gnu general public license version 2", "gnu general public license version 2", 0.6),
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3", 0.5),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute", 0.8),
-    Template("lgpl", "gnu lesser general public license", "gnu lesser general public license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge", 0.8),
-    Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2", 0.6),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software", 0.7),
-)
+
+def read_templates(text: str) -> tuple[Template, ...]:
+    """Templates from the blocks of a notice file."""
+    found = []
+    for block in re.split(r"\n\s*\n", re.sub(r"(?m)^#.*$", "", text)):
+        lines = [tuple(x.strip() for x in line.split(":", 1)) for line in block.splitlines() if ":" in line]
+        for label, name in (x.split(" = ") for k, x in lines if k == "spdx"):
+            words = words_of(f"SPDX-License-Identifier: {name}")
+            found.append(Template(label, words, (" ".join(words),)))
+        has = dict(lines)
+        if "text" in has:
+            words, base = words_of(has["text"]), has.get("base") == "yes"
+            keys = tuple(x for k, x in lines if k == "key") or (" ".join(words),)
+            found.append(Template(has["label"], words, keys, float(has.get("share", 1)), 0 if base else GAP, base))
+    return tuple(found)
+
+
+TEMPLATES = read_templates(Path(__file__).with_name("licences.txt").read_text("utf-8"))
 
 
 def _templates(spark: SparkSession, templates) -> DataFrame:
-    rows = []
-    for n, t in enumerate(templates):
-        words, key = t.words.split(), t.key.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        rows.append((n, t.label, words, at, len(key), int((1 - t.share) * len(words) + 1e-9), t.base))
-    return spark.createDataFrame(rows, "template int, label string, twords array<string>, key_at int, key_len int, spare int, base boolean").coalesce(1)
+    """The templates as rows, parsed from a literal by one task of the JVM."""
+    rows = [{"template": n, "label": t.label, "twords": t.words, "keys": t.keys[1:], "key_at": t.key_at, "key_len": len(t.keys[0].split()), "spare": t.spare, "gap": t.gap, "base": t.base} for n, t in enumerate(templates)]
+    schema = "array<struct<template int, label string, twords array<string>, keys array<string>, key_at int, key_len int, spare int, gap int, base boolean>>"
+    return spark.range(1).coalesce(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
 
 def signature(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """template, term, tpos, anchor, needs: the rare-token index of the templates."""
-    places = templates.select("template", "key_at", "key_len", "spare", F.posexplode("twords").alias("tpos", "term"))
-    counts = term_counts(docs, places.select("term").distinct())
-    in_key = (F.col("tpos") >= F.col("key_at")) & (F.col("tpos") < F.col("key_at") + F.col("key_len"))
-    places = places.join(counts, "term")
-    places = places.withColumn("nth", F.row_number().over(Window.partitionBy("template").orderBy(~in_key, "df", "term", "tpos")))
-    others = places.where("nth > 1").withColumn("nth", F.row_number().over(Window.partitionBy("template").orderBy("df", "term", "tpos")))
-    chosen = others.where("nth <= spare + 1").withColumn("anchor", F.lit(False))
-    needs = F.max("n_others").over(Window.partitionBy("template")) > F.col("spare")
-    both = chosen.withColumn("n_others", F.col("nth")).unionByName(places.where("nth = 1").withColumns({"anchor": F.lit(True), "n_others": F.lit(0)}))
-    return both.withColumn("needs", needs).select("template", "term", "tpos", "anchor", "needs")
+    """template, term, tpos, nth: the two rarest words of each template's first key phrase, the rarest first."""
+    places = templates.select("template", "key_at", "key_len", F.posexplode("twords").alias("tpos", "term"))
+    places = places.where("tpos >= key_at and tpos < key_at + key_len")
+    places = places.join(term_counts(docs, places.select("term").distinct()), "term")
+    nth = F.row_number().over(Window.partitionBy("template").orderBy("df", "term", "tpos"))
+    return places.withColumn("nth", nth).where("nth <= 2").select("template", "term", "tpos", "nth")
 
 
 def matches(docs: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """The files (row, doc_id, n_words) and every match: row, label, base, start (place of the
     template's first word), score."""
     spark = docs.sparkSession
-    known = _templates(spark, templates)
+    known = materialise(_templates(spark, templates), "license_templates")
     sign = materialise(signature(docs, known), "license_signature")
-    terms = sign.groupBy("term").agg(F.max("anchor").alias("wide"))
-    longest = max(len(t.words.split()) for t in templates)
+    terms = sign.groupBy("term").agg(F.max(F.col("nth") == 1).alias("wide"))
+    longest = max(len(t.words) + t.gap for t in templates)
     index = materialise(postings(docs, terms, longest), "license_postings")
     lists = index.where(F.col("term").isNotNull()).join(F.broadcast(sign), "term").withColumn("start", F.col("pos") - F.col("tpos"))
-    anchors = lists.where("anchor").select("row", "template", "start", "needs", "near_from", "near")
-    others = lists.where("not anchor").select("row", "template", "start")
-    met = anchors.where("needs").join(others, ["row", "template", "start"], "left_semi").unionByName(anchors.where("not needs"))
+    rarest = lists.where("nth = 1").select("row", "template", "start", "near_from", "near")
+    second = lists.where("nth = 2").select("row", "template", "start")
+    few = [n for n, t in enumerate(templates) if len(t.keys[0].split()) == 1]
+    alone = F.col("template").isin(few) if few else F.lit(False)
+    met = rarest.where(~alone).join(second, ["row", "template", "start"], "left_semi").unionByName(rarest.where(alone))
     met = met.join(F.broadcast(known), "template")
     at = F.col("start") - F.col("near_from")
     key = F.slice("near", at + F.col("key_at") + 1, F.col("key_len")) == F.slice("twords", F.col("key_at") + 1, F.col("key_len"))
     met = met.withColumn("at", at).where(F.col("at") + F.col("key_at") >= 0).where(key)
-    # get() is null outside of the text, so template words before its start or after its end are not in place.
-    met = met.withColumn("placed", F.expr("size(filter(transform(twords, (w, i) -> get(near, at + i) <=> w), x -> x))"))
+    around = F.concat(F.lit(" "), F.array_join(F.expr("slice(near, greatest(at - gap, 0) + 1, at + size(twords) + gap - greatest(at - gap, 0))"), " "), F.lit(" "))
+    met = met.withColumn("around", F.when(F.size("keys") > 0, around)).where("forall(keys, k -> contains(around, concat(' ', k, ' ')))")
+    # slice() is empty outside of the text, so template words before its start or after its end are not in place.
+    met = met.withColumn("placed", F.expr("size(filter(sequence(0, size(twords) - 1), i -> at + i + gap >= 0 and array_contains(slice(near, greatest(at + i - gap, 0) + 1, at + i + gap + 1 - greatest(at + i - gap, 0)), twords[i])))"))
     met = met.where(F.col("placed") + F.col("spare") >= F.size("twords"))
     files = index.where(F.col("term").isNull()).select("row", "doc_id", "n_words")
     return files, met.select("row", "label", "base", "start", (F.col("placed") / F.size("twords")).alias("score"))
@@ -122,15 +140,15 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 def oracle_sql(templates=TEMPLATES) -> str:
     """The same by plain search: every place of every template in every text."""
-    values = ", ".join(
-        f"('{t.label}', string_split('{t.words}', ' '), '{t.key}', {t.words.split().index(t.key.split()[0]) if t.words.find(t.key) == 0 else len(t.words[: t.words.find(t.key)].split())}, {len(t.key.split())}, {int((1 - t.share) * len(t.words.split()) + 1e-9)}, {str(t.base).lower()})"
-        for t in templates
-    )
+    listed = lambda xs: f"[{', '.join(repr(x) for x in xs)}]::VARCHAR[]"
+    values = ", ".join(f"('{t.label}', {listed(t.words)}, '{t.keys[0]}', {listed(t.keys[1:])}, {t.key_at}, {len(t.keys[0].split())}, {t.spare}, {t.gap}, {str(t.base).lower()})" for t in templates)
     return rf"""
-WITH t(label, tw, key, ka, kl, spare, base) AS (VALUES {values}),
+WITH t(label, tw, key, keys, ka, kl, spare, gap, base) AS (VALUES {values}),
 d AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
 k AS (SELECT d.doc_id, t.*, unnest(list_filter(range(1, len(w) - kl + 2), lambda i: w[i] = string_split(key, ' ')[1] AND array_to_string(w[i:i + kl - 1], ' ') = key)) - ka AS s, w FROM d JOIN t ON contains(d.line, ' ' || key || ' ')),
-m AS (SELECT doc_id, label, base, s - 1 AS start, spare, len(tw) AS n, len(list_filter(range(1, len(tw) + 1), lambda i: s + i - 1 >= 1 AND s + i - 1 <= len(w) AND w[greatest(s + i - 1, 1)] = tw[i])) AS placed FROM k),
+v AS (SELECT *, ' ' || array_to_string(w[greatest(s - gap, 1):s + len(tw) - 1 + gap], ' ') || ' ' AS near FROM k),
+m AS (SELECT doc_id, label, base, s - 1 AS start, spare, len(tw) AS n, len(list_filter(range(1, len(tw) + 1), lambda i: s + i - 1 + gap >= 1 AND list_contains(w[greatest(s + i - 1 - gap, 1):greatest(s + i - 1 + gap, 1)], tw[i]))) AS placed
+  FROM v WHERE len(list_filter(keys, lambda x: contains(near, ' ' || x || ' '))) = len(keys)),
 g AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(placed / n) AS score FROM m WHERE placed + spare >= n GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -262,6 +262,34 @@ def test_license_scan_cases(make, odd, empty):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(empty).count() == 0
 
 
+NOTICES = {
+    "gpl-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-3": "// SPDX-License-Identifier: GPL-3.0-or-later",
+    "gpl": "You should have received a copy of the GNU General Public License along with this program.",
+    "bsd": "Redistribution and use in source and binary forms (of this library), with or without modification, are permitted provided that the following conditions are met:",
+    "mit": "Permission is hereby granted, free of charge, to any individual or person obtaining a copy of this software and associated documentation files",
+    "lgpl,lgpl-2.1": "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    "isc": "Permission to use, copy, modify, and distribute this software",
+    "zlib": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+}
+
+
+def test_notices_with_changes(spark, make, tmp_path):
+    docs = [(i, f"Some words before. {t} And after.") for i, t in enumerate(NOTICES.values())]
+    docs += [(50, "permission is hereby granted free of charge to park here"), (51, "the general public of the license"), (52, NOTICES["bsd"] + " " + NOTICES["mit"])]
+    got = {r.doc_id: r.labels for r in license_scan.scan(make(*docs)).collect()}
+    want = {i: ("" if label == "isc" else label) for i, label in enumerate(NOTICES)}  # the key phrase of isc is cut short
+    assert got == {**want, 50: "", 51: "", 52: "bsd,mit"}
+    make(*docs).write.parquet(f"{tmp_path}/documents.parquet")
+    assert compare(license_scan.scan(make(*docs)), connect(str(tmp_path)), license_scan.oracle_sql()) == ""
+
+
+def test_every_notice_gets_its_label(make):
+    docs = [(i, " ".join(["before", *t.words, "after"])) for i, t in enumerate(license_scan.TEMPLATES)]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(make(*docs)).collect()}
+    assert all(t.label in got[i] for i, t in enumerate(license_scan.TEMPLATES)) and len({t.label for t in license_scan.TEMPLATES}) >= 25
+
+
 # --- substring dedup
 
 

@@ -96,15 +96,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if few else df.hint("shuffle_merge")
 
 
-def join_in_parts(rows: DataFrame, table: DataFrame, key: str, max_rows: int, finish=lambda df: df) -> DataFrame:
-    """``rows`` joined with ``table`` on ``key`` by broadcasts of about ``max_rows`` rows each, so no key of ``rows``
-    is ever gathered in one task. With several parts each one's join is written before the next, so one part at a
-    time is held; both inputs are read once a part. ``finish`` is applied to each part's join."""
+def join_in_parts(rows: DataFrame, table: DataFrame, key: str, max_rows: int, finish=lambda df: df, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` on ``key`` (never null) by broadcasts of about ``max_rows`` rows each, so no key of
+    ``rows`` is ever gathered in one task. With several parts each one's join is written before the next, so one part
+    at a time is held; both inputs are read once a part. ``finish`` is applied to each part's join."""
     parts = max(1, -(-table.count() // max_rows))
     if parts == 1:
-        return finish(rows.join(F.broadcast(table), key))
+        return finish(rows.join(F.broadcast(table), key, how))
     part = F.pmod(F.xxhash64(key), F.lit(parts))
-    return reduce(DataFrame.unionByName, [materialise(finish(rows.join(F.broadcast(table.where(part == k)), key)), "part") for k in range(parts)])
+    return reduce(DataFrame.unionByName, [materialise(finish(rows.where(part == k).join(F.broadcast(table.where(part == k)), key, how)), "part") for k in range(parts)])
 
 
 #: At most so many keys hold this share of all rows or more.

@@ -14,7 +14,9 @@ the schedule comes to as its blocks get small. Documents are ordered by a hash w
 
 Defined results: a null text has no words, a document without words is taken 0 times, a null
 source is a source of its own and comes last, equal rows are documents of their own, an empty
-table gives no rows. Reruns agree.
+table gives no rows, a very long text lies in many blocks. Reruns agree. Sources themselves are put in order by one
+task, a row each; tables of more than ``MAX_SOURCES`` are joined by a shuffle, in which no block holds
+more than its share of the documents.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SLOTS = 65536
 #: A source of fewer blocks than this, by size or target, is settled to the word.
 FEW = 256
 CHUNK = 1024
+#: Up to so many sources are broadcast.
+MAX_SOURCES = 200_000
 GOLDEN = 0.6180339887498949
 SEED = "mix-1"
 
@@ -86,7 +90,7 @@ def blocks(sources: DataFrame, plan: DataFrame, block: int, most: int = MOST) ->
     n = F.ceil(F.col("source_size") / block).cast("long")
     every = sources.where("source_size > 0").select("sid", "source_size", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block"))
     counted = sources.where("source_size > 0").select("sid", n.alias("n"))
-    uses = plan.join(F.broadcast(counted), "sid").where(F.col("rank") < most * F.col("n")).groupBy("sid", (F.col("rank") % F.col("n")).alias("block")).agg(F.count("*").alias("uses"))
+    uses = plan.join(counted, "sid").where(F.col("rank") < most * F.col("n")).groupBy("sid", (F.col("rank") % F.col("n")).alias("block")).agg(F.count("*").alias("uses"))
     long = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block)
     df = every.join(uses, ["sid", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
     df = df.select("sid", "block", "uses", (F.col("uses") * long).alias("words"), F.floor(F.col("block") / CHUNK).alias("chunk"))
@@ -112,7 +116,8 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), slots: int = SLOTS) -> Data
     sources = materialise(targets(sums.groupBy("source_key").agg(F.sum("words").alias("source_size"))), "mix_targets")
     total = (sources.agg(F.max("total")).first()[0]) or 0
     block = max(1, -(-total // slots))
-    cut = F.broadcast(materialise(blocks(sources, schedule(sources, block, total), block), "mix_blocks"))  # slots rows and one per source
+    cut = materialise(blocks(sources, schedule(sources, block, total), block), "mix_blocks")  # slots rows and one per source
+    few = sources.count() <= MAX_SOURCES
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("bucket_at", F.coalesce(F.sum("words").over(before), F.lit(0))).join(sources, "source_key").drop("words", "total", "reach")
     inner = Window.partitionBy("source_key", "bucket").orderBy("mix_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -128,7 +133,8 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), slots: int = SLOTS) -> Data
     def with_taken(df: DataFrame, at: Column, name: str) -> DataFrame:
         side = cut.select(F.col("sid").alias("cut_sid"), F.col("block").alias("cut_block"), "uses", "taken_before")
         df = df.withColumn("cut_at", at).withColumn("on", F.least(F.floor(F.col("cut_at") / block).cast("long"), last))
-        df = df.join(F.broadcast(side), (F.col("sid") == F.col("cut_sid")) & (F.col("on") == F.col("cut_block")), "left")
+        same = (F.col("sid") == F.col("cut_sid")) & (F.col("on") == F.col("cut_block")) & (F.col("size") > 0)
+        df = df.join(F.broadcast(side) if few else side.hint("merge"), same, "left")
         upto = F.col("taken_before") + F.col("uses") * (F.col("cut_at") - F.col("on") * block)
         upto = F.when(coarse, passes * F.col("cut_at") + F.least(F.col("cut_at"), rest)).otherwise(upto)
         return df.withColumn(name, F.coalesce(upto, F.lit(0))).drop("cut_sid", "cut_block", "uses", "taken_before", "cut_at", "on")

@@ -5,7 +5,13 @@ or fewer differing bits. The 64 bits form a ring of 5 segments; if two fingerpri
 most 4 bits, some chain of consecutive segments keeps within its proportional budget at every
 length: no difference in its first segment, at most 1 in the first two, 2 in three, 3 in four.
 The first two segments, with one bit of the second left out, are the key under which
-candidates meet (65 keys a fingerprint); longer chains prune them before the whole comparison.
+candidates meet (64 keys a fingerprint); longer chains prune them before the whole comparison.
+
+``similar`` links texts of a Jaccard similarity of 0.8 or more over 5-word shingles, which differ in some 15 %
+of their bits: no chain that is sure to keep its budget then has enough bits to meet under. Its fingerprints
+have 512 bits in a ring of 64 segments, and candidates meet under chains of three segments without a
+difference, taken round the ring in four orders (256 keys). So it is a filter of measured recall. The first 64
+bits prune the candidates, and all 512 decide.
 
 Copies share a fingerprint and are one node. Within a key a search from one node at a time takes
 what it links out of the rest, so a key with k nodes emits at most k - 1 links, whatever their
@@ -16,11 +22,13 @@ ever shuffled.
 Defined results: a null or empty text, and one of separators only, has fingerprint zero, linked
 as any other; a text of fewer words than a shingle is one shingle; rows that share a doc_id and
 equal rows each return a row; a null doc_id is never the smallest, and a component of such
-rows only has none; an empty table gives no rows. Extra columns are not read.
+rows only has none; a very long text is hashed whole; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,28 +44,61 @@ MAX_BROADCAST = 500_000
 SEED = 42
 #: Segments of the ring as (lowest bit, number of bits).
 RING = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Of ``similar``: words of a shingle, least similarity, 64-bit words of a fingerprint, segments of its ring, those of a
+#: chain, and the steps in which chains go round.
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE_WORDS = 8
+WIDE_RING = 64
+CHAIN = 3
+STEPS = (1, 5, 11, 23)
+#: Standard deviations above the mean difference of texts that are just similar enough, for the pruning and the decision.
+PRUNE, DECIDE = 1.7, 1.5
+#: Bytes of keys for each partition of their shuffle.
+PARTITION_BYTES = 64_000_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits; bit i is 1 if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     words = text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, seed)
+        return np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
     starts = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) + 1 for w in words], out=starts[1:])
     digest = xxhash.xxh64_intdigest
     n = len(words) - shingle + 1
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), (starts[shingle:] - 1).tolist())), np.uint64, n)
-    parts = hashes.view(np.uint8).reshape(n, 8)
+    return np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), (starts[shingle:] - 1).tolist())), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bytes of a fingerprint, by bit the majority over the rows of ``hashes`` (n, words)."""
+    n = len(hashes)
+    parts = np.ascontiguousarray(hashes).view(np.uint8)
     if n < 200:
         ones = np.unpackbits(parts, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     else:
-        ones = np.concatenate([np.bincount(parts[:, i], minlength=256) @ _BITS for i in range(8)])
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        ones = np.concatenate([np.bincount(parts[:, i], minlength=256) @ _BITS for i in range(parts.shape[1])])
+    return np.packbits(2 * ones > n, bitorder="little")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64 bits; bit i is 1 if it is set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, shingle, seed)
+    return int.from_bytes(majority(hashes[:, None]).tobytes(), "little") if len(hashes) else 0
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> np.ndarray:
+    """A fingerprint of several 64-bit words; each shingle counts once."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
+    x = hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return majority(x ^ (x >> np.uint64(31))).view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -73,7 +114,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def ring_keys(fps: np.ndarray) -> np.ndarray:
-    """(n, 65): chain start, segment without a difference, next segment but for one bit, that bit."""
+    """(n, 64): chain start, segment without a difference, next segment but for one bit, that bit."""
     keys = []
     for i, (low, n) in enumerate(RING):
         at, m = RING[(i + 1) % len(RING)]
@@ -152,10 +193,15 @@ def links(distinct: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     spread_out = distinct.select("fp").mapInArrow(spread, "key long, fp long")
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _partitions(distinct, 64 * 16)
     return spread_out.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").distinct()
 
 
+def _partitions(nodes: DataFrame, bytes_each: int) -> int:
+    least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-nodes.count() * bytes_each // PARTITION_BYTES))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node reaches (nodes without a link have no row).
 
@@ -182,19 +228,120 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id, text_hash."""
     rows = materialise(fingerprints(docs, shingle), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
-    found = components(links(nodes.select("fp")))
-    classes = nodes.join(found, nodes.fp == found.node, "left").withColumn("root", F.coalesce("root", "fp"))
+    return _classes(rows, nodes, links(nodes.select("fp"))).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+
+
+def _classes(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with the component_id of their node (fp, low, n)."""
+    found = components(edges)
+    classes = nodes.select("fp", "low", "n").join(found, nodes.fp == found.node, "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = materialise(classes.join(least, "root").select("fp", "n", "component_id"), "classes")
-    return attach(rows, classes, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    return attach(rows, classes, "fp", "n")
+
+
+def budget(bits: int, similarity: float, deviations: float) -> int:
+    """Differing bits of two sets of this Jaccard similarity and like size, ``deviations`` above their mean."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def chain_keys(words: np.ndarray) -> np.ndarray:
+    """(n, 256): the number of a chain, and its segments."""
+    segments = np.ascontiguousarray(words).view(np.uint8).astype(np.uint32)
+    keys = []
+    for n, (step, start) in enumerate((step, start) for step in STEPS for start in range(WIDE_RING)):
+        key = np.full(len(segments), n, np.uint32)
+        for i in range(CHAIN):
+            key = (key << np.uint32(8)) | segments[:, (start + i * step) % WIDE_RING]
+        keys.append(key)
+    return np.stack(keys, axis=1).view(np.int32)
+
+
+def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: links between nodes (fp, and the whole fingerprint in words) that connect what is linked under a key.
+
+    As in ``links``, a search from one node at a time takes what it links out of its key's rest.
+    """
+    near = budget(64, similarity, PRUNE)
+
+    def spread(batches):
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            words = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(fps), WIDE_WORDS)
+            for a in range(0, len(fps), 2048):
+                keys = chain_keys(words[a : a + 2048])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fps[a : a + 2048], keys.shape[1]))], names=["key", "fp"])
+
+    def spanning(fps):
+        found, rest = [], np.unique(fps)
+        while len(rest) > 1:
+            todo, rest = [rest[0]], rest[1:]
+            while todo and len(rest):
+                node = todo.pop()
+                close = np.bitwise_count(node ^ rest) <= near
+                found += [(node, x) for x in rest[close]]
+                todo += list(rest[close])
+                rest = rest[~close]
+        return found
+
+    def search(batches):
+        held_key, held = None, np.zeros(0, np.uint64)  # the key that the last batch broke off in
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if len(held):
+                keys, fps = np.concatenate([np.full(len(held), held_key), keys]), np.concatenate([held, fps])
+            if not len(keys):
+                continue
+            cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
+            held_key, held = keys[-1], fps[cuts[-1] :]
+            sizes = np.diff(cuts)
+            two = cuts[:-1][sizes == 2]  # most keys with company have two nodes: compare them all at once
+            two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= near] if len(two) else two
+            found = list(zip(fps[two], fps[two + 1]))
+            for at in np.flatnonzero(sizes > 2):
+                found += spanning(fps[cuts[at] : cuts[at + 1]])
+            yield links_of(found)
+        yield links_of(spanning(held))
+
+    def links_of(found):
+        pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    keyed = nodes.select("fp", "words").mapInArrow(spread, "key int, fp long")
+    parts = _partitions(nodes, len(STEPS) * WIDE_RING * 16)
+    found = materialise(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").distinct(), "candidates")
+    sides = [nodes.select(F.col("fp").alias(side), F.col("words").alias(f"{side}_words")) for side in "ab"]
+    found = found.where("a <> b").join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b")
+    differ = sum((F.bit_count(F.col("a_words")[i].bitwiseXOR(F.col("b_words")[i])) for i in range(WIDE_WORDS)), F.lit(0))
+    return found.where(differ <= budget(64 * WIDE_WORDS, similarity, DECIDE)).select("a", "b")
+
+
+def similar(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, component_id, text_hash; texts link at this Jaccard similarity of their shingles."""
+
+    def run(batches):
+        for batch in batches:
+            wide = np.array([wide_fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(wide) + 1, dtype=np.int32) * WIDE_WORDS), pa.array(wide.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide[:, 0]), words], names=["doc_id", "text_hash", "fp", "words"])
+
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    rows = materialise(df.mapInArrow(run, "doc_id long, text_hash long, fp long, words array<long>"), "fingerprints")
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.min("words").alias("words"))
+    nodes = materialise(nodes, "nodes")
+    return _classes(rows, nodes, wide_links(nodes, similarity)).select("doc_id", "component_id", "text_hash")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, find=near_duplicates) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id.
 
-    Of components whose rows all have a null doc_id, one row of each different text stays.
+    ``find`` names the components (``near_duplicates`` or ``similar``). Of components whose rows all have a null doc_id, one
+    row of each different text stays.
     """
-    found = near_duplicates(docs, shingle)
+    found = find(docs)
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), "text_hash"]
     gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(*key).distinct()
     gone = broadcast_if_small(materialise(gone, "gone"), MAX_BROADCAST)

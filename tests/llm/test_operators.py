@@ -105,6 +105,16 @@ def test_shard_laws(spark, odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_copies_are_spread(make):
+    docs = make(*[(i, "a copy of one text") for i in range(2400)], *[(5000 + i, f"text {i} " * (i % 9)) for i in range(4800)])
+    rows = sharding.shard(docs, keep=("text",)).collect()
+    loads = Counter()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) - min(loads.values()) <= 0.05 * sum(loads.values()) / 24 and {r.text for r in rows if r.doc_id == 3} == {"a copy of one text"}
+    assert len({r["shard"] for r in rows if r.text == "a copy of one text"}) == 24
+
+
 def test_map_versions(spark, make, tmp_path):
     sharding.shard(make(*[(i, "x" * (i % 50)) for i in range(300)]), 4, 64, f"{tmp_path}/map").count()
     slots = sharding.SlotMap(spark, f"{tmp_path}/map")
@@ -114,6 +124,12 @@ def test_map_versions(spark, make, tmp_path):
     for i, s in enumerate(moved):
         loads[s] += 1 + i % 7
     assert max(loads.values()) - min(loads.values()) <= 1
+    heavy = sharding.rebalance([0] * 500, [1 + i * i for i in range(500)], 3)
+    loads = Counter()
+    for i, s in enumerate(heavy):
+        loads[s] += 1 + i * i
+    full, empty = max(loads, key=loads.get), min(loads, key=loads.get)
+    assert all(1 + i * i >= loads[full] - loads[empty] for i, s in enumerate(heavy) if s == full)
 
 
 # --- mixing
@@ -162,6 +178,13 @@ def test_tiny_sources_beside_a_large_total(make):
     assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in size)
 
 
+def test_many_sources_are_shuffled(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == want
+
+
 def test_mix_odd(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(r.taken == 0 for r in rows if r["size"] == 0)
@@ -456,12 +479,49 @@ def test_links_lose_no_connection(spark):
     assert groups([(r.a, r.b) for r in edges]) == groups([(int(signed[i]), int(signed[j])) for i, j in near])
 
 
+def test_similar_texts_link(spark, make):
+    rng = np.random.default_rng(14)
+    docs, pairs, clean = [], [], []
+    for i in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 300)))]
+        copy = list(words)
+        for at in rng.integers(0, len(copy), max(1, int(len(copy) * rng.choice([0.005, 0.01, 0.015, 0.02])))):
+            copy[at] = f"new{rng.integers(0, 10**6)}"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in docs}
+    alike = {i: len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(150)}
+    got = {r.doc_id: r.component_id for r in simhash.similar(make(*docs, (900, None), (901, ""), (902, docs[0][1]))).collect()}
+    near = [i for i in alike if alike[i] >= 0.8]
+    assert len(near) > 80 and sum(got[2 * i] == got[2 * i + 1] for i in near) >= 0.9 * len(near)
+    assert all(got[2 * i] != got[2 * i + 1] for i in alike if alike[i] < 0.6) and len({got[2 * i] for i in alike}) == 150
+    assert got[900] == got[901] == 900 and got[902] == 0
+
+
+def test_wide_budgets():
+    assert simhash.budget(512, 0.8, 0) == 77 and simhash.budget(512, 1.0, 3) == 0
+    keys = simhash.chain_keys(np.arange(16, dtype=np.uint64).reshape(2, 8) * np.uint64(0x0101010101010101))
+    assert keys.shape == (2, 256) and len(set(keys[0].tolist())) == 256
+    hashes = simhash.shingle_hashes(b"a b c d e f g", 5)
+    assert len(hashes) == 3 and simhash.wide_fingerprint(None).tolist() == [0] * 8
+
+
+def test_star_rounds_split_their_hub(spark):
+    n = 60_000
+    edges = spark.range(1, n).selectExpr("0L AS a", "id AS b").unionByName(spark.range(n - 1).selectExpr("id + 1 AS a", "id + 2 AS b"))
+    found = simhash.components(edges)
+    assert found.agg(F.count("*"), F.min("root"), F.max("root")).first()[:] == (n, 0, 0)
+    chain = simhash.components(spark.range(10_000).selectExpr("(id * 7919) % 10007 AS a", "((id + 1) * 7919) % 10007 AS b"))
+    assert chain.select("root").distinct().count() == 1 and chain.count() == 10_000
+
+
 def test_simhash_odd(odd, empty):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count() and {r.fingerprint for r in got if r.doc_id in (1, 2, 3)} == {"0" * 16}
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect())[4] == 1 and kept.where("text_hash = 'x' and k_id = 'x'").count() == kept.count()
-    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.similar(empty).count() == 0
+    kept = simhash.keep_one(odd, simhash.similar)
+    assert kept.columns == odd.columns and simhash.similar(odd).count() == odd.count() and kept.where("doc_id in (1, 2, 3)").count() == 1
 
 
 # --- language

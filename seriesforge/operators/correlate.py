@@ -16,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.numbers import fixed
 from ..functions.stats import pearson_p
+from ..session import shared_folder
 from .series import daily_magnitude, seconds
 
 BASELINE = "baseline_pattern"
@@ -144,33 +145,27 @@ def lagged_correlation(signals: DataFrame, lag_max: int = 14, least: float = 0.3
     return _result(top, "lagged_correlation", F.abs("r"), F.abs("r"), lag=F.col("lag")).where(F.col("confidence") >= least)
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component: the least node that each reaches over edges (a, b); label propagation with
-    pointer jumping, written to the checkpoint folder every round."""
+    pointer jumping, written to the checkpoint folder every round, until no label changes."""
     both = edges.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(edges.select(F.col("b").alias("n"), F.col("a").alias("m"))).distinct()
     both = _cut(both)
     labels = _cut(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("c")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("n").alias("m"), F.col("c").alias("cm")), "m").groupBy("n").agg(F.min("cm").alias("cm"))
         step = labels.join(near, "n").select("n", F.least("c", "cm").alias("c2"), "c")
         jump = step.select(F.col("n").alias("c2"), F.col("c2").alias("c3"))
         after = _cut(step.join(jump, "c2", "left").select("n", F.least("c2", F.coalesce("c3", "c2")).alias("c"), F.col("c").alias("was")))
         labels = after.select("n", "c")
         if after.where("c <> was").isEmpty():
-            break
-    return labels.select(F.col("n").alias("node"), F.col("c").alias("component"))
+            return labels.select(F.col("n").alias("node"), F.col("c").alias("component"))
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder of spark.checkpoint.dir; only where that is unset, a folder of its own."""
+    """checkpoint() in the folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        root = sc.getConf().get("spark.checkpoint.dir")
-        if root is None:
-            import tempfile
-
-            root = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(root)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

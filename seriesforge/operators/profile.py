@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import fixed
+from ..session import kept
 
 #: Limits of the role rules.
 DISCRIMINATOR_MAX = 500
@@ -41,13 +43,60 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     return df.agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)]).select(F.explode(F.array(*[f"_{i}" for i in range(len(aggs))])).alias("s")).select("s.*")
 
 
+#: Distinct values around a median that the driver may hold for each column.
+MEDIAN_VALUES = 20_000
+
+
+def exact_medians(df: DataFrame, cols: list[str], most: int = MEDIAN_VALUES) -> dict[str, float | None]:
+    """The median of every column, without gathering a column in one task.
+
+    Sketched quantiles bracket the middle ranks and exact counts below and inside of the bracket say
+    whether it holds them; it is narrowed until few distinct values are left, which are counted.
+    """
+    x = {c: F.col(c).cast("double") for c in cols}
+    first = df.agg(*[F.struct(F.count(x[c]).alias("n"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(f"_{i}") for i, c in enumerate(cols)]).first() if cols else ()
+    out: dict[str, float | None] = {c: None for c in cols}
+    # column -> count, bracket, values below it, values inside
+    state = {c: [r["n"], r["lo"], r["hi"], 0, r["n"]] for c, r in zip(cols, first) if r["n"]}
+    tried = 0
+    while state:
+        tried += 1
+        inside = {c: F.when((x[c] >= lo) & (x[c] <= hi), x[c]) for c, (n, lo, hi, below, within) in state.items()}
+        marks = {}
+        for c, (n, lo, hi, below, within) in state.items():
+            at, slack = ((n - 1) / 2 - below) / within, 2 / 10_000
+            marks[c] = [max(0.0, at - slack), min(1.0, at + 1 / within + slack)]
+        names = list(state)
+        row = df.agg(*[F.struct(F.approx_count_distinct(inside[c]).alias("d"), F.percentile_approx(inside[c], F.array(*map(F.lit, marks[c])), 10_000).alias("q")).alias(f"_{i}") for i, c in enumerate(names)]).first()
+        done = [c for c, r in zip(names, row) if r["d"] <= most or tried > 12]
+        for c in done:
+            n, _, _, below, _ = state.pop(c)
+            upto, want, got = below, ((n - 1) // 2, n // 2), []
+            for v in df.where(inside[c].isNotNull()).groupBy(x[c].alias("v")).agg(F.count("*").alias("m")).orderBy("v").toLocalIterator():
+                got += [v.v] * (sum(upto <= w < upto + v.m for w in want))
+                upto += v.m
+                if len(got) == 2:
+                    break
+            out[c] = sum(got) / 2
+        open_ = [(c, r["q"]) for c, r in zip(names, row) if c not in done]
+        if not open_:
+            break
+        counts = df.agg(*[F.struct(F.count_if(x[c] < q[0]).alias("b"), F.count_if((x[c] >= q[0]) & (x[c] <= q[1])).alias("w")).alias(f"_{i}") for i, (c, q) in enumerate(open_)]).first()
+        for (c, q), r in zip(open_, counts):
+            n = state[c][0]
+            if r["b"] <= (n - 1) // 2 and n // 2 < r["b"] + r["w"]:
+                state[c] = [n, q[0], q[1], r["b"], r["w"]]
+    return out
+
+
 def value_stats(df: DataFrame) -> DataFrame:
     """column, mean, std, min, max, median and cv of every numeric column; a statistic of 0 is null."""
     cols = [f.name for f in df.schema if family(f.dataType) in ("int", "float")]
+    medians = exact_medians(df, cols)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.median(x).alias("median")))
+        aggs.append(F.struct(F.lit(c).alias("column"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.lit(medians[c]).cast("double").alias("median")))
     out = df.agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)]).select(F.explode(F.array(*[f"_{i}" for i in range(len(aggs))])).alias("s")).select("s.*")
     out = out.withColumn("cv", F.col("std") / F.nullif(F.abs("mean"), F.lit(0.0)))
     return out.select("column", *[F.nullif(fixed(c, 4), F.lit(0.0)).alias(c) for c in ("mean", "std", "min", "max", "median")], fixed("cv", 4).alias("cv"))
@@ -99,14 +148,14 @@ def time_grain(df: DataFrame, ts: str, keys: list[str]) -> DataFrame:
 def dependencies(df: DataFrame, cols: list[str]) -> DataFrame:
     """child, parent of every pair of columns where each child value has one parent value and there are
     fewer parents than children."""
-    parts = []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1 :]:
-            pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).distinct()
-            counts = pairs.agg(F.count("*").alias("n"), F.count_distinct("a").alias("da"), F.count_distinct("b").alias("db"))
-            child = F.when((F.col("n") == F.col("da")) & (F.col("da") > F.col("db")), a).when((F.col("n") == F.col("db")) & (F.col("db") > F.col("da")), b)
-            parts.append(counts.select(child.alias("child"), F.when(child == a, b).when(child == b, a).alias("parent")).where("child is not null"))
-    return union_all(parts)
+    text = lambda c: F.col(c).cast("string")
+    both = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), text(a).alias("a"), text(b).alias("b")) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    # One pass over the table for all pairs; equal value pairs are combined before the shuffle.
+    pairs = df.select(F.explode(F.array(*both)).alias("p")).select("p.*").where("a is not null and b is not null").distinct()
+    side = lambda c: pairs.groupBy("left", "right", c).agg(F.count("*").alias("m")).groupBy("left", "right").agg(F.count("*").alias(f"d{c}"), F.sum("m").alias("n"))
+    counts = side("a").join(side("b").drop("n"), ["left", "right"])
+    down, up = (F.col("n") == F.col("da")) & (F.col("da") > F.col("db")), (F.col("n") == F.col("db")) & (F.col("db") > F.col("da"))
+    return counts.where(down | up).select(F.when(down, F.col("left")).otherwise(F.col("right")).alias("child"), F.when(down, F.col("right")).otherwise(F.col("left")).alias("parent"))
 
 
 def value_edges(df: DataFrame, child: str, parent: str) -> DataFrame:
@@ -114,17 +163,19 @@ def value_edges(df: DataFrame, child: str, parent: str) -> DataFrame:
     return df.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(F.concat_ws("=", F.lit(child), F.col(child).cast("string")).alias("child"), F.concat_ws("=", F.lit(parent), F.col(parent).cast("string")).alias("parent")).distinct()
 
 
-def climb(edges: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
-    """node, ancestor, depth: all that each start node (column node) reaches upwards, itself at depth 0."""
+def climb(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """node, ancestor, depth: all that each start node (column node) reaches upwards, itself at depth 0, over as
+    many edges as it takes; what was reached before is not followed again, so circles end."""
     edges, start = edges.select("child", "parent"), start.select("node").distinct()
     found = start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     front = found
-    for d in range(1, depth + 1):
+    for d in count(1):
         front = front.join(edges, front.ancestor == edges.child).select("node", F.col("parent").alias("ancestor"), F.lit(d).alias("depth")).distinct()
         front = front.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+        front = kept(front)
         if front.isEmpty():
             break
-        found = found.unionByName(front)
+        found = kept(found.unionByName(front)) if d % 4 == 0 else found.unionByName(front)
     return found.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
 
 

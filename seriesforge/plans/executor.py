@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.profile import family
+
 
 @dataclass
 class Dataset:
@@ -53,17 +55,32 @@ def join_asof(left: DataFrame, right: DataFrame, key: str, prefix: str, time_col
 
     Both sides go through one shuffle, unioned, and the last right row is carried forward; no row is
     added. Right rows of one date tie by the full time, then by their values. A null key or date has no match.
+    Keys are cut into stretches of ``ASOF_DAYS`` and the last row of earlier stretches is carried in, so a key with
+    a large part of all rows is not one task.
     """
     own = [c for c in right.columns if c not in (key, time_col)]
     struct = F.struct(*[F.col(c).alias(f"{prefix.replace('-', '_')}_{c}") for c in own])
     tie = F.struct(F.col(time_col), *[F.col(c) for c in own])
-    a = left.select(F.col(key).alias("_k"), F.col("__date").alias("_d"), F.lit(1).alias("_side"), F.lit(None).cast(_type(right, tie)).alias("_tie"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(_type(right, struct)).alias("_r"))
+    stretch = F.floor(F.date_diff("_d", F.lit("1970-01-01").cast("date")) / ASOF_DAYS)
+    hit = F.col(key).isNotNull() & F.col("__date").isNotNull()
+    names = [f"{prefix.replace('-', '_')}_{c}" for c in own]
+    alone = left.where(~hit).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(n) for n, c in zip(names, own)])
+    a = left.where(hit).select(F.col(key).alias("_k"), F.col("__date").alias("_d"), F.lit(1).alias("_side"), F.lit(None).cast(_type(right, tie)).alias("_tie"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(_type(right, struct)).alias("_r"))
     known = right.where(F.col(key).isNotNull() & F.col(time_col).isNotNull())
     b = known.select(F.col(key).alias("_k"), F.to_date(time_col).alias("_d"), F.lit(0).alias("_side"), tie.alias("_tie"), F.lit(None).cast(_type(left, F.struct(*left.columns))).alias("_l"), struct.alias("_r"))
-    w = Window.partitionBy("_k").orderBy("_d", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    a, b = a.withColumn("_c", stretch), b.withColumn("_c", stretch)
+    ends = b.groupBy("_k", "_c").agg(F.max_by("_r", F.struct("_d", "_tie")).alias("_r"))
+    ends = a.groupBy("_k", "_c").agg(F.lit(None).cast(_type(right, struct)).alias("_r")).unionByName(ends).groupBy("_k", "_c").agg(F.first("_r", ignorenulls=True).alias("_r"))
+    before = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_k", "_c", F.last("_r", ignorenulls=True).over(before).alias("_before"))
+    w = Window.partitionBy("_k", "_c").orderBy("_d", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    hit = F.col("_k").isNotNull() & F.col("_d").isNotNull()
-    return both.select("_l.*", *[F.when(hit, F.col("_last")[n]).alias(n) for n in (f"{prefix.replace('-', '_')}_{c}" for c in own)])
+    both = both.join(carried, ["_k", "_c"], "left").withColumn("_last", F.coalesce("_last", "_before"))
+    return both.select("_l.*", *[F.col("_last")[n].alias(n) for n in names]).unionByName(alone)
+
+
+#: Days of a key that one task carries a row over.
+ASOF_DAYS = 90
 
 
 def _type(df: DataFrame, c: Column) -> str:
@@ -90,8 +107,9 @@ def execute(plan: Plan) -> DataFrame:
 
 
 def build(datasets: list[Dataset], value: tuple[str, object] | None = None, sizes: dict[str, int] | None = None) -> Plan:
-    """A plan over datasets: the largest with a time is primary (the first on a tie), the others join
-    on the first column they share with it that has the lowest cardinality to offer.
+    """A plan over datasets: the largest with a time is primary (the first on a tie), the others join on the
+    column they share with it that has the fewest values there (the first on a tie). Measures, which are
+    numbers with a fraction, and times are no keys.
 
     ``value`` (column, value) filters every dataset that has the column.
     """
@@ -104,6 +122,7 @@ def build(datasets: list[Dataset], value: tuple[str, object] | None = None, size
     rest = [d for d in datasets if d is not primary]
     for d in rest:
         if d.join_key is None:
-            shared = [c for c in d.frame.columns if c in primary.frame.columns and c not in (d.time_col, primary.time_col)]
-            d.join_key = shared[0] if shared else None
+            shared = [f.name for f in d.frame.schema if f.name in primary.frame.columns and family(f.dataType) in ("int", "string") and f.name not in (d.time_col, primary.time_col)]
+            n = d.frame.agg(*[F.count_distinct(c).alias(c) for c in shared]).first() if len(shared) > 1 else {}
+            d.join_key = min(shared, key=lambda c: n[c] if n else 0) if shared else None
     return Plan(primary, rest)

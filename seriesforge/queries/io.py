@@ -6,18 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import readers, sinks
 from . import query, rounded, table
 
 
 def _folder(spark) -> str:
     """A folder of its own in the one that all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="io-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 _SUM = "SELECT n_regionkey, count(*) AS n, min(n_name) AS first_name FROM nation GROUP BY 1"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -12,6 +15,29 @@ SETTINGS = {
 }
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master that names none, as in tests,
+    gets a temporary one; elsewhere that is an error."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _LOCAL.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="shared-")
+        _LOCAL[sc.applicationId] = root
+    return root.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so its lineage is cut."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def get_session(app: str = "seriesforge", **settings: str) -> SparkSession:
     """A session with the engine's settings; keyword names use __ for dots."""
     builder = SparkSession.builder.appName(app)

@@ -198,22 +198,103 @@ def insights(correlations: DataFrame, signals: DataFrame) -> DataFrame:
     return out.withColumn("narrative", F.format_string("%s link between %d signals of %d sources", strength, F.size("signal_ids"), F.col("n_sources"))).drop("_total", "mean_strength")
 
 
-def correlate(signals: DataFrame, window_s: float, lag_max: int = 14, radius_km: float = 50.0, least: float = 0.3, methods: tuple[str, ...] = ("temporal", "lagged", "spatial", "entity")) -> DataFrame:
-    """All methods' correlations together, with ids."""
-    parts = {"temporal": lambda: co_occurrence(signals, window_s, least), "lagged": lambda: lagged_correlation(signals, lag_max, least), "spatial": lambda: spatial_alignment(signals, radius_km, least), "entity": lambda: entity_alignment(signals, least)}
+#: The methods, in the order of their results.
+METHODS = {"temporal": "temporal_co_occurrence", "lagged": "lagged_correlation", "spatial": "spatial_alignment", "entity": "entity_alignment", "pattern": "pattern_similarity"}
+
+
+def correlate(signals: DataFrame, window_s: float, lag_max: int = 14, radius_km: float = 50.0, least: float = 0.3, methods: tuple[str, ...] = tuple(METHODS), patterns: DataFrame | None = None) -> DataFrame:
+    """All methods' correlations together, with ids. Patterns (see ``pattern_similarity``) are compared if given."""
+    parts = {"temporal": lambda: co_occurrence(signals, window_s, least), "lagged": lambda: lagged_correlation(signals, lag_max, least), "spatial": lambda: spatial_alignment(signals, radius_km, least), "entity": lambda: entity_alignment(signals, least), "pattern": lambda: pattern_similarity(patterns, least)}
     out = None
     for m in methods:
-        out = parts[m]() if out is None else out.unionByName(parts[m]())
+        if m != "pattern" or patterns is not None:
+            out = parts[m]() if out is None else out.unionByName(parts[m]())
     return with_ids(out)
 
 
+def _nth_method() -> Column:
+    nth = None
+    for n, kind in enumerate(METHODS.values()):
+        test = F.col("correlation_type") == kind
+        nth = F.when(test, n) if nth is None else nth.when(test, n)
+    return nth
+
+
+def first_correlations(correlations: DataFrame, limit: int = 100) -> DataFrame:
+    """The first correlations by method and signals; not the strongest."""
+    return correlations.orderBy(_nth_method(), "signal_a_id", "signal_b_id").limit(limit)
+
+
+def counts_by_type(correlations: DataFrame) -> DataFrame:
+    return correlations.groupBy("correlation_type").agg(F.count("*").alias("n"))
+
+
+#: Words in source names of each domain, and what to do by domains and correlation types.
+DOMAINS = (("pos", "pos|transaction|sales|retail"), ("bookings", "book|ticket|visit|experience"), ("digital", "web|search|digital|online"), ("weather", "weather|temp|climate"))
+BANDS = ((0.75, "HIGH"), (0.5, "MODERATE"))
+
+
+def _band(score: Column) -> Column:
+    return F.when(score >= BANDS[0][0], BANDS[0][1]).when(score >= BANDS[1][0], BANDS[1][1]).otherwise("LOW")
+
+
+def _parts(insights_: DataFrame, signals: DataFrame) -> DataFrame:
+    """Per insight: domains, sources, severities, columns and signal types of its signals."""
+    domain = None
+    for name, pattern in DOMAINS:
+        test = F.lower("source_id").rlike(pattern)
+        domain = F.when(test, name) if domain is None else domain.when(test, name)
+    rows = insights_.select("insight_id", F.explode("signal_ids").alias("signal_id")).join(signals, "signal_id").withColumn("_d", domain)
+    as_set = lambda c: F.array_sort(F.collect_set(c))
+    return rows.groupBy("insight_id").agg(as_set("_d").alias("domains"), as_set("source_id").alias("sources"), as_set("severity").alias("severities"), as_set("column_name").alias("columns"), as_set("signal_type").alias("signal_types"))
+
+
+def suggest(insights_: DataFrame, signals: DataFrame, most: int = 5) -> DataFrame:
+    """insight_id, actions (at most five), reasoning and summary of each insight."""
+    df = insights_.select("insight_id", "correlation_types", "actionability", "strength", F.size("signal_ids").alias("n_signals")).join(_parts(insights_, signals), "insight_id")
+    has = lambda d: F.array_contains("domains", d)
+    kind = lambda k: F.col("correlation_types").contains(k)
+    rules = (
+        (has("pos") & has("bookings"), "plan promotions of venues and nearby shops together"),
+        (has("pos") & has("bookings"), "forecast shop demand from bookings"),
+        (has("bookings"), "test prices that follow the correlated demand"),
+        (has("bookings"), "plan staff and stock by the predicted visits"),
+        (has("pos"), "time campaigns by the demand pattern"),
+        (kind("lagged_correlation"), "use the leading signal as an early warning"),
+        (kind("spatial_alignment"), "target the region that the signals share"),
+    )
+    found = F.filter(F.array(*[F.when(test, text) for test, text in rules]), lambda x: x.isNotNull())
+    none = F.array(F.lit("look for the cause of the correlation"), F.lit("watch whether it lasts over the next period"))
+    actions = F.slice(F.when(F.size(found) > 0, found).otherwise(none), 1, most)
+    n = F.size("sources")
+    reasons = F.array(
+        F.when(n >= 3, F.format_string("spans %d sources", n)).when(n == 2, F.lit("spans 2 sources")), F.when(F.array_contains("severities", "critical"), "has critical signals").when(F.array_contains("severities", "high"), "has signals of high severity"),
+        F.when(kind("lagged_correlation"), "has a lagged relation"), F.concat(F.lit("overall "), _band(F.col("actionability"))),
+    )
+    summary = F.format_string("%d signals of %d sources (%s); strength %.2f; %s actionability", "n_signals", n, F.array_join("sources", ", "), "strength", _band(F.col("actionability")))
+    return df.select("insight_id", actions.alias("actions"), F.array_join(F.filter(reasons, lambda x: x.isNotNull()), "; ").alias("reasoning"), summary.alias("summary"))
+
+
+def paths(insight: DataFrame, correlations: DataFrame, signals: DataFrame) -> DataFrame:
+    """insight_id, path: the links of each insight as text, in the order of their signals."""
+    ids = insight.select("insight_id", F.explode("signal_ids").alias("signal_a_id"))
+    name = lambda s: signals.select(F.col("signal_id").alias(f"signal_{s}_id"), F.format_string("%s (%s)", "column_name", "source_id").alias(f"_{s}"))
+    links = ids.join(correlations, "signal_a_id").join(name("a"), "signal_a_id").join(name("b"), "signal_b_id")
+    lag = F.when(F.coalesce("lag_periods", F.lit(0)) != 0, F.format_string(", lag %d", "lag_periods")).otherwise("")
+    text = F.concat(F.col("_a"), F.format_string(" -> [%s, %.2f", "correlation_type", "strength"), lag, F.lit("] -> "), F.col("_b"))
+    steps = links.groupBy("insight_id").agg(F.array_sort(F.collect_list(F.struct("signal_a_id", "signal_b_id", "correlation_type", text.alias("step")))).alias("_s"))
+    return steps.select("insight_id", F.array_join(F.transform("_s", lambda x: x["step"]), " | ").alias("path"))
+
+
 def explain(insight: DataFrame, correlations: DataFrame) -> DataFrame:
-    """weakest link, confidence block and path of each insight."""
+    """weakest link, confidence block and other explanations of each insight."""
     ids = insight.select("insight_id", "n_sources", F.size("signal_ids").alias("n_signals"), F.explode("signal_ids").alias("signal_a_id"))
     links = ids.join(correlations, "signal_a_id")
-    out = links.groupBy("insight_id", "n_sources", "n_signals").agg(F.min("strength").alias("weakest_strength"), F.min_by("correlation_id", F.struct("strength", "correlation_id")).alias("weakest_id"), F.count("*").alias("n_links"))
+    out = links.groupBy("insight_id", "n_sources", "n_signals").agg(F.min("strength").alias("weakest_strength"), F.min_by("correlation_id", F.struct("strength", "correlation_id")).alias("weakest_id"), F.count("*").alias("n_links"), F.collect_set("correlation_type").alias("_kinds"))
     sure = F.when((F.col("n_signals") >= 5) & (F.col("n_sources") >= 3), "strong").when((F.col("n_signals") >= 3) & (F.col("n_sources") >= 2), "moderate").otherwise("weak")
-    return out.withColumn("assessment", sure)
+    kind = lambda k: F.array_contains("_kinds", k)
+    other = F.array(F.lit("a driver that all sources share"), F.lit("a change in how data are captured"), F.when(kind(METHODS["temporal"]) & ~kind(METHODS["lagged"]), "a coincidence in time"), F.when(kind(METHODS["spatial"]), "a population that the places share"))
+    return out.withColumn("assessment", sure).withColumn("other_explanations", F.array_join(F.filter(other, lambda x: x.isNotNull()), "; ")).drop("_kinds")
 
 
 def query_signals(signals: DataFrame, sources: list[str] | None = None, types: list[str] | None = None, severities: list[str] | None = None, since=None, until=None) -> DataFrame:

@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = {"hour": "1 hour", "day": "1 day", "week": "7 days", "month": "1 month"}
+STEPS = {"minute": "1 minute", "hour": "1 hour", "day": "1 day", "week": "7 days", "month": "1 month", "quarter": "3 months", "year": "1 year"}
 #: The longest median step (seconds) of each frequency class.
 FREQUENCIES = ((1800, "minute"), (7200, "hourly"), (172_800, "daily"), (864_000, "weekly"), (3_888_000, "monthly"), (10_368_000, "quarterly"))
 #: Seasonal periods of each frequency class; any other has 7.
-SEASONAL_PERIODS = {"minute": (60, 1440), "hourly": (24, 168), "daily": (7, 365), "weekly": (52,), "monthly": (12,), "quarterly": (4,)}
+SEASONAL_PERIODS = {"minute": (24, 168), "hourly": (24, 168), "daily": (7, 365), "weekly": (52,), "monthly": (12,), "quarterly": (4,)}
+#: The period of date_trunc of each frequency class.
+UNITS = {"minute": "minute", "hourly": "hour", "daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "yearly": "year"}
+
+
+def seasonal_periods(freq: str) -> tuple[int, ...]:
+    return SEASONAL_PERIODS.get(freq, (7,))
+
+
+def periods_of(freq: Column) -> Column:
+    """The seasonal periods of a frequency class, as an array."""
+    out = None
+    for name, periods in SEASONAL_PERIODS.items():
+        value = F.array(*map(F.lit, periods))
+        out = F.when(freq == name, value) if out is None else out.when(freq == name, value)
+    return out.otherwise(F.array(F.lit(7)))
 
 
 def seconds(ts: Column) -> Column:
@@ -133,6 +148,18 @@ def lookback(df: DataFrame, ts: str, days: int, keys: list[str]) -> DataFrame:
     return df.withColumn("_last", last).where(F.col(ts) >= F.col("_last") - F.make_dt_interval(F.lit(days))).drop("_last")
 
 
+def window_rows(df: DataFrame, ts: str, keys: list[str], days: float | None = None, baseline_end=None, share: float = 0.2) -> DataFrame:
+    """The rows to look at: those of the last ``days`` of each group, or else those after the baseline's end; a group
+    that has none after it gives the last ``share`` of its rows."""
+    if days:
+        last = F.max(ts).over(Window.partitionBy(*keys))
+        return df.withColumn("_last", last).where(F.unix_micros(F.col(ts).cast("timestamp")) >= F.unix_micros(F.col("_last").cast("timestamp")) - F.lit(int(days * 86_400_000_000))).drop("_last")
+    later = F.col(ts) > F.lit(baseline_end)
+    w = Window.partitionBy(*keys)
+    df = df.withColumns({"_later": later, "_any": F.max(later).over(w), "_i": F.row_number().over(w.orderBy(ts)), "_n": F.count("*").over(w)})
+    return df.where(F.when(F.col("_any"), F.col("_later")).otherwise(F.col("_i") > F.floor(F.col("_n") * (1 - share)))).drop("_later", "_any", "_i", "_n")
+
+
 def tail_rows(df: DataFrame, order: str, keys: list[str], share: float = 0.2) -> DataFrame:
     """The last ``share`` of each group's rows."""
     w = Window.partitionBy(*keys)

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
-from .series import SENSITIVITY, aggregate
+from .series import SENSITIVITY, UNITS, aggregate, seasonal_periods
 
 RESULT = (
     "segment_id string, column string, n int, variance_explained double, direction string, slope double, change_points array<int>, seasonal_strength double, peak_phase int, "
-    "residual_std double, is_stationary boolean, skewness double, kurtosis double, n_deviations int, deviations array<struct<kind:string,at:int,severity:string,magnitude:double>>, error string"
+    "residual_std double, is_stationary boolean, skewness double, kurtosis double, n_deviations int, deviations array<struct<kind:string,at:int,severity:string,magnitude:double,ts:string>>, error string"
 )
 
 
@@ -28,8 +28,21 @@ def _level_by_size(ratio: float) -> str:
     return "critical" if ratio >= 3 else "high" if ratio >= 2 else "medium" if ratio >= 1 else "low"
 
 
-def series_profile(y: np.ndarray, periods: list[int], sensitivity: str) -> dict:
-    """Baseline and deviations of one series."""
+def window_start(days: np.ndarray, lookback: float | None, baseline_end: float | None, share: float = 0.2) -> int:
+    """The first place to look for deviations at, by the days of a series: within ``lookback`` days of its end, or
+    else after the baseline's end, or else in the last ``share`` of it; 0 where neither is given."""
+    if not len(days):
+        return 0
+    if lookback:
+        return int(np.searchsorted(days, days[-1] - lookback))
+    if baseline_end is None:
+        return 0
+    at = int(np.searchsorted(days, baseline_end, "right"))
+    return at if at < len(days) else int(len(days) * (1 - share))
+
+
+def series_profile(y: np.ndarray, periods: list[int], sensitivity: str, start_at: int = 0) -> dict:
+    """Baseline of one series, and its deviations from place ``start_at`` on."""
     n = len(y)
     trend, seasons, rest = k.mstl(y, periods)
     std = float(rest.std())
@@ -42,17 +55,18 @@ def series_profile(y: np.ndarray, periods: list[int], sensitivity: str) -> dict:
     main = max(seasons, key=lambda p: seasons[p].std(), default=None)
     cycle = np.array([seasons[main][i::main].mean() for i in range(main)]) if main else np.zeros(0)
     found = []
-    window = max(n // 10, 3)
-    smooth = pd.Series(y).rolling(window, center=True).mean().ffill().bfill().to_numpy()
+    recent = y[start_at:]
+    window = max(len(recent) // 10, 3)
+    smooth = pd.Series(recent).rolling(window, center=True).mean().ffill().bfill().to_numpy()
     if std > 0:
-        z = np.abs(y - smooth) / std
-        found += [("point_anomaly", int(i), _level(z[i]), float(y[i] - smooth[i])) for i in np.flatnonzero(z > SENSITIVITY[sensitivity])]
-    found += [("regime_change", i, "high" if s >= 0.5 else "medium", s) for i, s in k.discords(y)]
-    if n >= 15:
+        z = np.abs(recent - smooth) / std
+        found += [("point_anomaly", start_at + int(i), _level(z[i]), float(recent[i] - smooth[i])) for i in np.flatnonzero(z > SENSITIVITY[sensitivity])]
+    found += [("regime_change", i, "high" if s >= 0.5 else "medium", s) for i, s in k.discords(y) if i >= start_at]
+    if len(recent) >= 15:
         spread = std or 1.0
-        for c in k.pelt(y, np.log(n) * float(y.var()), max(n // 10, 5), 5):
-            change = float(y[c : c + 5].mean() - y[max(0, c - 5) : c].mean())
-            found.append(("trend_shift", c, _level_by_size(abs(change) / spread), change))
+        for c in k.pelt(recent, np.log(len(recent)) * float(recent.var()), max(len(recent) // 10, 5), 5):
+            change = float(recent[c : c + 5].mean() - recent[max(0, c - 5) : c].mean())
+            found.append(("trend_shift", start_at + c, _level_by_size(abs(change) / spread), change))
     order = {"critical": 0, "high": 1, "medium": 2, "low": 3}
     one = {}
     for d in sorted(found, key=lambda d: (d[1], order[d[2]])):  # at one place the most severe stays
@@ -68,11 +82,17 @@ def series_profile(y: np.ndarray, periods: list[int], sensitivity: str) -> dict:
     }
 
 
-def analyse(df: DataFrame, seg: str, ts: str, cols: list[str], sensitivity: str = "medium", freq: str = "day", periods: tuple[int, ...] = (7, 365)) -> DataFrame:
+def analyse(df: DataFrame, seg: str, ts: str, cols: list[str], sensitivity: str = "medium", freq: str = "daily", periods: tuple[int, ...] | None = None, lookback: float | None = None, baseline_end=None) -> DataFrame:
     """One row per segment and value column: baseline and deviations of its series of sums.
 
-    A series whose analysis fails has its message in ``error``; the others are not affected.
+    ``freq`` is a frequency class, whose seasonal periods are taken unless given. Deviations are looked for in the
+    last ``lookback`` days of each series, or else after ``baseline_end`` (a time) or in the last fifth if nothing is
+    later; by default in all of it. A series whose analysis fails has its message in ``error``; the others are not
+    affected.
     """
+    periods = periods or seasonal_periods(freq)
+    freq = UNITS.get(freq, freq)
+    end = None if baseline_end is None else pd.Timestamp(baseline_end).timestamp() / 86_400
     sums = aggregate(df, ts, freq, [("sum", c) for c in cols], [seg])
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"sum_{c}").cast("double").alias("value")) for c in cols])
     long = sums.select(F.col(seg).cast("string").alias("segment_id"), "period", F.explode(pairs).alias("p")).select("segment_id", "period", "p.column", "p.value")
@@ -80,7 +100,12 @@ def analyse(df: DataFrame, seg: str, ts: str, cols: list[str], sensitivity: str
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         row = {"segment_id": key[0], "column": key[1]}
         try:
-            row |= series_profile(pdf.sort_values("period")["value"].to_numpy(float), list(periods), sensitivity)
+            pdf = pdf.sort_values("period")
+            days = pd.to_datetime(pdf["period"]).astype("datetime64[us]").astype("int64").to_numpy() / 86_400e6
+            row |= series_profile(pdf["value"].to_numpy(float), list(periods), sensitivity, window_start(days, lookback, end))
+            times = pd.to_datetime(pdf["period"]).dt.strftime("%Y-%m-%dT%H:%M:%S").tolist()
+            for d in row["deviations"]:
+                d["ts"] = times[d["at"]]
         except Exception as e:  # kept beside the series it belongs to
             row |= {"n": len(pdf), "change_points": [], "deviations": [], "n_deviations": 0, "error": str(e)[:300]}
         return pd.DataFrame([row]).reindex(columns=[f.split()[0] for f in _fields()])
@@ -135,6 +160,32 @@ def discords(df: DataFrame, keys: list[str], order: str, value: str) -> DataFram
     return df.select(*keys, order, value).groupBy(*keys).applyInPandas(one, f"{fields}, start int, score double")
 
 
+def deviation_rows(results: DataFrame) -> DataFrame:
+    """A row for each deviation of ``analyse``'s results, with its time."""
+    return results.select("segment_id", "column", F.explode("deviations").alias("d")).select("segment_id", "column", "d.kind", "d.at", "d.severity", "d.magnitude", F.col("d.ts").cast("timestamp").alias("ts"))
+
+
+def as_signals(results: DataFrame) -> DataFrame:
+    """Signals of the correlation operators from ``analyse``'s results: a row for each deviation, whose source is the
+    segment, and one for each baseline. The place of a change says how long it lasts."""
+    none = {c: F.lit(None).cast("double") for c in ("latitude", "longitude")}
+    rows = deviation_rows(results).select(
+        F.sha2(F.concat_ws("|", "segment_id", "column", "kind", "at"), 256).alias("signal_id"), F.col("segment_id").alias("source_id"), F.col("kind").alias("signal_type"), F.col("column").alias("column_name"), "severity",
+        F.col("ts").alias("ts_start"), F.col("ts").alias("ts_end"), "magnitude", F.lit(0.75).alias("confidence"), F.when(F.col("kind") == "point_anomaly", "transient").otherwise("sustained").alias("persistence"),
+    )
+    base = results.where("error is null").select(
+        F.sha2(F.concat_ws("|", "segment_id", "column", F.lit("baseline")), 256).alias("signal_id"), F.col("segment_id").alias("source_id"), F.lit("baseline_pattern").alias("signal_type"), F.col("column").alias("column_name"), F.lit("low").alias("severity"),
+        F.lit(None).cast("timestamp").alias("ts_start"), F.lit(None).cast("timestamp").alias("ts_end"), F.col("slope").alias("magnitude"), F.col("variance_explained").alias("confidence"), F.lit("sustained").alias("persistence"),
+    )
+    return rows.unionByName(base).withColumns({**none, "entity_values": F.create_map(F.lit("column"), F.col("column_name"))})
+
+
+def patterns(results: DataFrame, label: str = "weekly") -> DataFrame:
+    """The baselines with a season, for comparing patterns."""
+    known = results.where("error is null and peak_phase is not null")
+    return known.select(F.sha2(F.concat_ws("|", "segment_id", "column", F.lit("baseline")), 256).alias("signal_id"), F.col("segment_id").alias("source_id"), F.lit(label).alias("period_label"), F.col("seasonal_strength").alias("strength"), "peak_phase")
+
+
 def change_points(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """at and magnitude (mean of 5 values after less that of 5 before) of each change."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)

@@ -56,12 +56,3 @@ def best_spelling(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type").distinct()
     rows = e.select(F.lower("event_type").alias("key"), F.explode(F.array(F.upper("event_type"), F.lower("event_type"), F.initcap("event_type"))).alias("name"))
     return ins.best_spellings(rows, "key", "name")
-
-
-@query()
-def insight_titles(spark, sf_dir):
-    from ..operators import correlate as co
-    from .correlate import signals
-
-    s = signals(spark, sf_dir)
-    return ins.insight_title(co.insights(co.correlate(s, 60.0, least=0.9, methods=("temporal",)), s), s)

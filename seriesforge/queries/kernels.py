@@ -26,7 +26,13 @@ def savgol_trend(spark, sf_dir):
 
 @query()
 def change_points(spark, sf_dir):
-    return rounded(sg.change_points(_daily(spark, sf_dir), ["o_orderpriority"], "period", "sum_o_totalprice"), 2)
+    """Mean prices by day, three times as high from July 1998 on, in standard deviations."""
+    day = F.to_date("o_orderdate")
+    price = F.col("o_totalprice") * F.when(day >= F.lit("1998-07-01").cast("date"), 3).otherwise(1)
+    daily = table(spark, sf_dir, "orders").groupBy("o_orderpriority", day.alias("period")).agg(F.avg(price).alias("v"))
+    ends = daily.groupBy("o_orderpriority").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    scaled = daily.join(F.broadcast(ends), "o_orderpriority").withColumn("z", F.round((F.col("v") - F.col("m")) / F.col("s"), 6))
+    return rounded(sg.change_points(scaled, ["o_orderpriority"], "period", "z"), 4)
 
 
 @query()
@@ -36,5 +42,5 @@ def matrix_profile(spark, sf_dir):
 
 @query()
 def detect_deviations(spark, sf_dir):
-    out = sg.analyse(table(spark, sf_dir, "events"), "event_type", "ts", ["value"])
-    return out.select("segment_id", "column", F.explode("deviations").alias("d")).select("segment_id", "column", "d.kind", "d.at", "d.severity", fixed("d.magnitude", 4).alias("magnitude"))
+    out = sg.analyse(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", ["o_totalprice"], lookback=90.0)
+    return sg.deviation_rows(out).withColumn("magnitude", fixed("magnitude", 4)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -70,3 +70,15 @@ def batch_run(spark, sf_dir):
     manifest = {"data_path": f"{sf_dir}/events.parquet", "dataset_name": "events", "timestamp_col": "ts", "value_cols": ["value"], "scenarios": [{"name": "by_type", "segment_by": "event_type"}]}
     out = batch.run(spark, manifest)
     return out.select("scenario", "segment_id", "column", "n", fixed("variance_explained", 4).alias("variance_explained"), "direction", "n_deviations", "error")
+
+
+_BATCH = """WITH d AS (SELECT event_type, ts::DATE AS day FROM events), s AS (SELECT event_type, count(*) AS n, min(day) AS a, max(day) AS z FROM d GROUP BY 1 HAVING count(*) >= 50)
+SELECT 'by_type' AS scenario, 'seg_events_' || event_type AS segment_id, event_type AS segment, n AS n_rows, CAST(datediff('day', a, z) + 1 AS INT) AS n FROM s"""
+
+
+@query(_BATCH)
+def batch_series(spark, sf_dir):
+    """Segments, their rows and the lengths of their daily series, as the batch run makes them."""
+    manifest = {"data_path": f"{sf_dir}/events.parquet", "dataset_name": "events", "timestamp_col": "ts", "value_cols": ["value"], "freq": "daily", "clean": {"auto_detect": False}, "deviations": {"lookback_window": "10d"}, "scenarios": [{"name": "by_type", "segment_by": "event_type"}]}
+    found = batch.run_all(spark, manifest)
+    return found.listing.withColumnRenamed("n", "n_rows").join(found.results.select("segment_id", "n"), "segment_id").select("scenario", "segment_id", "segment", "n_rows", "n")

@@ -30,9 +30,17 @@ def kruskal_h(spark, sf_dir):
     return rounded(sg.kruskal(table(spark, sf_dir, "events"), "event_type", ["value"]))
 
 
-@query()
+def _score(c: str) -> str:
+    """The four parts and the score of one column; the tail of an even number of degrees is a finite sum."""
+    return f"""SELECT '{c}' AS "column", n_segments, CASE WHEN exp(-h / 2) * list_sum(list_transform(range(0, CAST((k - 1) // 2 AS BIGINT)), lambda i: pow(h / 2, i) / factorial(CAST(i AS INT)))) < 0.05 THEN 1.0 ELSE 0.0 END::DOUBLE AS differentiation, balance, coverage, size FROM
+ (SELECT round(greatest(0, 1 - stddev_samp(n) / avg(n) / 2), 6) AS balance, count(*) AS n_segments, round(avg(b - a) / (max(b) - min(a)), 6) AS coverage, round(avg(CAST(n >= 50 AS INT)), 6) AS size FROM (SELECT count(*) AS n, min(epoch_us(o_orderdate)) / 1e6 AS a, max(epoch_us(o_orderdate)) / 1e6 AS b FROM orders GROUP BY {c})),
+ (SELECT (12 / (n * (n + 1)) * ss - 3 * (n + 1)) / (1 - ties / (n ^ 3 - n)) AS h, k FROM (SELECT sum(s * s / n) AS ss, CAST(sum(n) AS DOUBLE) AS n, count(*) AS k FROM (SELECT g, sum(r) AS s, count(*) AS n FROM (SELECT {c} AS g, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS r FROM orders) GROUP BY 1)), (SELECT sum(CAST(c AS DOUBLE) ^ 3 - c) AS ties FROM (SELECT count(*) AS c FROM orders GROUP BY o_totalprice)))"""
+
+
+@query(f"""WITH a AS ({_score("o_orderstatus")} UNION ALL {_score("o_orderpriority")}), b AS (SELECT *, {sg.WEIGHTS["differentiation"]} * differentiation + {sg.WEIGHTS["balance"]} * balance + {sg.WEIGHTS["coverage"]} * coverage + {sg.WEIGHTS["size"]} * size AS score FROM a)
+SELECT "column", n_segments, differentiation, round(balance, 4) AS balance, round(coverage, 4) AS coverage, size, round(score, 4) AS score, CAST(row_number() OVER (ORDER BY score DESC, "column") AS INT) AS rank FROM b""")
 def suggest_segments(spark, sf_dir):
-    return rounded(sg.rank(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], "o_orderdate", ["o_totalprice"]), 6)
+    return rounded(sg.rank(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], "o_orderdate", ["o_totalprice"]), 4)
 
 
 @query("""WITH m AS (SELECT l_quantity AS x, avg(l_quantity) OVER () AS al, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS a, avg(l_quantity) OVER (PARTITION BY l_linenumber) AS b, avg(l_quantity) OVER (PARTITION BY l_returnflag, l_linenumber) AS ab FROM lineitem)

@@ -109,6 +109,32 @@ def similarity(a: Column, b: Column) -> Column:
     return pandas_udf(ratios, "double")(a, b)
 
 
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Likeness (0 to 100) by the longest common blocks of two texts in lower case, of the standard library."""
+
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p.lower(), q.lower()).ratio() * 100 for p, q in zip(x, y)], dtype=float)
+
+    return pandas_udf(ratio, "double")(a, b)
+
+
+def sequence_groups(names: list[str], threshold: float = 82.0) -> list[int]:
+    """The group of each name: the first earlier name that leads a group and is alike enough, or its own."""
+    from difflib import SequenceMatcher
+
+    heads: list[str] = []
+    out = []
+    for name in names:
+        at = next((i for i, h in enumerate(heads) if SequenceMatcher(None, h.lower(), name.lower()).ratio() * 100 >= threshold), None)
+        if at is None:
+            at = len(heads)
+            heads.append(name)
+        out.append(at)
+    return out
+
+
 def leaders(values: list[str], threshold: float) -> list[int]:
     """Greedy clusters: each value joins the first leader that is similar enough, else leads one itself."""
     heads: list[str] = []

@@ -118,6 +118,23 @@ def clean(df: DataFrame, operations: list[dict]) -> tuple[DataFrame, list[dict],
     return df, applied, errors
 
 
+#: Distinct values of a column that spellings are compared of, least likeness, clusters that are mapped.
+FUZZY_VALUES, FUZZY_LEAST, FUZZY_CLUSTERS = (2, 200), 82.0, 10
+
+
+def fuzzy_duplicates(df: DataFrame, col: str) -> dict[str, str]:
+    """Spellings to their canonical one, for the first clusters of a column of few values."""
+    from .normalize import sequence_clusters
+
+    names = df.where(F.col(col).isNotNull()).select(F.col(col).alias("raw")).distinct()
+    low, high = FUZZY_VALUES
+    if not low <= names.limit(high + 1).count() <= high:
+        return {}
+    rows = sequence_clusters(names, FUZZY_LEAST).orderBy("cluster", "raw").collect()  # at most 200 rows
+    several = [c for c in dict.fromkeys(r.cluster for r in rows) if sum(r.cluster == c for r in rows) > 1][:FUZZY_CLUSTERS]
+    return {r.raw: r.canonical for r in rows if r.cluster in several and r.raw != r.canonical}
+
+
 def detect(df: DataFrame) -> list[dict]:
     """Issues of all columns: high null rates, spellings, numbers as text, each with an operation to apply."""
     issues = [{"column": r["column"], "issue": "high_null_rate", "operation": "drop_column", "rate": r["null_rate"]} for r in null_rates(df).where("is_high").collect()]
@@ -125,6 +142,9 @@ def detect(df: DataFrame) -> list[dict]:
     if strings:
         issues += [{"column": r["column"], "issue": "numeric_as_string", "operation": "coerce_numeric"} for r in numeric_strings(df, strings).where("is_numeric").collect()]
     for c in strings:
+        near = fuzzy_duplicates(df, c)
+        if near:
+            issues.append({"column": c, "issue": "fuzzy_duplicates", "operation": "entity_resolution", "mapping": near})
         found = case_variants(df, c).collect()  # at most 20 rows
         if found:
             issues.append({"column": c, "issue": "case_variants", "operation": "normalize_text", "groups": [r["canonical"] for r in found]})

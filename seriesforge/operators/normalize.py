@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .inspect import best_spellings
+from .profile import union_all
 
 THRESHOLD = 80.0
 
@@ -40,6 +44,27 @@ def cluster_names(values: DataFrame, threshold: float = THRESHOLD, block: str |
     return out.join(best, ["block", "cluster"]).select("block", "raw", "normalized", "cluster", "canonical", "confidence")
 
 
+def sequence_clusters(values: DataFrame, threshold: float = 82.0) -> DataFrame:
+    """raw, cluster, canonical by the similarity of longest common blocks, without normalising; for one column's names."""
+    names = values.select("raw").where("raw is not null").distinct()
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("raw").reset_index(drop=True)
+        return pdf.assign(cluster=tx.sequence_groups(pdf["raw"].tolist(), threshold))[["raw", "cluster"]]
+
+    out = names.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(group, "raw string, cluster int")
+    return out.join(best_spellings(out, "cluster", "raw").withColumnRenamed("raw", "canonical"), "cluster").select("raw", "cluster", "canonical")
+
+
+def normalization_graph(lookup: DataFrame, levels: list[str], column: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges from raw spellings to their canonical name and up the levels; a later cluster wins."""
+    chain = ["raw_value", "canonical", *[x for x in levels if x != "product"]]
+    at = lambda c: F.concat(F.lit(f"{column}.{'product' if c == 'canonical' else c}="), F.col(c))
+    ids = [lookup.where(F.col(c).isNotNull()).select(at(c).alias("id"), F.lit("VALUE").alias("node_type"), F.lit(f"{column}.{c}").alias("name"), F.col(c).alias("value")) for c in chain]
+    links = [lookup.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(at(a).alias("source"), at(b).alias("target"), F.lit("CHILD_OF").alias("edge_type")) for a, b in zip(chain, chain[1:])]
+    return union_all(ids).distinct(), union_all(links).distinct()
+
+
 def fuzzy_pairs(values: DataFrame, threshold: float) -> DataFrame:
     """a, b, score of distinct names that are at least so similar.
 
@@ -103,12 +128,40 @@ def summary(lookup: DataFrame, levels: list[str]) -> DataFrame:
     return lookup.agg(F.count("*").alias("raw_values"), F.count_distinct("canonical").alias("canonicals"), *[F.count_distinct(v).alias(f"n_{v}") for v in levels])
 
 
-def rules_from_model(ask: Callable[[str], str], names: list[str], levels: list[str], most: int = 200) -> dict:
-    """Rules from a language model behind ``ask``; its answer is a JSON list of {pattern, levels...}, fenced or not."""
-    import json
-    import re
-
-    prompt = f"Give a JSON list of objects with the keys pattern, {', '.join(levels)} that classify these names:\n" + "\n".join(sorted(set(names))[:most])
-    found = re.search(r"\[.*\]", re.sub(r"```\w*", "", ask(prompt)), re.S)
-    rows = json.loads(found[0]) if found else []
-    return {r["pattern"]: {k: r[k] for k in levels if k in r} for r in rows if "pattern" in r}
+def prompt(names: list[str], levels: list[str], known: dict[str, list[str]] | None = None) -> str:
+    """What to ask a language model for rules; ``known`` has the values that each level has already."""
+    lines = [f"Give a JSON list of objects with the keys pattern, {', '.join(levels)} that classify these names:", *names]
+    lines += [f"Use these values of {level} where they fit: {', '.join(sorted(values))}" for level, values in (known or {}).items() if values]
+    return "\n".join(lines)
+
+
+def parse_rows(answer: str) -> list[dict]:
+    """The JSON list of objects in a model's answer, fenced or not; nothing where there is none."""
+    found = re.search(r"\[.*\]", re.sub(r"```\w*", "", answer), re.S)
+    try:
+        rows = json.loads(found[0]) if found else []
+    except json.JSONDecodeError:
+        return []
+    return [r for r in rows if isinstance(r, dict)]
+
+
+def rules_from_model(ask: Callable[[str], str], names: list[str], levels: list[str], most: int = 200, known: dict[str, list[str]] | None = None) -> dict:
+    """Rules from a language model behind ``ask``, which sees ``most`` names at a time, so all are asked for."""
+    names, rules = sorted(set(names)), {}
+    for at in range(0, len(names), most):
+        for r in parse_rows(ask(prompt(names[at : at + most], levels, known))):
+            if "pattern" in r:
+                rules.setdefault(r["pattern"], {k: r[k] for k in levels if k in r})
+    return rules
+
+
+def mapping_from_model(ask: Callable[[str], str], column: str, names: list[str], most: int = 200) -> dict:
+    """An entity_resolution operation from a model's groups ({canonical, names}); names it does not know are left out."""
+    names = sorted(set(names))
+    mapping = {}
+    for at in range(0, len(names), most):
+        part = set(names[at : at + most])
+        text = "Give a JSON list of objects with the keys canonical and names that group spellings of one thing:\n" + "\n".join(sorted(part))
+        for r in parse_rows(ask(text)):
+            mapping |= {n: r["canonical"] for n in r.get("names", []) if n in part and isinstance(r.get("canonical"), str) and n != r["canonical"]}
+    return {"operation": "entity_resolution", "column": column, "mapping": mapping}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.numbers import fixed
+from . import narratives
 
 #: Codes of grains and directions in the shape embedding.
 GRAINS = {"sub_hourly": 0.0, "hourly": 0.2, "daily": 0.4, "weekly": 0.6, "monthly": 0.8, "quarterly": 0.9, "yearly": 1.0}
@@ -147,6 +148,7 @@ def clusters(df: DataFrame, vector: str, id_col: str, k: int, seed: int = 42, re
     centres = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())], "cluster int, centre array<double>")
     pca = PCA(k=2, inputCol="features", outputCol="xy").fit(rows)
     out = pca.transform(best.transform(rows)).withColumns({"xy": vector_to_array("xy"), "features": vector_to_array("features")}).join(F.broadcast(centres), "cluster")
+    rows.unpersist()
     far = F.aggregate(F.zip_with("features", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     out = out.withColumn("_far", far)
     heads = out.groupBy("cluster").agg(F.min_by(id_col, F.struct("_far", id_col)).alias("representative"), F.count("*").alias("size"), F.avg(F.col("xy")[0]).alias("_x"), F.avg(F.col("xy")[1]).alias("_y"))
@@ -188,6 +190,6 @@ def search(df: DataFrame, columns: list[str], text: str) -> DataFrame:
     return df.where(test)
 
 
-def describe(df: DataFrame) -> Column:
-    """A sentence on a signal."""
-    return F.format_string("%s of %s: trend %s, %d deviations", F.col("column"), F.col("segment"), F.col("trend_direction"), F.col("deviation_count"))
+def describe(df: DataFrame) -> DataFrame:
+    """``df`` with a description of each signal."""
+    return df.withColumn("description", narratives.signal(df.columns))

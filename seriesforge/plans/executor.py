@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.normalize import lookup_enrich
 from ..operators.profile import family
 
 
@@ -27,6 +28,10 @@ class Plan:
     primary: Dataset
     supplementary: list[Dataset] = field(default_factory=list)
     skipped: list[str] = field(default_factory=list)
+    #: Lookups of the primary's columns, the levels they add, and the columns to segment by.
+    lookups: dict[str, DataFrame] = field(default_factory=dict)
+    levels: list[str] = field(default_factory=list)
+    segment_by: list[str] = field(default_factory=list)
 
 
 def keep_value(df: DataFrame, col: str, value) -> DataFrame:
@@ -103,9 +108,31 @@ def execute(plan: Plan) -> DataFrame:
             df = join_asof(df, right, s.join_key, s.name, s.time_col)
         else:
             df = join_key_only(df, right, s.join_key, s.name)
+    for col, lookup in plan.lookups.items():
+        df = lookup_enrich(df, lookup, col, plan.levels)
     return df
 
 
+def attach(plan: Plan, lookups: dict[str, DataFrame], levels: list[str], discriminators: list[str]) -> Plan:
+    """The plan with the lookups of those columns that are discriminators of its primary; their levels are what to
+    segment by."""
+    plan.lookups = {c: lookup for c, lookup in lookups.items() if c in discriminators and c in plan.primary.frame.columns}
+    plan.levels = list(levels)
+    plan.segment_by = [f"norm_{c}_{level}" for c in plan.lookups for level in levels]
+    return plan
+
+
+def describe(plan: Plan) -> str:
+    """The plan as text."""
+    p = plan.primary
+    lines = [f"primary {p.name}" + (f", time {p.time_col} ({p.grain or 'any grain'})" if p.time_col else "") + (f", only {p.filter[0]} = {p.filter[1]}" if p.filter else "")]
+    for s in plan.supplementary:
+        how = "skipped: no key" if not s.join_key else f"on {s.join_key}" + (", same grain" if p.time_col and s.time_col and p.grain and p.grain == s.grain else ", as of" if p.time_col and s.time_col else "")
+        lines.append(f"with {s.name} {how}")
+    lines += [f"normalised {c}" for c in plan.lookups]
+    return "\n".join(lines + ([f"segment by {', '.join(plan.segment_by)}"] if plan.segment_by else []))
+
+
 def build(datasets: list[Dataset], value: tuple[str, object] | None = None, sizes: dict[str, int] | None = None) -> Plan:
     """A plan over datasets: the largest with a time is primary (the first on a tie), the others join on the
     column they share with it that has the fewest values there (the first on a tie). Measures, which are

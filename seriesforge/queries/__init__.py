@@ -39,5 +39,5 @@ def r4(c: Column | str) -> Column:
     return fixed(c, 4)
 
 
-for _name in ("series", "profile", "clean", "segments", "plans", "correlate", "registry", "kernels", "extract", "inspect", "io"):
+for _name in ("series", "profile", "clean", "segments", "plans", "correlate", "registry", "kernels", "extract", "inspect", "io", "graph"):
     import_module(f"{__name__}.{_name}")

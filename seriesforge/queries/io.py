@@ -75,3 +75,132 @@ def stream_zscores(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
     return rounded(st.run_to_end(st.running_zscores(stream, "event_type", "ts", "value"), f"z_{uuid.uuid4().hex}"))
+
+
+@query("SELECT * FROM (VALUES (CAST(3 AS BIGINT), CAST(1 AS BIGINT)), (2, 1)) t(n_columns, n_datasets)")
+def scan_folder(spark, sf_dir):
+    """Every file of a folder profiled, whatever its format; other files are left out."""
+    path = _folder(spark)
+    sinks.export(table(spark, sf_dir, "nation").coalesce(1), f"{path}/a")
+    sinks.export(table(spark, sf_dir, "region").coalesce(1), f"{path}/b", "csv")
+    sinks.export(table(spark, sf_dir, "region").coalesce(1), f"{path}/c", "json")
+    found, _ = readers.profile_directory(spark, path)
+    return found.groupBy("dataset").agg(F.count("*").alias("n_columns")).groupBy("n_columns").agg(F.count("*").alias("n_datasets"))
+
+
+@query("SELECT least(count(*), 5000) AS n FROM lineitem")
+def sample_rows(spark, sf_dir):
+    return readers.sample(table(spark, sf_dir, "lineitem")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT n_regionkey) AS n_regions FROM nation")
+def result_documents(spark, sf_dir):
+    """A result document with a list, as an analysis writes it, read back a row for each element."""
+    path = _folder(spark)
+    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_regionkey")))
+    table(spark, sf_dir, "nation").agg(rows.alias("items")).select(F.lit("done").alias("state"), "items").coalesce(1).write.json(path)
+    return readers.result_documents(spark, path, "items").agg(F.count("*").alias("n"), F.count_distinct("n_regionkey").alias("n_regions"))
+
+
+@query("SELECT true AS same, true AS changed")
+def change_detection(spark, sf_dir):
+    """Equal files have equal hashes, others do not."""
+    path = _folder(spark)
+    line = lambda text: spark.range(1).select(F.lit(text).alias("value")).coalesce(1)
+    for name, text in (("a", "one"), ("b", "one"), ("c", "two")):
+        line(text).write.text(f"{path}/{name}")
+    md5 = {n: readers.content_hash(spark, f"{path}/{n}/*.txt").select(F.lit(n).alias("n"), "md5") for n in "abc"}
+    both = md5["a"].unionByName(md5["b"]).unionByName(md5["c"]).groupBy().pivot("n", list("abc")).agg(F.first("md5"))
+    return both.select((F.col("a") == F.col("b")).alias("same"), (F.col("a") != F.col("c")).alias("changed"))
+
+
+@query("""WITH m AS (SELECT date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS v FROM orders GROUP BY 1), e AS (SELECT min(m) AS a, max(m) AS b FROM m), g AS (SELECT unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS m FROM e),
+f AS (SELECT coalesce(v, 0) AS v FROM g LEFT JOIN m USING (m)) SELECT count(*) AS n, round(min(v), 2) AS min, round(max(v), 2) AS max, count(*) FILTER (WHERE v = 0) AS zeros FROM f""")
+def series_with_summary(spark, sf_dir):
+    """A monthly series as CSV beside its summary; the query joins what was read back of both."""
+    from ..operators import series
+
+    path = _folder(spark)
+    monthly = series.aggregate(table(spark, sf_dir, "orders"), "o_orderdate", "month", [("sum", "o_totalprice")])
+    sinks.series_files(monthly, series.series_summary(monthly, "sum_o_totalprice"), path)
+    n = readers.scan(spark, f"{path}/series.csv").agg(F.count("*").alias("n"))
+    return rounded(n.join(F.broadcast(spark.read.json(f"{path}/summary").select("min", "max", "zeros"))), 2)
+
+
+@query("SELECT DISTINCT event_type AS segment_id, 'value' AS \"column\", true AS adds_up FROM events")
+def baseline_round_trip(spark, sf_dir):
+    """Baselines and their decompositions written as two tables and read back; the parts add up to the series."""
+    from ..operators import series
+    from ..operators import signals as sg
+
+    path = _folder(spark)
+    daily = series.aggregate(table(spark, sf_dir, "events"), "ts", "day", [("sum", "value")], ["event_type"])
+    base = sg.analyse(table(spark, sf_dir, "events"), "event_type", "ts", ["value"]).drop("deviations", "change_points")
+    parts = sg.decompose(daily, ["event_type"], "period", "sum_value").withColumn("column", F.lit("value"))
+    sinks.baseline_artefacts(base, parts, path)
+    back = spark.read.parquet(f"{path}/decompositions").groupBy("event_type", "column").agg(F.max(F.abs(F.col("sum_value") - F.col("trend") - F.col("seasonal") - F.col("residual"))).alias("off"))
+    kept = spark.read.parquet(f"{path}/baselines").select("segment_id", "column")
+    return kept.join(back.withColumnRenamed("event_type", "segment_id"), ["segment_id", "column"]).select("segment_id", "column", (F.col("off") < 1e-6).alias("adds_up"))
+
+
+@query("SELECT 'by_type' AS scenario, count(*) AS n_series FROM (SELECT event_type FROM events GROUP BY 1 HAVING count(*) >= 50)")
+def batch_files(spark, sf_dir):
+    """A batch run's files: a JSON for each segment, deviations, and the summary, read back."""
+    from ..plans import batch
+
+    path = _folder(spark)
+    manifest = {"data_path": f"{sf_dir}/events.parquet", "dataset_name": "events", "timestamp_col": "ts", "value_cols": ["value"], "scenarios": [{"name": "by_type", "segment_by": "event_type"}]}
+    batch.write(batch.run_all(spark, manifest), path)
+    said = spark.read.text(f"{path}/batch_summary.json").select(F.get_json_object("value", "$.scenarios.by_type.n_series").cast("long").alias("n"))
+    return spark.read.json(f"{path}/results").groupBy("scenario").agg(F.count("*").alias("n_series")).join(F.broadcast(said)).where("n = n_series").drop("n")
+
+
+@query("SELECT 0 AS n, 3 AS n_columns")
+def clear_derived(spark, sf_dir):
+    path = _folder(spark)
+    df = table(spark, sf_dir, "nation")
+    sinks.export(df, path)
+    sinks.clear(df, path)
+    back = spark.read.parquet(path)
+    return back.agg(F.count("*").alias("n")).select("n", F.lit(len(back.columns)).alias("n_columns"))
+
+
+@query("SELECT true AS known, false AS unknown, count(*) AS n FROM part")
+def create_table_as(spark, sf_dir):
+    name = f"parts_{uuid.uuid4().hex}"
+    n = readers.create_as(spark, name, table(spark, sf_dir, "part"))
+    return spark.range(1).select(F.lit(readers.table_exists(spark, name)).alias("known"), F.lit(readers.table_exists(spark, f"{name}_not")).alias("unknown"), F.lit(n).cast("long").alias("n"))
+
+
+@query("SELECT 'except' AS how, c_nationkey AS key FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'intersect', c_nationkey FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'union', c_nationkey FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)")
+def set_operations(spark, sf_dir):
+    c, s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"))
+    parts = {"except": c.subtract(s), "intersect": c.intersect(s), "union": c.union(s).distinct()}
+    out = None
+    for how, df in parts.items():
+        df = df.select(F.lit(how).alias("how"), "key")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@query("SELECT o_orderdate::DATE AS day FROM (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS o_orderdate FROM orders) WHERE o_orderdate::DATE NOT IN (SELECT o_orderdate::DATE FROM orders WHERE o_orderpriority LIKE '1%')")
+def missing_days(spark, sf_dir):
+    """Days of the whole range on which a segment has no row."""
+    day = F.to_date("o_orderdate")
+    o = table(spark, sf_dir, "orders")
+    spine = o.agg(F.min(day).alias("a"), F.max(day).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    return spine.join(o.where("o_orderpriority like '1%'").select(day.alias("day")), "day", "left_anti")
+
+
+@query("SELECT p_partkey, regexp_extract(p_name, 'ring|bolt|widget') AS found FROM part WHERE regexp_matches(p_name, 'ring|bolt|widget')")
+def matched_text(spark, sf_dir):
+    from ..operators import extract
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", extract.matched_text(F.upper("p_name"), "ring|bolt|widget").alias("found"))
+    return parts.where("found <> ''").withColumn("found", F.lower("found"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events""")
+def json_and_iso(spark, sf_dir):
+    """Paths into JSON text, tolerating what is no JSON, and times in ISO form."""
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))

@@ -55,6 +55,25 @@ def scan_directory(spark: SparkSession, folder: str, recursive: bool = True) ->
     return frames, errors
 
 
+def table_exists(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)
+
+
+def create_as(spark: SparkSession, name: str, df: DataFrame) -> int:
+    """Register ``df`` as a view of that name and return its number of rows."""
+    df.createOrReplaceTempView(name)
+    return spark.table(name).count()
+
+
+def profile_directory(spark: SparkSession, folder: str, recursive: bool = True) -> tuple[DataFrame | None, dict[str, str]]:
+    """dataset, column, kind, n_distinct, n_null, role of every file's columns, and errors by path."""
+    from ..operators.profile import roles, union_all
+
+    frames, errors = scan_directory(spark, folder, recursive)
+    parts = [roles(df).select(F.lit(name).alias("dataset"), "*") for name, df in sorted(frames.items())]
+    return (union_all(parts) if parts else None), errors
+
+
 def sample(df: DataFrame, n: int = 5000) -> DataFrame:
     return df.limit(n)
 

@@ -79,3 +79,14 @@ def data_notes(profile: list[dict], dataset: str, rows: int) -> str:
         hint = "cents?" if money and (p.get("mean") or 0) > 100 else ""
         lines.append(f"| {p['column']} | {p['role']} | {p['n_distinct']} | {p['n_null']} | {hint} |")
     return "\n".join(lines) + "\n"
+
+
+def series_files(series: DataFrame, summary: DataFrame, path: str) -> None:
+    """A series as CSV beside its one-row summary as JSON."""
+    export(series, f"{path}/series.csv", "csv")
+    export(summary, f"{path}/summary", "json")
+
+
+def clear(df: DataFrame, path: str) -> None:
+    """Replace a stored table by an empty one of its schema."""
+    export(df.limit(0), path)

@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.numbers import fixed
 from ..functions.stats import pearson_p
-from ..session import shared_folder
+from ..session import kept
 from .series import daily_magnitude, seconds
 
 BASELINE = "baseline_pattern"
@@ -146,27 +146,25 @@ def lagged_correlation(signals: DataFrame, lag_max: int = 14, least: float = 0.3
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the least node that each reaches over edges (a, b); label propagation with
-    pointer jumping, written to the checkpoint folder every round, until no label changes."""
-    both = edges.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(edges.select(F.col("b").alias("n"), F.col("a").alias("m"))).distinct()
-    both = _cut(both)
-    labels = _cut(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("c")))
+    """node, component: the least node that each reaches over edges (a, b).
+
+    Every round points each node's neighbours to the least node around, first the greater ones and then all, and is
+    written to the shared folder; the links are those of the components once a round leaves them as they are.
+    """
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = kept(edges.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
+    state = None
     while True:
-        near = both.join(labels.select(F.col("n").alias("m"), F.col("c").alias("cm")), "m").groupBy("n").agg(F.min("cm").alias("cm"))
-        step = labels.join(near, "n").select("n", F.least("c", "cm").alias("c2"), "c")
-        jump = step.select(F.col("n").alias("c2"), F.col("c2").alias("c3"))
-        after = _cut(step.join(jump, "c2", "left").select("n", F.least("c2", F.coalesce("c3", "c2")).alias("c"), F.col("c").alias("was")))
-        labels = after.select("n", "c")
-        if after.where("c <> was").isEmpty():
-            return labels.select(F.col("n").alias("node"), F.col("c").alias("component"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+        around = links.select(F.col("low").alias("n"), F.col("high").alias("m")).unionByName(links.select(F.col("high").alias("n"), F.col("low").alias("m")))
+        ends = around.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("end"))
+        links = around.where("m > n").join(ends, "n").select(F.col("end").alias("low"), F.col("m").alias("high")).where("low <> high").distinct()
+        ends = links.groupBy("high").agg(F.min("low").alias("end"))
+        lower = links.join(ends, "high").select(F.col("end").alias("low"), F.col("low").alias("high"))
+        links = kept(lower.unionByName(ends.select(F.col("end").alias("low"), "high")).where("low <> high").distinct())
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first())
+        if now == state:
+            return nodes.join(links.withColumnRenamed("high", "node"), "node", "left").select("node", F.coalesce("low", "node").alias("component"))
+        state = now
 
 
 def with_ids(correlations: DataFrame) -> DataFrame:

@@ -68,13 +68,14 @@ def stream_windowed(spark, sf_dir):
     return rounded(out).withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
-@query()
+@query("""WITH z AS (SELECT event_type, ts, value, count(*) OVER w AS n, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_type, ts, round(value, 4) AS value, round((value - m) / s, 4) AS z_score FROM z WHERE n >= 10 AND s > 0 AND abs((value - m) / s) > 1.6""")
 def stream_zscores(spark, sf_dir):
     from ..streaming import aggregates as st
 
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-    return rounded(st.run_to_end(st.running_zscores(stream, "event_type", "ts", "value"), f"z_{uuid.uuid4().hex}"))
+    return rounded(st.run_to_end(st.running_zscores(stream, "event_type", "ts", "value", 1.6), f"z_{uuid.uuid4().hex}")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("SELECT * FROM (VALUES (CAST(3 AS BIGINT), CAST(1 AS BIGINT)), (2, 1)) t(n_columns, n_datasets)")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import kept
 from .profile import column_stats, family, union_all
 
 
@@ -77,6 +78,18 @@ def drop_column(df: DataFrame, col: str) -> DataFrame:
     return df.drop(col)
 
 
+def _fill_in_order(df: DataFrame, col: str, order: str) -> DataFrame:
+    """The last value before, over the whole table: within ranges of the order, each of which starts from what the
+    ranges before it end with, so no task holds the whole table."""
+    parts = kept(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    ends = parts.where(F.col(col).isNotNull()).groupBy("_part").agg(F.max_by(col, order).alias("_end"))
+    ends = parts.select("_part").distinct().join(ends, "_part", "left")  # a row for each range
+    before = ends.select("_part", F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = parts.withColumn(col, F.last(col, ignorenulls=True).over(w)).join(F.broadcast(before), "_part")
+    return filled.withColumn(col, F.coalesce(col, "_before")).select(*df.columns)
+
+
 def fill_nulls(df: DataFrame, col: str, how: str, value=None, order: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """how: drop_rows, fill_value, fill_mean or fill_forward (which needs an order)."""
     if how == "drop_rows":
@@ -87,7 +100,9 @@ def fill_nulls(df: DataFrame, col: str, how: str, value=None, order: str | None
         mean = df.agg(F.avg(col).alias("_mean"))
         return df.join(F.broadcast(mean)).withColumn(col, F.coalesce(F.col(col), F.col("_mean"))).drop("_mean")  # one row
     if how == "fill_forward":
-        w = Window.partitionBy(*(keys or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        if not keys:
+            return _fill_in_order(df, col, order)
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(col, F.last(col, ignorenulls=True).over(w))
     raise ValueError(f"unknown way to fill: {how}")
 

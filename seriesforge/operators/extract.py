@@ -48,9 +48,9 @@ def from_table(rules: DataFrame, name: str) -> RuleSet:
 
 
 def cleaned_name(c: Column) -> Column:
-    """Lower case without a price, fraction or number sign before the name."""
+    """Lower case without a price ($4.50), a mixed fraction (0 1/2) and a number sign (# 12) before the name."""
     t = F.lower(F.trim(c))
-    for prefix in (r"^\$?\d+(\.\d+)?\s+", r"^\d+/\d+\s+", r"^#\d+\s*"):
+    for prefix in (r"^\$[\d.]+\s*", r"^\d+\s+\d+/\d+\s*", r"^#\s*\d+\s*"):  # fixed values, in this order
         t = F.regexp_replace(t, prefix, "")
     return F.trim(t)
 

@@ -185,6 +185,13 @@ def moments(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(col).alias("n"), F.stddev_pop(col).alias("std"), F.skewness(col).alias("skewness"), F.kurtosis(col).alias("kurtosis"))
 
 
+def residual_profile(df: DataFrame, col: str, keys: list[str], least: int = 10) -> DataFrame:
+    """n, std, skewness, kurtosis and the kind of distribution of residuals; unknown for fewer than ``least``."""
+    out = moments(df, col, keys)
+    kind = F.when(F.col("n") < least, "unknown").when((F.abs("skewness") < 0.5) & (F.abs("kurtosis") < 1.0), "normal").when(F.abs("skewness") >= 0.5, "skewed").otherwise("heavy-tailed")
+    return out.withColumn("distribution", kind)
+
+
 def autocorrelation(df: DataFrame, col: str, order: str, keys: list[str], least: int = 31) -> DataFrame:
     """Lag-1 correlation of series with at least ``least`` values."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -66,6 +66,12 @@ def fill_forward(spark, sf_dir):
     return c.fill_nulls(_holed(spark, sf_dir).select("event_id", "user_id", "maybe"), "maybe", "fill_forward", order="event_id", keys=["user_id"]).select("event_id", "maybe")
 
 
+@query(f"WITH {_HOLED} SELECT event_id, last_value(maybe IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS maybe FROM h")
+def fill_forward_all(spark, sf_dir):
+    """Over the whole table, without keys."""
+    return c.fill_nulls(_holed(spark, sf_dir).select("event_id", "maybe"), "maybe", "fill_forward", order="event_id")
+
+
 @query(f"WITH {_HOLED} SELECT event_id, coalesce(maybe, -1.0) AS maybe FROM h")
 def fill_value(spark, sf_dir):
     return c.fill_nulls(_holed(spark, sf_dir).select("event_id", "maybe"), "maybe", "fill_value", -1.0)

@@ -175,6 +175,16 @@ def moments(spark, sf_dir):
     return rounded(s.moments(table(spark, sf_dir, "events"), "value", ["event_type"]))
 
 
+@query("""WITH x AS (SELECT o_orderpriority AS k, ln(o_totalprice) AS v FROM orders UNION ALL SELECT 'squares', (o_totalprice / 1000) ^ 2 FROM orders UNION ALL SELECT 'few', o_totalprice FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 5)),
+m AS (SELECT k, v, avg(v) OVER (PARTITION BY k) AS mu FROM x), c AS (SELECT k, count(*) AS n, avg((v - mu) ^ 2) AS m2, avg((v - mu) ^ 3) AS m3, avg((v - mu) ^ 4) AS m4 FROM m GROUP BY 1), d AS (SELECT k, n, m3 / (m2 * sqrt(m2)) AS s, m4 / (m2 * m2) - 3 AS q FROM c)
+SELECT k, n, CASE WHEN n < 10 THEN 'unknown' WHEN abs(s) < 0.5 AND abs(q) < 1.0 THEN 'normal' WHEN abs(s) >= 0.5 THEN 'skewed' ELSE 'heavy-tailed' END AS distribution FROM d""")
+def residual_profile(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    few = o.orderBy("o_orderkey").limit(5)
+    x = o.select(F.col("o_orderpriority").alias("k"), F.log("o_totalprice").alias("v")).unionByName(o.select(F.lit("squares").alias("k"), F.pow(F.col("o_totalprice") / 1000, F.lit(2)).alias("v"))).unionByName(few.select(F.lit("few").alias("k"), F.col("o_totalprice").alias("v")))
+    return s.residual_profile(x, "v", ["k"]).select("k", "n", "distribution")
+
+
 @query(f"{_DAILY}, p AS (SELECT event_type, count_all AS a, lag(count_all) OVER (PARTITION BY event_type ORDER BY period) AS b FROM d) SELECT event_type, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(corr(a, b), 4) END AS autocorr FROM p GROUP BY 1")
 def autocorr(spark, sf_dir):
     return rounded(s.autocorrelation(_daily(spark, sf_dir), "count_all", "period", ["event_type"], 20))

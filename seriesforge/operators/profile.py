@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,40 +53,49 @@ def exact_medians(df: DataFrame, cols: list[str], most: int = MEDIAN_VALUES) ->
     Sketched quantiles bracket the middle ranks and exact counts below and inside of the bracket say
     whether it holds them; it is narrowed until few distinct values are left, which are counted.
     """
+    if not cols:
+        return {}
     x = {c: F.col(c).cast("double") for c in cols}
-    first = df.agg(*[F.struct(F.count(x[c]).alias("n"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(f"_{i}") for i, c in enumerate(cols)]).first() if cols else ()
-    out: dict[str, float | None] = {c: None for c in cols}
-    # column -> count, bracket, values below it, values inside
-    state = {c: [r["n"], r["lo"], r["hi"], 0, r["n"]] for c, r in zip(cols, first) if r["n"]}
-    tried = 0
-    while state:
-        tried += 1
-        inside = {c: F.when((x[c] >= lo) & (x[c] <= hi), x[c]) for c, (n, lo, hi, below, within) in state.items()}
-        marks = {}
-        for c, (n, lo, hi, below, within) in state.items():
-            at, slack = ((n - 1) / 2 - below) / within, 2 / 10_000
-            marks[c] = [max(0.0, at - slack), min(1.0, at + 1 / within + slack)]
+    slack = 3 / 10_000  # ranks a sketch of this accuracy may be off by, and some more
+
+    def marks(v: Column, at: float, more: float = 0.0) -> Column:
+        return F.percentile_approx(v, F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + more + slack))), 10_000)
+
+    first = df.agg(*[F.struct(F.count(x[c]).alias("n"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi"), marks(x[c], 0.5).alias("q")).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    # column -> count, bracket, values below it, values inside, and a bracket to try
+    state = {c: (r["n"], r["lo"], r["hi"], 0, r["n"], r["q"]) for c, r in zip(cols, first) if r["n"]}
+    ready = {}
+    for _ in range(20):
         names = list(state)
-        row = df.agg(*[F.struct(F.approx_count_distinct(inside[c]).alias("d"), F.percentile_approx(inside[c], F.array(*map(F.lit, marks[c])), 10_000).alias("q")).alias(f"_{i}") for i, c in enumerate(names)]).first()
-        done = [c for c, r in zip(names, row) if r["d"] <= most or tried > 12]
-        for c in done:
-            n, _, _, below, _ = state.pop(c)
-            upto, want, got = below, ((n - 1) // 2, n // 2), []
-            for v in df.where(inside[c].isNotNull()).groupBy(x[c].alias("v")).agg(F.count("*").alias("m")).orderBy("v").toLocalIterator():
-                got += [v.v] * (sum(upto <= w < upto + v.m for w in want))
-                upto += v.m
-                if len(got) == 2:
-                    break
-            out[c] = sum(got) / 2
-        open_ = [(c, r["q"]) for c, r in zip(names, row) if c not in done]
-        if not open_:
+        if not names:
             break
-        counts = df.agg(*[F.struct(F.count_if(x[c] < q[0]).alias("b"), F.count_if((x[c] >= q[0]) & (x[c] <= q[1])).alias("w")).alias(f"_{i}") for i, (c, q) in enumerate(open_)]).first()
-        for (c, q), r in zip(open_, counts):
-            n = state[c][0]
-            if r["b"] <= (n - 1) // 2 and n // 2 < r["b"] + r["w"]:
-                state[c] = [n, q[0], q[1], r["b"], r["w"]]
-    return out
+        inner = {c: F.when((x[c] >= state[c][5][0]) & (x[c] <= state[c][5][1]), x[c]) for c in names}
+        row = df.agg(*[F.struct(F.count_if(x[c] < state[c][5][0]).alias("b"), F.count(inner[c]).alias("w"), F.approx_count_distinct(inner[c]).alias("d")).alias(f"_{i}") for i, c in enumerate(names)]).first()
+        for c, r in zip(names, row):
+            n, lo, hi, below, within, q = state[c]
+            held = r["b"] <= (n - 1) // 2 and n // 2 < r["b"] + r["w"]
+            state[c] = (n, q[0], q[1], r["b"], r["w"], q) if held else (n, lo, hi, below, within, (lo, hi))
+            if held and (r["d"] <= most or q[0] == q[1]):
+                ready[c] = state.pop(c)
+        names = list(state)
+        if names:
+            inside = {c: F.when((x[c] >= state[c][1]) & (x[c] <= state[c][2]), x[c]) for c in names}
+            row = df.agg(*[marks(inside[c], ((state[c][0] - 1) / 2 - state[c][3]) / state[c][4], 1 / state[c][4]).alias(f"_{i}") for i, c in enumerate(names)]).first()
+            state |= {c: (*state[c][:5], q) for c, q in zip(names, row)}
+    ready |= state
+    out: dict[str, float | None] = dict.fromkeys(cols)
+    if not ready:
+        return out
+    names = list(ready)
+    pairs = [F.struct(F.lit(i).alias("i"), F.when((x[c] >= ready[c][1]) & (x[c] <= ready[c][2]), x[c]).alias("v")) for i, c in enumerate(names)]
+    values = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("v is not null").groupBy("i", "v").agg(F.count("*").alias("m"))
+    upto = [ready[c][3] for c in names]
+    got: list[list[float]] = [[] for _ in names]
+    for r in values.orderBy("i", "v").toLocalIterator():
+        n = ready[names[r.i]][0]
+        got[r.i] += [r.v] * sum(upto[r.i] <= w < upto[r.i] + r.m for w in ((n - 1) // 2, n // 2))
+        upto[r.i] += r.m
+    return out | {c: sum(g) / 2 for c, g in zip(names, got)}
 
 
 def value_stats(df: DataFrame) -> DataFrame:

@@ -192,8 +192,9 @@ def links(distinct: DataFrame) -> DataFrame:
             pairs = np.array(ended(held_key, held), np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    spread_out = distinct.select("fp").mapInArrow(spread, "key long, fp long")
     parts = _partitions(distinct, 64 * 16)
+    # Nodes are few bytes and many keys: dealt out first, so that few files do not make few tasks.
+    spread_out = distinct.select("fp").repartition(parts, "fp").mapInArrow(spread, "key long, fp long")
     return spread_out.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").distinct()
 
 
@@ -310,8 +311,8 @@ def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    keyed = nodes.select("fp", "words").mapInArrow(spread, "key int, fp long")
     parts = _partitions(nodes, len(STEPS) * WIDE_RING * 16)
+    keyed = nodes.select("fp", "words").repartition(parts, "fp").mapInArrow(spread, "key int, fp long")
     found = materialise(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").distinct(), "candidates")
     sides = [nodes.select(F.col("fp").alias(side), F.col("words").alias(f"{side}_words")) for side in "ab"]
     found = found.where("a <> b").join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b")

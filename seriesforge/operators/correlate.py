@@ -320,3 +320,13 @@ def query_insights(insights_: DataFrame, signals: DataFrame, least_action: float
 def source_overview(sources: DataFrame, signals: DataFrame) -> DataFrame:
     """Each source with the number of its signals and the time of the last one."""
     return sources.join(signals, "source_id", "left").groupBy("source_id").agg(F.count("signal_id").alias("n_signals"), F.max("ts_start").alias("last_signal"))
+
+
+def metadata_field(metadata: Column, name: str) -> Column:
+    """A field of the metadata kept as JSON text; null where it is no JSON or lacks the field."""
+    return F.get_json_object(metadata, f"$.{name}")
+
+
+def signal_counts(signals: DataFrame) -> DataFrame:
+    """Numbers of signals by source and type."""
+    return signals.groupBy("source_id", "signal_type").agg(F.count("*").alias("n"))

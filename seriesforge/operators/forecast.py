@@ -34,6 +34,34 @@ def linear_forecast(df: DataFrame, y: str, order: str, keys: list[str], horizon:
     return out.drop("n", "slope", "intercept", "_sigma", "_mean")
 
 
+def seasonal_forecast(df: DataFrame, y: str, order: str, keys: list[str], horizon: int, period: int, levels: tuple[float, ...] = (0.8, 0.95)) -> DataFrame:
+    """The linear forecast with the mean residual of each phase of the season added; intervals by what is left."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = df.where(F.col(y).isNotNull()).withColumn("_x", F.row_number().over(w) - 1)
+    fit = trend(df, y, order, keys).select(*keys, "n", "slope", "intercept")
+    res = rows.join(fit, keys).withColumn("_r", F.col(y) - F.col("intercept") - F.col("slope") * F.col("_x")).withColumn("_phase", F.col("_x") % period)
+    phase = res.groupBy(*keys, "_phase").agg(F.avg("_r").alias("_s"))
+    left = res.join(phase, [*keys, "_phase"]).groupBy(*keys).agg(F.stddev_pop(F.col("_r") - F.col("_s")).alias("_sigma"), F.avg(y).alias("_mean"))
+    out = fit.join(left, keys).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("_phase", (F.col("n") - 1 + F.col("step")) % period)
+    out = out.join(phase, [*keys, "_phase"], "left")
+    out = out.withColumn("point", F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("step")) + F.coalesce("_s", F.lit(0.0)))
+    for level in levels:
+        half, tag = z_value(level) * F.col("_sigma") * F.sqrt(F.col("step").cast("double")), round(level * 100)
+        out = out.withColumn(f"lower_{tag}", F.col("point") - half).withColumn(f"upper_{tag}", F.col("point") + half)
+    tag = round(levels[0] * 100)
+    out = out.withColumn("trustworthy", (F.col(f"upper_{tag}") - F.col(f"lower_{tag}")) <= 0.5 * F.abs("_mean"))
+    return out.drop("n", "slope", "intercept", "_phase", "_s", "_sigma", "_mean")
+
+
+def project(df: DataFrame, y: str, order: str, keys: list[str], horizon: int, method: str = "auto", period: int | None = None, levels: tuple[float, ...] = (0.8, 0.95)) -> DataFrame:
+    """A forecast by the method named: linear, or seasonal, which auto takes where a period is given."""
+    if method not in ("auto", "linear", "seasonal"):
+        raise ValueError(f"unknown method {method}")
+    if method == "linear" or not period:
+        return linear_forecast(df, y, order, keys, horizon, levels)
+    return seasonal_forecast(df, y, order, keys, horizon, period, levels)
+
+
 def recent_scenario(df: DataFrame, y: str, order: str, keys: list[str]) -> DataFrame:
     """Slope of the last max(n // 5, 10) values beside the whole series' slope; differs: by a tenth or more."""
     w = Window.partitionBy(*keys)

@@ -250,3 +250,16 @@ def upsert_source(spark, sf_dir):
 SELECT o_orderkey, CASE WHEN r = 1 THEN 'active' ELSE 'superseded' END AS status, nx AS superseded_by FROM n""")
 def supersede(spark, sf_dir):
     return sinks.supersede(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_orderkey", "status", "superseded_by")
+
+
+@query("SELECT event_type AS source_id, CASE WHEN event_id % 11 = 0 THEN 'baseline_pattern' ELSE 'point_anomaly' END AS signal_type, count(*) AS n FROM events GROUP BY 1, 2")
+def signal_counts(spark, sf_dir):
+    return co.signal_counts(signals(spark, sf_dir))
+
+
+@query("SELECT 'e' || event_id AS signal_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS missing FROM events WHERE event_id IN (3, 7, 100)")
+def signal_metadata(spark, sf_dir):
+    """Signals by their ids, with fields of their metadata."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("signal_id"), "props")
+    found = e.where(F.col("signal_id").isin("e3", "e7", "e100"))
+    return found.select("signal_id", co.metadata_field(F.col("props"), "k").alias("k"), co.metadata_field(F.col("props"), "none.here").alias("missing"))

@@ -205,3 +205,50 @@ def matched_text(spark, sf_dir):
 def json_and_iso(spark, sf_dir):
     """Paths into JSON text, tolerating what is no JSON, and times in ISO form."""
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+
+
+@query("SELECT 'pos' AS domain, 'US' AS geography, 2 AS n")
+def dataset_about(spark, sf_dir):
+    path = _folder(spark)
+    spark.createDataFrame([("domain: pos",), ("geography: US",)], "value string").coalesce(1).write.text(path)
+    found = readers.dataset_descriptor(spark, path)
+    return spark.createDataFrame([(found["domain"], found["geography"], len(found))], "domain string, geography string, n int")
+
+
+@query("""SELECT * FROM (SELECT '| c_acctbal | VALUE | ' || count(DISTINCT c_acctbal) || ' | 0 |  |' AS line FROM customer UNION ALL SELECT '| c_total | VALUE | ' || count(DISTINCT c_acctbal) || ' | 0 | ' || CASE WHEN avg(c_acctbal) > 100 THEN 'cents?' ELSE '' END || ' |' FROM customer)""")
+def data_notes(spark, sf_dir):
+    from ..operators import profile as p
+
+    df = table(spark, sf_dir, "customer").select("c_acctbal", F.col("c_acctbal").alias("c_total"))
+    means = {r["column"]: r["mean"] for r in p.value_stats(df).collect()}
+    rows = [{**r.asDict(), "mean": means.get(r["column"])} for r in p.roles(df).orderBy("column").collect()]
+    lines = sinks.data_notes(rows, "customer", 0).splitlines()
+    return spark.createDataFrame([(x,) for x in lines if x.startswith("| c_")], "line string")
+
+
+@query("SELECT * FROM (VALUES ('rare', 'high_null_rate'), ('code', 'numeric_as_string'), ('kind', 'case_variants'), ('kind', 'fuzzy_duplicates')) t(\"column\", issue)")
+def detect_issues(spark, sf_dir):
+    from ..operators import clean
+
+    i = F.col("event_id")
+    kind = F.when(i % 3 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    df = table(spark, sf_dir, "events").select(F.when(i % 5 == 0, F.col("value")).alias("rare"), F.concat(F.lit("$"), (i % 97).cast("string")).alias("code"), kind.alias("kind"))
+    found = clean.detect(df.withColumn("kind", F.col("kind")))
+    return spark.createDataFrame([(x["column"], x["issue"]) for x in found if x["issue"] != "fuzzy_duplicates" or x["column"] == "kind"], "column string, issue string")
+
+
+@query("SELECT 'orders' AS primary_dataset, 'normalize,plan,profile' AS stages, count(DISTINCT o_orderstatus) AS n_status FROM orders")
+def stage_run(spark, sf_dir):
+    """The stages over a folder of two files: profile, normalised statuses, plan and manifest."""
+    from ..plans import stages
+
+    path = _folder(spark)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    sinks.export(o.coalesce(1), f"{path}/in/a")
+    sinks.export(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment").coalesce(1), f"{path}/in/b")
+    found = {readers.PurePosixPath(p).stem: "orders" if "/in/a/" in p else "customers" for p in readers.list_files(spark, f"{path}/in")}
+    lake = stages.Lake(spark, f"{path}/in", f"{path}/out", {"names": found, "normalize_columns": ["o_orderstatus"], "times": {"orders": "o_orderdate"}, "values": {"orders": "o_totalprice"}})
+    state = stages.run(lake)
+    made = state["results"]["plan"]["manifest"]
+    n = state["results"]["normalize"]["canonicals"]["o_orderstatus"]
+    return spark.createDataFrame([(made["dataset_name"], ",".join(sorted(state["done"])), n)], "primary_dataset string, stages string, n_status long")

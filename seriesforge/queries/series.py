@@ -149,6 +149,15 @@ def linear_forecast(spark, sf_dir):
     return rounded(fc.linear_forecast(_daily(spark, sf_dir), "sum_value", "period", ["event_type"], 7), 3)
 
 
+@query(f"""{_TREND}, r AS (SELECT event_type, x, y - intercept - slope * x AS r, CAST(x AS BIGINT) % 7 AS ph FROM xy JOIN t USING (event_type)), ph AS (SELECT event_type, ph, avg(r) AS s FROM r GROUP BY 1, 2),
+q AS (SELECT r.event_type, stddev_pop(r - s) AS sg FROM r JOIN ph ON ph.event_type = r.event_type AND ph.ph = r.ph GROUP BY 1),
+f AS (SELECT t.event_type, CAST(step AS INT) AS step, intercept + slope * (n - 1 + step) + s AS point, sg * sqrt(step) AS w, mean FROM t JOIN q USING (event_type), (SELECT unnest(range(1, 15)) AS step) JOIN ph ON ph.event_type = t.event_type AND ph.ph = (n - 1 + step) % 7)
+SELECT event_type, step, round(point, 3) AS point, round(point - 1.2815515655446004::DOUBLE * w, 3) AS lower_80, round(point + 1.2815515655446004::DOUBLE * w, 3) AS upper_80, round(point - 1.959963984540054::DOUBLE * w, 3) AS lower_95, round(point + 1.959963984540054::DOUBLE * w, 3) AS upper_95,
+  2 * 1.2815515655446004::DOUBLE * w <= 0.5 * abs(mean) AS trustworthy FROM f""")
+def seasonal_forecast(spark, sf_dir):
+    return rounded(fc.project(_daily(spark, sf_dir), "sum_value", "period", ["event_type"], 14, period=7), 3)
+
+
 @query(f"""{_DAILY}, xy AS (SELECT event_type, sum_value AS y, CAST(row_number() OVER (PARTITION BY event_type ORDER BY period) - 1 AS DOUBLE) AS x, count(*) OVER (PARTITION BY event_type) AS n FROM d),
 w AS (SELECT event_type, regr_slope(y, x) AS b FROM xy GROUP BY 1), r AS (SELECT event_type, count(*) AS c, regr_slope(y, x) AS b FROM xy WHERE x >= n - greatest(floor(n / 5.0), 10) GROUP BY 1)
 SELECT event_type, round(w.b, 4) AS baseline_slope, c AS recent_n, round(r.b, 4) AS recent_slope, abs(r.b - w.b) >= 0.1 * abs(w.b) AS differs FROM w JOIN r USING (event_type)""")

@@ -188,3 +188,34 @@ def test_shared_folder_needs_a_setting_on_clusters():
     sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None, applicationId="a")
     with pytest.raises(ValueError):
         shared_folder(SimpleNamespace(sparkContext=sc))
+
+
+def test_stages_go_on_where_they_stopped(spark, tmp_path):
+    from seriesforge.plans import stages
+
+    rows = [(i, ["Red Ale", "red ale", "Stout"][i % 3], float(i % 17) * 1.25, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(600)]
+    spark.createDataFrame(rows, "id int, name string, amount double, at timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/sales")
+    stem = next((tmp_path / "in" / "sales").glob("*.parquet")).stem
+    lake = stages.Lake(spark, f"{tmp_path}/in", f"{tmp_path}/out", {"names": {stem: "sales"}, "normalize_columns": ["name"], "values": {"sales": "amount"}})
+    assert lake.read_state() == {"done": [], "results": {}}
+    stages.profile(lake)
+    lake.edit({"results": {"profile": {"note": "seen"}}})
+    state = stages.run(lake)
+    assert state["done"] == ["profile", "normalize", "plan"] and state["results"]["profile"]["note"] == "seen"
+    assert state["results"]["profile"]["times"] == {"sales": ["at"]} and state["results"]["normalize"]["canonicals"] == {"name": 2}
+    made = state["results"]["plan"]["manifest"]
+    assert made["timestamp_col"] == "at" and made["value_cols"] == ["amount"] and made["normalization"]["enrichment_columns"] == ["name"]
+    assert state["results"]["plan"]["segment_estimates"]["name_product"] == 2 and "segment by norm_name_product" in state["results"]["plan"]["plan"]
+
+
+def test_forecast_dispatch(spark):
+    from seriesforge.operators import forecast
+
+    y = [10 + i + (5 if i % 7 == 0 else 0) for i in range(70)]
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(y)], "k string, i int, v double")
+    got = {r.step: r.point for r in forecast.project(df, "v", "i", ["k"], 14, period=7).collect()}
+    assert all(abs(got[s] - (10 + 69 + s + (5 if (69 + s) % 7 == 0 else 0))) < 0.5 for s in got)
+    line = forecast.project(df, "v", "i", ["k"], 3, "linear", 7).collect()
+    assert sorted(map(tuple, line)) == sorted(map(tuple, forecast.linear_forecast(df, "v", "i", ["k"], 3).collect()))
+    with pytest.raises(ValueError):
+        forecast.project(df, "v", "i", ["k"], 3, "magic")

@@ -107,6 +107,8 @@ def join_in_parts(rows: DataFrame, table: DataFrame, key: str, max_rows: int, fi
     return reduce(DataFrame.unionByName, [materialise(finish(rows.where(part == k).join(F.broadcast(table.where(part == k)), key, how)), "part") for k in range(parts)])
 
 
+#: Tables of up to so many rows are joined as they are.
+FEW_ROWS = 100_000
 #: At most so many keys hold this share of all rows or more.
 HEAVY_KEYS = 1024
 
@@ -119,7 +121,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     materialise them. Rows whose key is null are left out.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
-    if total <= 100_000:
+    if total <= FEW_ROWS:
         return rows.join(groups, key)
     at = max(1, total // HEAVY_KEYS)
     heavy = F.broadcast(groups.where(F.col(size) > at))

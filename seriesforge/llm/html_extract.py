@@ -52,8 +52,9 @@ MOST = 0.8
 STRAY = 0.02
 #: Up to so many different pages that have copies are broadcast.
 MAX_COPIED = 100_000
-#: Templates of so many hosts are broadcast at a time.
+#: So many hosts' numbers of pages, and about so many tokens of templates, are broadcast at a time.
 MAX_BROADCAST = 20_000
+MAX_TOKENS = 500_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -396,4 +397,6 @@ def extract(pages: DataFrame) -> DataFrame:
     def texts(df):
         return df.select("page_id", "url", "host", "html", "tokens").mapInArrow(_texts, f"page_id {types['page_id']}, url {types['url']}, text string")
 
-    return join_in_parts(keyed, known, "host", MAX_BROADCAST, texts, "left").withColumn("n_chars", F.char_length("text").cast("long"))
+    size = known.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("tokens")).first()
+    hosts = max(1, size["n"] * MAX_TOKENS // max(1, size["tokens"] or 0))
+    return join_in_parts(keyed, known, "host", hosts, texts, "left").withColumn("n_chars", F.char_length("text").cast("long"))

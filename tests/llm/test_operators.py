@@ -85,6 +85,37 @@ def test_heavy_groups_are_split(spark, make, monkeypatch):
     assert out.count() == 150_000 and out.where("digest = 'hot'").agg(F.min("n"), F.max("n")).first()[:] == (50_000, 50_000)
 
 
+def test_both_sides_of_every_limit(spark, odd, monkeypatch):
+    """Limits only choose how tables are joined: with all of them at their least, every result is the same."""
+    import seriesforge.llm.common as common
+    from seriesforge.llm import postings
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(30).withColumn("doc_id", F.col("doc_id") + 10**6)).unionByName(docs.limit(3))
+    tests = spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet")
+    pages = spark.read.parquet(f"{DATA}/sf0.001/pages.parquet")
+    runs = {
+        "exact": lambda: exact_dedup.exact_dedup(docs),
+        "near": lambda: simhash.near_duplicates(docs),
+        "keep": lambda: simhash.keep_one(docs, simhash.similar),
+        "lines": lambda: line_dedup.line_dedup(docs),
+        "words": lambda: substring_dedup.substring_dedup(docs),
+        "odd words": lambda: substring_dedup.substring_dedup(odd),
+        "clean": lambda: decontamination.clean(docs, tests),
+        "pages": lambda: html_extract.extract(pages),
+    }
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = {name: rows(run()) for name, run in runs.items()}
+    few = decontamination.windows(tests).count() // 2
+    for module, name, value in (
+        (common, "FEW_ROWS", 0), (common, "HEAVY_KEYS", 3), (simhash, "MAX_BROADCAST", 0), (simhash, "PARTITION_BYTES", 1_000_000), (substring_dedup, "MAX_BROADCAST", 0), (substring_dedup, "PACK_BYTES", 20_000), (substring_dedup, "PARTITION_BYTES", 200_000),
+        (substring_dedup, "BUCKET_BYTES", 50_000), (postings, "MAX_BROADCAST", few), (html_extract, "MAX_COPIED", 0), (html_extract, "MAX_BROADCAST", 2), (html_extract, "MAX_TOKENS", 200),
+    ):
+        assert hasattr(module, name)
+        monkeypatch.setattr(module, name, value)
+    assert {name: rows(run()) for name, run in runs.items()} == want
+
+
 # --- sharding
 
 

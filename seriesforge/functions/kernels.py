@@ -169,7 +169,7 @@ def matrix_profile(y: np.ndarray, m: int) -> np.ndarray:
 def discords(y: np.ndarray, most: int = 5000) -> list[tuple[int, float]]:
     """Windows whose distance is over the 95th percentile, as (start, distance over the largest), largest of each cluster.
 
-    Only the last ``most`` points are profiled, as in the reference; starts count from the whole series' first point.
+    Only the last ``most`` points are profiled; starts count from the whole series' first point.
     """
     before = max(0, len(y) - most)
     y = np.asarray(y, float)[before:]

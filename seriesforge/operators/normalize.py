@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import kept
 from .inspect import best_spellings
 from .profile import union_all
 
@@ -68,15 +69,28 @@ def normalization_graph(lookup: DataFrame, levels: list[str], column: str) -> tu
 def fuzzy_pairs(values: DataFrame, threshold: float) -> DataFrame:
     """a, b, score of distinct names that are at least so similar.
 
-    Indel similarity of t means lengths within t and a shared word or prefix only for word-level
-    matches; names are joined by length band, which loses no pair.
+    Candidates come from a prefix filter that loses no pair: the characters that two names have in common, copies
+    numbered, are at least as many as their longest common subsequence. A name of n characters that reaches the
+    threshold with any other shares at least n * t / (2 - t) of them, so of its characters in order of rarity
+    the first n + 1 less that number hold one that the other has among its own first.
     """
+    t = threshold / 100
     names = values.select(F.col("raw").alias("v")).distinct().where("v is not null").withColumn("k", F.array_join(F.array_sort(F.split(F.trim(F.lower("v")), r"\s+")), " ")).withColumn("n", F.length("k"))
+    names = kept(names)
+    chars = names.select("v", "n", F.explode(F.split("k", "")).alias("c")).where("c <> ''").groupBy("v", "n", "c").agg(F.count("*").alias("m"))
+    marks = kept(chars.select("v", "n", "c", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i")))
+    rank = marks.groupBy("c", "i").agg(F.count("*").alias("_f"))  # a row for each character and copy
+    w = Window.partitionBy("v").orderBy("_f", "c", "i")
+    placed = marks.join(F.broadcast(rank), ["c", "i"]).withColumn("_at", F.row_number().over(w))
+    first = placed.where(F.col("_at") <= F.col("n") + 1 - F.ceil(F.col("n") * (t / (2 - t)) - 1e-9)).select("v", "n", "c", "i")
+    none = names.where("n = 0").select("v", "n", F.lit("").alias("c"), F.lit(0).alias("i"))
+    first = first.unionByName(none)
     # 2 * lcs / (x + y) >= t with lcs <= min(x, y) gives y <= x * (2 - t) / t for x <= y.
-    most = (2 - threshold / 100) / (threshold / 100)
-    a = names.select(F.col("v").alias("a"), F.col("k").alias("ka"), F.explode(F.sequence(F.col("n"), F.floor(F.col("n") * most).cast("int"))).alias("n"), F.col("n").alias("na"))
-    b = names.select(F.col("v").alias("b"), F.col("k").alias("kb"), "n")
-    pairs = a.join(b, "n").where((F.col("na") < F.col("n")) | (F.col("a") < F.col("b")))
+    a, b = (first.select(F.col("v").alias(s), F.col("n").alias(f"n{s}"), "c", "i") for s in "ab")
+    near = (F.col("nb") <= F.floor(F.col("na") * ((2 - t) / t) + 1e-9)) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    pairs = a.join(b, ["c", "i"]).where(near).select("a", "b").distinct()
+    keys = names.select("v", "k")
+    pairs = pairs.join(keys.select(F.col("v").alias("a"), F.col("k").alias("ka")), "a").join(keys.select(F.col("v").alias("b"), F.col("k").alias("kb")), "b")
     return pairs.withColumn("score", tx.similarity(F.col("ka"), F.col("kb"))).where(F.col("score") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 

@@ -219,3 +219,17 @@ def test_forecast_dispatch(spark):
     assert sorted(map(tuple, line)) == sorted(map(tuple, forecast.linear_forecast(df, "v", "i", ["k"], 3).collect()))
     with pytest.raises(ValueError):
         forecast.project(df, "v", "i", ["k"], 3, "magic")
+
+
+def test_fuzzy_pairs_lose_none(spark):
+    rng = np.random.default_rng(15)
+    names = {" ".join("".join(rng.choice(list("abcde"), int(rng.integers(1, 6)))) for _ in range(int(rng.integers(1, 4)))) for _ in range(150)}
+    names |= {"", " ", "a", "A", "aa", "aab", "Bud Light", "bud light", "light bud", "Bud Ligth", "zz"}
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "raw string")
+    for threshold in (60.0, 82.0, 100.0):
+        want = {}
+        for a in names:
+            for b in names:
+                if a < b and (s := tx.token_sort_ratio(a.lower(), b.lower())) >= threshold:
+                    want[a, b] = pytest.approx(s)
+        assert {(r.a, r.b): r.score for r in normalize.fuzzy_pairs(df, threshold).collect()} == want

@@ -206,17 +206,19 @@ def _partitions(nodes: DataFrame, bytes_each: int) -> int:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node reaches (nodes without a link have no row).
 
-    Rounds of large-star and small-star, each written to the shared folder, until no link changes.
+    Rounds of large-star and small-star, each written to the shared folder, until no link changes. A hub with a large part
+    of all links is joined by broadcast, so its neighbours are not gathered in one task.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = materialise(edges.where("a <> b").select(low.alias("a"), high.alias("b")).distinct(), "links")
     mark = None
     while True:
         both = edges.select(F.col("b").alias("n"), F.col("a").alias("m")).unionByName(edges.select(F.col("a").alias("n"), F.col("b").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"))
-        edges = both.where("m > n").join(least, "n").select(F.col("low").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = edges.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("low"))
-        small = edges.select(F.col("b").alias("n"), F.col("a").alias("m")).join(least, "n")
+        least = materialise(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"), F.count("*").alias("size")), "least")
+        edges = attach(both.where("m > n"), least, "n", "size").select(F.col("low").alias("a"), F.col("m").alias("b")).where("a <> b")
+        edges = materialise(edges.distinct(), "large_star")
+        least = materialise(edges.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("low"), F.count("*").alias("size")), "least")
+        small = attach(edges.select(F.col("b").alias("n"), F.col("a").alias("m")), least, "n", "size")
         edges = small.select(F.col("low").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("low").alias("a"), F.col("n").alias("b")))
         edges = materialise(edges.where("a <> b").distinct(), "links")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

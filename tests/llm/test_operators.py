@@ -536,11 +536,26 @@ def test_wide_budgets():
     assert len(hashes) == 3 and simhash.wide_fingerprint(None).tolist() == [0] * 8
 
 
-def test_star_rounds_split_their_hub(spark):
+def test_star_rounds_split_their_hub(spark, monkeypatch):
+    import seriesforge.llm.common as common
+
     n = 60_000
+    shuffled = []
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    real = common.attach
+
+    def watch(rows, groups, key, size):
+        total = groups.agg(F.sum(size)).first()[0]
+        heavy = groups.where(F.col(size) > max(1, total // common.HEAVY_KEYS))
+        most = rows.join(heavy, key, "left_anti").groupBy(key).count().agg(F.max("count")).first()[0]
+        shuffled.append((most or 0) / total)
+        return real(rows, groups, key, size)
+
+    monkeypatch.setattr(simhash, "attach", watch)
     edges = spark.range(1, n).selectExpr("0L AS a", "id AS b").unionByName(spark.range(n - 1).selectExpr("id + 1 AS a", "id + 2 AS b"))
     found = simhash.components(edges)
     assert found.agg(F.count("*"), F.min("root"), F.max("root")).first()[:] == (n, 0, 0)
+    assert max(shuffled) <= 1 / 1024 + 1e-3  # no key that is shuffled holds more of the links
     chain = simhash.components(spark.range(10_000).selectExpr("(id * 7919) % 10007 AS a", "((id + 1) * 7919) % 10007 AS b"))
     assert chain.select("root").distinct().count() == 1 and chain.count() == 10_000
 

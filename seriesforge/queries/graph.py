@@ -144,3 +144,46 @@ def trend_fallback(spark, sf_dir):
     """Series too short for any season keep a smoothed trend and no season."""
     o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.date_trunc("year", "o_orderdate").cast("date").alias("period")).agg(F.sum("o_totalprice").alias("v"))
     return rounded(si.decompose(o, ["o_orderpriority"], "period", "v", (7,)), 2)
+
+
+@query("SELECT * FROM (VALUES ('sales', 'item', 'brand'), ('sales', 'item', 'kind'), ('sales', 'brand', 'kind'), ('sales', 'shop', 'region'), ('items', 'item', 'brand'), ('items', 'item', 'kind'), ('items', 'brand', 'kind'), ('shops', 'shop', 'region')) t(dataset, child, parent)")
+def demo_hierarchies(spark, sf_dir):
+    """The hierarchies of the demo lake, found in the files it is written to."""
+    from ..operators import profile as p
+    from ..plans import demo
+    from ..sources import readers
+
+    paths = demo.write(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    cols = {"sales": ["item", "brand", "kind", "shop", "region"], "items": ["item", "brand", "kind"], "shops": ["shop", "region"]}
+    parts = [p.dependencies(readers.scan(spark, paths[n]), c).select(F.lit(n).alias("dataset"), "child", "parent") for n, c in cols.items()]
+    return p.union_all(parts)
+
+
+@query("""WITH s AS (SELECT event_type FROM events GROUP BY 1 HAVING count(*) >= 50), r AS (SELECT unnest(['active', 'superseded']) AS status) SELECT status, count(*) AS n, count(DISTINCT event_type) AS n_segments, status = 'superseded' AS replaced FROM s, r GROUP BY 1""")
+def analysis_job(spark, sf_dir):
+    """Two runs over one dataset: the second supersedes the first; a run that failed registers nothing."""
+    from ..plans import jobs
+
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    runs = jobs.Runs(spark, f"{path}/runs")
+    manifest = {"data_path": f"{sf_dir}/events.parquet", "dataset_name": "events", "timestamp_col": "ts", "value_cols": ["value"], "freq": "daily", "clean": {"auto_detect": False}, "scenarios": [{"name": "by_type", "segment_by": "event_type"}]}
+    for _ in range(2):
+        jobs.analysis_job(spark, runs, manifest, f"{path}/store")
+    found = jobs.store_signals(spark, runs, f"{path}/store")
+    return found.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("segment").alias("n_segments"), F.min(F.col("superseded_by").isNotNull()).alias("replaced"))
+
+
+@query("SELECT * FROM (VALUES ('profile', 'done', true), ('analysis', 'failed', true)) t(kind, state, ended)")
+def job_runs(spark, sf_dir):
+    """The record of a profile job over the demo lake and of an analysis job that fails."""
+    from ..plans import demo, jobs, stages
+
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    demo.write(spark, f"{path}/lake")
+    runs = jobs.Runs(spark, f"{path}/runs")
+    jobs.profile_job(runs, stages.Lake(spark, f"{path}/lake", f"{path}/out", {"normalize_columns": ["brand"]}))
+    try:
+        jobs.analysis_job(spark, runs, {"data_path": f"{path}/nothing.parquet", "dataset_name": "x", "timestamp_col": "t", "scenarios": [{"segment_by": "c"}]}, f"{path}/store")
+    except Exception:  # the record says what went wrong
+        pass
+    return runs.table().select("kind", "state", F.col("ended").isNotNull().alias("ended"))

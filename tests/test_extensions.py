@@ -233,3 +233,27 @@ def test_fuzzy_pairs_lose_none(spark):
                 if a < b and (s := tx.token_sort_ratio(a.lower(), b.lower())) >= threshold:
                     want[a, b] = pytest.approx(s)
         assert {(r.a, r.b): r.score for r in normalize.fuzzy_pairs(df, threshold).collect()} == want
+
+
+def test_jobs_are_recorded(spark, tmp_path):
+    from seriesforge.plans import jobs
+
+    runs = jobs.Runs(spark, f"{tmp_path}/runs")
+    assert runs.table().count() == 0
+    done = runs.run("profile", lambda run_id: {"id": run_id})
+    with pytest.raises(KeyError):
+        runs.run("analysis", lambda _: {}["none"])
+    got = {r.kind: r for r in runs.table().collect()}
+    assert (got["profile"].run_id, got["profile"].state, json.loads(got["profile"].detail)) == (done, "done", {"id": done})
+    assert got["analysis"].state == "failed" and "none" in got["analysis"].detail and got["analysis"].ended >= got["analysis"].started
+    runs._add("left", "analysis", "started", {})
+    assert {r.run_id: r.ended for r in runs.table().where("state = 'started'").collect()} == {"left": None}
+
+
+def test_demo_lake_is_made_by_rule(spark, tmp_path):
+    from seriesforge.plans import demo
+
+    paths = demo.write(spark, str(tmp_path))
+    sales = readers.scan(spark, paths["sales"])
+    assert sales.count() == 91 * len(demo.ITEMS) * len(demo.SHOPS) and sorted(map(tuple, sales.collect())) == sorted(map(tuple, readers.scan(spark, demo.write(spark, str(tmp_path / "again"))["sales"]).collect()))
+    assert {r.role for r in profile.roles(sales).where("column = 'day'").collect()} == {"TIME"}

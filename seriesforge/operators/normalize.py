@@ -16,35 +16,74 @@ from .inspect import best_spellings
 from .profile import union_all
 
 THRESHOLD = 80.0
+#: Up to so many names are clustered in a task for each block, more in rounds over their similar pairs.
+LEADER_NAMES = 20_000
+
+
+def _confidence(texts: list[str]) -> float:
+    """Mean similarity of all pairs of a cluster's different texts."""
+    texts = sorted(set(texts))
+    total = sum(tx.token_sort_ratio(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :])
+    return round(total / (len(texts) * (len(texts) - 1) / 2) / 100, 3) if len(texts) > 1 else 1.0
 
 
 def cluster_names(values: DataFrame, threshold: float = THRESHOLD, block: str | None = None) -> DataFrame:
     """raw, normalized, cluster, canonical, confidence for distinct spellings (column raw).
 
-    confidence is the mean similarity of all pairs of a cluster's different normalised texts.
-    The leader pass depends on the sorted order of all names, so it runs once per ``block`` (a
-    column; by default one block, fit for the distinct names of one column).
+    In their order, a name joins the first leader it is similar to, or leads a cluster itself; ``block`` (a column) keeps
+    names apart. confidence is the mean similarity of all pairs of a cluster's different normalised texts.
     """
     names = values.select("raw", *([F.col(block).alias("block")] if block else [])).distinct()
     names = names if block else names.withColumn("block", F.lit(""))
-    names = names.where("raw is not null").withColumn("normalized", tx.normalize(F.col("raw"))).withColumn("score", tx.canonical_score(F.col("raw")))
+    names = names.where("raw is not null")
+    many = threshold <= 100 and names.limit(LEADER_NAMES + 1).count() > LEADER_NAMES
+    names = names.withColumn("normalized", tx.normalize(F.col("raw"))).withColumn("score", tx.canonical_score(F.col("raw")))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("raw").reset_index(drop=True)
         pdf["cluster"] = tx.leaders(pdf["normalized"].tolist(), threshold)
-        conf = {}
-        for c, part in pdf.groupby("cluster"):
-            texts = sorted(set(part["normalized"]))
-            total = sum(tx.token_sort_ratio(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :])
-            conf[c] = round(total / (len(texts) * (len(texts) - 1) / 2) / 100, 3) if len(texts) > 1 else 1.0
-        pdf["confidence"] = pdf["cluster"].map(conf)
+        pdf["confidence"] = pdf["cluster"].map({c: _confidence(part["normalized"].tolist()) for c, part in pdf.groupby("cluster")})
         return pdf[["block", "raw", "normalized", "score", "cluster", "confidence"]]
 
-    out = names.groupBy("block").applyInPandas(group, "block string, raw string, normalized string, score int, cluster int, confidence double")
+    if many:
+        out = _clusters_in_rounds(kept(names), threshold)
+    else:
+        out = names.groupBy("block").applyInPandas(group, "block string, raw string, normalized string, score int, cluster int, confidence double")
     best = out.groupBy("block", "cluster").agg(F.max_by("raw", F.struct("score", "raw")).alias("canonical"))
     return out.join(best, ["block", "cluster"]).select("block", "raw", "normalized", "cluster", "canonical", "confidence")
 
 
+def _clusters_in_rounds(names: DataFrame, threshold: float) -> DataFrame:
+    """The same clusters without all names of a block in one task. A name's place in the order is that of the first
+    spelling with its normalised text; each round settles the names whose similar earlier ones are settled."""
+    nodes = kept(names.groupBy("block", F.col("normalized").alias("v")).agg(F.min("raw").alias("first")))
+    pairs = similar_texts(nodes.select("block", "v"), threshold)
+    place = lambda s: nodes.select("block", F.col("v").alias(s), F.col("first").alias(f"first_{s}"))
+    pairs = pairs.join(place("a"), ["block", "a"]).join(place("b"), ["block", "b"])
+    earlier = F.col("first_a") < F.col("first_b")
+    links = kept(pairs.select("block", F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("before")))
+    state = nodes.withColumn("leads", F.lit(None).cast("boolean"))
+    while True:
+        state = kept(state)
+        if not state.where("leads is null").limit(1).count():
+            break
+        seen = links.join(state.select("block", F.col("v").alias("before"), "leads"), ["block", "before"])
+        seen = seen.groupBy("block", "v").agg(F.coalesce(F.max("leads"), F.lit(False)).alias("_joins"), F.count_if(F.col("leads").isNull()).alias("_open"))
+        settled = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("_joins", F.lit(False)), False).when(F.coalesce("_open", F.lit(0)) == 0, True)
+        state = state.join(seen, ["block", "v"], "left").select("block", "v", "first", settled.alias("leads"))
+    heads = state.where("leads")
+    numbers = heads.select("block", F.col("v").alias("head"), (F.row_number().over(Window.partitionBy("block").orderBy("first")) - 1).cast("int").alias("cluster"))
+    joined = links.join(heads.select("block", F.col("v").alias("before"), F.col("first").alias("_f")), ["block", "before"]).groupBy("block", "v").agg(F.min_by("before", "_f").alias("_head"))
+    own = state.join(joined, ["block", "v"], "left").select("block", F.col("v").alias("normalized"), F.when(F.col("leads"), F.col("v")).otherwise(F.col("_head")).alias("head"))
+    own = kept(own.join(numbers, ["block", "head"]).select("block", "normalized", "cluster"))
+
+    def sure(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, _confidence(pdf["normalized"].tolist()))], columns=["block", "cluster", "confidence"])
+
+    known = own.groupBy("block", "cluster").applyInPandas(sure, "block string, cluster int, confidence double")
+    return names.join(own, ["block", "normalized"]).join(known, ["block", "cluster"]).select("block", "raw", "normalized", "score", "cluster", "confidence")
+
+
 def sequence_clusters(values: DataFrame, threshold: float = 82.0) -> DataFrame:
     """raw, cluster, canonical by the similarity of longest common blocks, without normalising; for one column's names."""
     names = values.select("raw").where("raw is not null").distinct()
@@ -67,7 +106,12 @@ def normalization_graph(lookup: DataFrame, levels: list[str], column: str) -> tu
 
 
 def fuzzy_pairs(values: DataFrame, threshold: float) -> DataFrame:
-    """a, b, score of distinct names that are at least so similar.
+    """a, b, score of distinct names that are at least so similar, a before b."""
+    return similar_texts(values.select(F.lit("").alias("block"), F.col("raw").alias("v")).distinct(), threshold).drop("block")
+
+
+def similar_texts(texts: DataFrame, threshold: float) -> DataFrame:
+    """block, a, b, score of the pairs of different texts (block, v) within a block that are at least so similar.
 
     Candidates come from a prefix filter that loses no pair: the characters that two names have in common, copies
     numbered, are at least as many as their longest common subsequence. A name of n characters that reaches the
@@ -75,23 +119,23 @@ def fuzzy_pairs(values: DataFrame, threshold: float) -> DataFrame:
     the first n + 1 less that number hold one that the other has among its own first.
     """
     t = threshold / 100
-    names = values.select(F.col("raw").alias("v")).distinct().where("v is not null").withColumn("k", F.array_join(F.array_sort(F.split(F.trim(F.lower("v")), r"\s+")), " ")).withColumn("n", F.length("k"))
-    names = kept(names)
-    chars = names.select("v", "n", F.explode(F.split("k", "")).alias("c")).where("c <> ''").groupBy("v", "n", "c").agg(F.count("*").alias("m"))
-    marks = kept(chars.select("v", "n", "c", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i")))
+    sorted_words = F.array_join(F.array_sort(F.split(F.trim(F.lower("v")), r"(?U)\s+")), " ")
+    names = kept(texts.where("v is not null").withColumn("k", sorted_words).withColumn("n", F.length("k")))
+    chars = names.select("block", "v", "n", F.explode(F.split("k", "")).alias("c")).where("c <> ''").groupBy("block", "v", "n", "c").agg(F.count("*").alias("m"))
+    marks = kept(chars.select("block", "v", "n", "c", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i")))
     rank = marks.groupBy("c", "i").agg(F.count("*").alias("_f"))  # a row for each character and copy
-    w = Window.partitionBy("v").orderBy("_f", "c", "i")
+    w = Window.partitionBy("block", "v").orderBy("_f", "c", "i")
     placed = marks.join(F.broadcast(rank), ["c", "i"]).withColumn("_at", F.row_number().over(w))
-    first = placed.where(F.col("_at") <= F.col("n") + 1 - F.ceil(F.col("n") * (t / (2 - t)) - 1e-9)).select("v", "n", "c", "i")
-    none = names.where("n = 0").select("v", "n", F.lit("").alias("c"), F.lit(0).alias("i"))
+    first = placed.where(F.col("_at") <= F.col("n") + 1 - F.ceil(F.col("n") * (t / (2 - t)) - 1e-9)).select("block", "v", "n", "c", "i")
+    none = names.where("n = 0").select("block", "v", "n", F.lit("").alias("c"), F.lit(0).alias("i"))
     first = first.unionByName(none)
     # 2 * lcs / (x + y) >= t with lcs <= min(x, y) gives y <= x * (2 - t) / t for x <= y.
-    a, b = (first.select(F.col("v").alias(s), F.col("n").alias(f"n{s}"), "c", "i") for s in "ab")
+    a, b = (first.select("block", F.col("v").alias(s), F.col("n").alias(f"n{s}"), "c", "i") for s in "ab")
     near = (F.col("nb") <= F.floor(F.col("na") * ((2 - t) / t) + 1e-9)) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    pairs = a.join(b, ["c", "i"]).where(near).select("a", "b").distinct()
-    keys = names.select("v", "k")
-    pairs = pairs.join(keys.select(F.col("v").alias("a"), F.col("k").alias("ka")), "a").join(keys.select(F.col("v").alias("b"), F.col("k").alias("kb")), "b")
-    return pairs.withColumn("score", tx.similarity(F.col("ka"), F.col("kb"))).where(F.col("score") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    pairs = a.join(b, ["block", "c", "i"]).where(near).select("block", "a", "b").distinct()
+    key = lambda s: names.select("block", F.col("v").alias(s), F.col("k").alias(f"k{s}"))
+    pairs = pairs.join(key("a"), ["block", "a"]).join(key("b"), ["block", "b"]).withColumn("score", tx.similarity(F.col("ka"), F.col("kb")))
+    return pairs.where(F.col("score") >= threshold).select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
 def classify(df: DataFrame, col: str, rules: dict, levels: list[str]) -> DataFrame:

@@ -257,3 +257,16 @@ def test_demo_lake_is_made_by_rule(spark, tmp_path):
     sales = readers.scan(spark, paths["sales"])
     assert sales.count() == 91 * len(demo.ITEMS) * len(demo.SHOPS) and sorted(map(tuple, sales.collect())) == sorted(map(tuple, readers.scan(spark, demo.write(spark, str(tmp_path / "again"))["sales"]).collect()))
     assert {r.role for r in profile.roles(sales).where("column = 'day'").collect()} == {"TIME"}
+
+
+def test_clusters_in_rounds_are_those_of_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    names = {"".join(rng.choice(list("abcd"), int(rng.integers(1, 9)))) + (" " + "".join(rng.choice(list("xyz"), 2)) if i % 3 else "") for i in range(120)}
+    names |= {"Corona Light", "corona_lt", "CORONA LIGHT 12pk", "Bud Light", "bud  light", "", " "}
+    df = spark.createDataFrame([(n, str(i % 2)) for i, n in enumerate(sorted(names))], "raw string, part string")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    for threshold in (60.0, 80.0):
+        want = rows(normalize.cluster_names(df, threshold)), rows(normalize.cluster_names(df, threshold, "part"))
+        with monkeypatch.context() as m:
+            m.setattr(normalize, "LEADER_NAMES", 1)
+            assert (rows(normalize.cluster_names(df, threshold)), rows(normalize.cluster_names(df, threshold, "part"))) == want

@@ -9,20 +9,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Separators of the two kinds of words (Java regular expressions).
-NOT_ALNUM = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Separators of words: white space (a Java regular expression), and all of ASCII but letters and digits.
 WHITE = "[ \\x09-\\x0D]+"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_APART = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only; other letters keep their case."""
-    return F.translate(text, _UPPER, _UPPER.lower())
+def alnum_words(text: Column) -> Column:
+    """Array of the words of a text, A-Z in lower case: runs of anything but ASCII that is no letter or digit.
+
+    One pass over the characters makes all separators blanks, and blanks alone need no regular expression.
+    """
+    line = F.translate(F.coalesce(text, F.lit("")), _UPPER + _APART, _UPPER.lower() + " " * len(_APART))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def split_words(text: Column, separators: str) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import postings as lists_of
-from .common import broadcast_if_small, covered, join_in_parts, lead, materialise, n_words, without
+from .common import covered, join_in_parts, materialise, without
 from .postings import postings, term_counts, with_words
 
 WINDOW = 8
@@ -31,10 +31,10 @@ ITEMS = 2
 def windows(tests: DataFrame, window: int = WINDOW) -> DataFrame:
     """win (hash), win_words, item_ids: the distinct windows of all items."""
     df = with_words(tests.select(F.col("item_id").cast("string").alias("item_id"), "text"))
-    df = df.withColumns({"n": n_words(F.col("words")), "at": lead(F.col("words"))}).where("n > 0")
+    df = df.withColumn("n", F.size("words")).where("n > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)))
-    df = df.select("item_id", "words", "n", "at", F.explode(starts).alias("s"))
-    words = F.slice("words", F.col("s") + F.col("at") + 1, F.least(F.col("n"), F.lit(window)))
+    df = df.select("item_id", "words", "n", F.explode(starts).alias("s"))
+    words = F.slice("words", F.col("s") + 1, F.least(F.col("n"), F.lit(window)))
     return df.select("item_id", words.alias("win_words")).groupBy("win_words").agg(F.collect_set("item_id").alias("item_ids")).withColumn("win", F.xxhash64(F.concat_ws(" ", "win_words"), F.size("win_words")))
 
 

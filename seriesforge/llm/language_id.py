@@ -181,17 +181,22 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
-def identify(docs: DataFrame, model: dict | None = None, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """``docs`` (the columns in ``keep``) with lang_pred and score. The text alone decides."""
+def identify(docs: DataFrame, model: dict | None = None, keep: tuple[str, ...] = ("doc_id", "text"), text: str = "text") -> DataFrame:
+    """``docs`` (the columns in ``keep``) with lang_pred and score. The text alone decides; it is a column, or a field of
+    a struct (``row.text``), so that a kept row does not carry it twice."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model if model is not None else train(docs))
-    df = docs.select(*dict.fromkeys([*keep, "text"]))
+    column, *path = text.split(".")
+    df = docs.select(*dict.fromkeys([*keep, column]))
     kept = [c for c in df.columns if c in keep]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep]
 
     def score(batches):
         for batch in batches:
-            langs, scores = predict(batch.column(batch.schema.get_field_index("text")).to_pylist(), shared.value)
+            found = batch.column(batch.schema.get_field_index(column))
+            for field in path:
+                found = found.field(field)
+            langs, scores = predict(found.to_pylist(), shared.value)
             cols = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 

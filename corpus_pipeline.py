@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows are judged by their text alone, so repeated rows stay or go together; long texts are read whole.
     """
-    found = language_id.identify(_rows(docs, "text"), language_id.train(docs), keep=("row",))
+    found = language_id.identify(_rows(docs), language_id.train(docs), keep=("row",), text="row.text")
     return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 

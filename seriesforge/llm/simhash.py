@@ -10,8 +10,9 @@ candidates meet (64 keys a fingerprint); longer chains prune them before the who
 ``similar`` links texts of a Jaccard similarity of 0.8 or more over 5-word shingles, which differ in some 15 %
 of their bits: no chain that is sure to keep its budget then has enough bits to meet under. Its fingerprints
 have 512 bits in a ring of 64 segments, and candidates meet under chains of three segments without a
-difference, taken round the ring in four orders (256 keys). So it is a filter of measured recall. The first 64
-bits prune the candidates, and all 512 decide.
+difference, taken round the ring in four orders (256 keys). So it is a filter of measured recall. All 512 bits
+decide, in the search, so a refused pair takes no node out of it. 16 chains go first with whole fingerprints; under the
+others the first 64 bits tell which nodes have company that is not connected yet, and only those are sent whole.
 
 Copies share a fingerprint and are one node. Within a key a search from one node at a time takes
 what it links out of the rest, so a key with k nodes emits at most k - 1 links, whatever their
@@ -52,6 +53,9 @@ WIDE_WORDS = 8
 WIDE_RING = 64
 CHAIN = 3
 STEPS = (1, 5, 11, 23)
+CHAINS = tuple((step, start) for step in STEPS for start in range(WIDE_RING))
+#: Chains that go first; no two of them share a segment.
+FIRST = range(0, 48, CHAIN)
 #: Standard deviations above the mean difference of texts that are just similar enough, for the pruning and the decision.
 PRUNE, DECIDE = 1.7, 1.5
 #: Bytes of keys for each partition of their shuffle.
@@ -247,11 +251,12 @@ def budget(bits: int, similarity: float, deviations: float) -> int:
     return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def chain_keys(words: np.ndarray) -> np.ndarray:
-    """(n, 256): the number of a chain, and its segments."""
+def chain_keys(words: np.ndarray, chains=range(len(CHAINS))) -> np.ndarray:
+    """(n, chains): the number of a chain, and its segments."""
     segments = np.ascontiguousarray(words).view(np.uint8).astype(np.uint32)
     keys = []
-    for n, (step, start) in enumerate((step, start) for step in STEPS for start in range(WIDE_RING)):
+    for n in chains:
+        step, start = CHAINS[n]
         key = np.full(len(segments), n, np.uint32)
         for i in range(CHAIN):
             key = (key << np.uint32(8)) | segments[:, (start + i * step) % WIDE_RING]
@@ -259,65 +264,132 @@ def chain_keys(words: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1).view(np.int32)
 
 
-def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: links between nodes (fp, and the whole fingerprint in words) that connect what is linked under a key.
+def _numpy(column: pa.Array) -> np.ndarray:
+    """A column of numbers, or of whole fingerprints as (n, words)."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE_WORDS)
+    return column.to_numpy(zero_copy_only=False)
 
-    As in ``links``, a search from one node at a time takes what it links out of its key's rest.
-    """
-    near = budget(64, similarity, PRUNE)
+
+def _keyed(nodes: DataFrame, chains, carried: str, bytes_each: int) -> DataFrame:
+    """key and the columns ``carried`` of nodes (with the whole fingerprint in words), sorted by key."""
+    names = [c.split()[0] for c in carried.split(", ")]
 
     def spread(batches):
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            words = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(fps), WIDE_WORDS)
-            for a in range(0, len(fps), 2048):
-                keys = chain_keys(words[a : a + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fps[a : a + 2048], keys.shape[1]))], names=["key", "fp"])
-
-    def spanning(fps):
-        found, rest = [], np.unique(fps)
-        while len(rest) > 1:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                keys = chain_keys(_numpy(part.column("words")), chains)
+                at = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(part.column(c).take(at) for c in names)], names=["key", *names])
+
+    parts = _partitions(nodes, len(chains) * bytes_each)
+    # Dealt out first, as in ``links``.
+    keyed = nodes.repartition(parts).mapInArrow(spread, f"key int, {carried}")
+    return keyed.repartition(parts, "key").sortWithinPartitions("key")
+
+
+def _whole_keys(batches):
+    """The columns behind the key, and where keys start and end, of one batch after the other; no key is broken off."""
+    held = None  # the key that the last batch broke off in
+    for batch in batches:
+        columns = [_numpy(c) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(both) for both in zip(held, columns)]
+        if not len(columns[0]):
+            continue
+        cuts = np.r_[0, np.flatnonzero(np.diff(columns[0])) + 1]
+        held = [c[cuts[-1] :] for c in columns]
+        yield columns[1:], cuts
+    if held is not None:
+        yield held[1:], np.array([0, len(held[0])])
+
+
+def whole_links(nodes: DataFrame, chains, similarity: float) -> DataFrame:
+    """a, b: links between the ids of nodes (id, and the whole fingerprint in words) that connect what all links under a
+    key of these chains connect; nodes that share an id are connected as they are.
+
+    All bits decide in the search, and what it links it takes out of its key's rest with all of its id: a key gives fewer
+    links than it has ids.
+    """
+    most = budget(64 * WIDE_WORDS, similarity, DECIDE)
+
+    def spanning(ids, words):
+        found, rest = [], np.argsort(ids)
+        while len(rest) > 1 and ids[rest[0]] != ids[rest[-1]]:
             todo, rest = [rest[0]], rest[1:]
             while todo and len(rest):
-                node = todo.pop()
-                close = np.bitwise_count(node ^ rest) <= near
-                found += [(node, x) for x in rest[close]]
-                todo += list(rest[close])
-                rest = rest[~close]
+                node, others = todo.pop(), ids[rest]
+                close = np.bitwise_count(words[rest] ^ words[node]).sum(axis=1) <= most
+                linked = np.unique(others[close & (others != ids[node])])
+                found += [(ids[node], x) for x in linked]
+                taken = np.isin(others, np.append(linked, ids[node]))
+                todo += list(rest[taken])
+                rest = rest[~taken]
         return found
 
     def search(batches):
-        held_key, held = None, np.zeros(0, np.uint64)  # the key that the last batch broke off in
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if len(held):
-                keys, fps = np.concatenate([np.full(len(held), held_key), keys]), np.concatenate([held, fps])
-            if not len(keys):
-                continue
-            cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
-            held_key, held = keys[-1], fps[cuts[-1] :]
+        for (ids, words), cuts in _whole_keys(batches):
             sizes = np.diff(cuts)
             two = cuts[:-1][sizes == 2]  # most keys with company have two nodes: compare them all at once
-            two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= near] if len(two) else two
-            found = list(zip(fps[two], fps[two + 1]))
+            two = two[(np.bitwise_count(words[two] ^ words[two + 1]).sum(axis=1) <= most) & (ids[two] != ids[two + 1])]
+            found = list(zip(ids[two], ids[two + 1]))
             for at in np.flatnonzero(sizes > 2):
-                found += spanning(fps[cuts[at] : cuts[at + 1]])
-            yield links_of(found)
-        yield links_of(spanning(held))
-
-    def links_of(found):
-        pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    parts = _partitions(nodes, len(STEPS) * WIDE_RING * 16)
-    keyed = nodes.select("fp", "words").repartition(parts, "fp").mapInArrow(spread, "key int, fp long")
-    found = materialise(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").distinct(), "candidates")
-    sides = [nodes.select(F.col("fp").alias(side), F.col("words").alias(f"{side}_words")) for side in "ab"]
-    found = found.where("a <> b").join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b")
-    differ = sum((F.bit_count(F.col("a_words")[i].bitwiseXOR(F.col("b_words")[i])) for i in range(WIDE_WORDS)), F.lit(0))
-    return found.where(differ <= budget(64 * WIDE_WORDS, similarity, DECIDE)).select("a", "b")
+                found += spanning(ids[cuts[at] : cuts[at + 1]], words[cuts[at] : cuts[at + 1]])
+            pairs = np.unique(np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    keyed = _keyed(nodes.select("id", "words"), chains, "id long, words array<long>", 96)
+    return keyed.mapInArrow(search, "a long, b long").distinct()
+
+
+def company(nodes: DataFrame, chains, similarity: float) -> DataFrame:
+    """fp: the nodes (fp, root and words) that under a key have, by the first 64 bits, company of another root: all of
+    each group of its nodes, connected by those bits, that has several roots."""
+    near = budget(64, similarity, PRUNE)
+
+    def mixed(fps, roots):
+        found, rest = [], np.arange(len(fps))
+        while len(rest) > 1 and (roots[rest] != roots[rest[0]]).any():
+            todo, group, rest = [rest[0]], [rest[:1]], rest[1:]
+            while todo and len(rest):
+                close = np.bitwise_count(fps[rest] ^ fps[todo.pop()]) <= near
+                group.append(rest[close])
+                todo += list(rest[close])
+                rest = rest[~close]
+            group = np.concatenate(group)
+            if (roots[group] != roots[group[0]]).any():
+                found.append(fps[group])
+        return found
+
+    def search(batches):
+        for (fps, roots), cuts in _whole_keys(batches):
+            fps, sizes = fps.view(np.uint64), np.diff(cuts)  # bits are counted of magnitudes
+            two = cuts[:-1][sizes == 2]
+            two = two[(np.bitwise_count(fps[two] ^ fps[two + 1]) <= near) & (roots[two] != roots[two + 1])]
+            found = [fps[two], fps[two + 1]]
+            for at in np.flatnonzero(sizes > 2):
+                found += mixed(fps[cuts[at] : cuts[at + 1]], roots[cuts[at] : cuts[at + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["fp"])
+
+    keyed = _keyed(nodes, chains, "fp long, root long", 24)
+    return keyed.mapInArrow(search, "fp long").distinct()
+
+
+def wide_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: links between nodes (fp, and the whole fingerprint in words) that connect what is linked under a key.
+
+    A dense group meets under most chains. So a few chains come first, and what they connect has one root: under the
+    others only nodes with company of another root are compared, and links are between roots.
+    """
+    first = components(whole_links(nodes.select(F.col("fp").alias("id"), "words"), FIRST, similarity))
+    first = materialise(first, "first")
+    rooted = nodes.select("fp", "words").join(first, nodes.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "words")
+    rooted = materialise(rooted, "rooted")
+    rest = [n for n in range(len(CHAINS)) if n not in FIRST]
+    met = materialise(company(rooted, rest, similarity), "company")
+    met = materialise(rooted.join(met, "fp").select(F.col("root").alias("id"), "words"), "met")
+    return first.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(whole_links(met, rest, similarity))
 
 
 def similar(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -536,6 +536,52 @@ def test_wide_budgets():
     assert len(hashes) == 3 and simhash.wide_fingerprint(None).tolist() == [0] * 8
 
 
+def test_wide_links_lose_no_connection_and_stay_few(spark):
+    rng = np.random.default_rng(15)
+    base = [[f"w{g}x{i}" for i in range(200)] for g in range(2)]
+    wide = []
+    for g, changes in [(0, 2)] * 400 + [(1, 5)] * 400:
+        words = list(base[g])
+        for at in rng.integers(0, 200, changes):
+            words[at] = f"new{rng.integers(0, 10**9)}"
+        wide.append(simhash.wide_fingerprint(" ".join(words).encode()))
+    wide = np.array(list({int(w[0]): w for w in wide}.values()))
+    fps, keys = wide[:, 0], simhash.chain_keys(wide)
+    rows = [(int(w[0]), [int(x) for x in w]) for w in wide.view(np.int64)]
+    edges = [(r.a, r.b) for r in simhash.wide_links(spark.createDataFrame(rows, "fp long, words array<long>")).collect()]
+    assert len(edges) <= 4 * len(fps)
+
+    root = {int(x): int(x) for x in fps.view(np.int64)}
+
+    def groups(pairs):
+        up = dict(root)
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[find(a)] = find(b)
+        found = {}
+        for x in up:
+            found.setdefault(find(x), set()).add(x)
+        return {frozenset(f) for f in found.values()}
+
+    near, most = simhash.budget(64, 0.8, simhash.PRUNE), simhash.budget(512, 0.8, simhash.DECIDE)
+    linked, loose = [], []
+    for i in range(len(fps) - 1):
+        alike = np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(axis=1) <= most
+        meet = alike & (keys[i + 1 :] == keys[i]).any(axis=1)
+        close = np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= near
+        linked += [(rows[i][0], rows[i + 1 + j][0]) for j in np.flatnonzero(meet & close)]
+        loose += [(rows[i][0], rows[i + 1 + j][0]) for j in np.flatnonzero(meet)]
+    got = groups(edges)
+    assert groups(edges + linked) == got  # all pairs that meet are connected
+    assert groups(edges + loose) == groups(loose) and len(got) > 50  # and nothing else
+
+
 def test_star_rounds_split_their_hub(spark):
     n = 60_000
     edges = spark.range(1, n).selectExpr("0L AS a", "id AS b").unionByName(spark.range(n - 1).selectExpr("id + 1 AS a", "id + 2 AS b"))

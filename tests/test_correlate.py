@@ -72,3 +72,33 @@ def test_signatures_cover_what_must_agree():
             assert len(combos) <= max(co.SIGNATURES, n) and combos == list(combinations(range(n - must + k), k)) and k <= must
 
 
+@pytest.mark.parametrize("least", [0.0, 0.3, 0.8, 0.9, 1.0])
+def test_times_equal_all_pairs(spark, least):
+    rng = random.Random(5)
+    rows = []
+    for i in range(250):
+        s = rng.randrange(0, 20_000)
+        end = rng.choice((None, s, s + 40, s + rng.randrange(0, 4000), s + 3000, s - rng.randrange(1, 500)))
+        rows.append((rng.choice("xyz"), s, end, rng.choice((None, 0.0, -0.5, 0.3, 0.45, 0.5, 0.6, 0.7, 0.9, 1.0)), None, None, None))
+    got = pairs_of(co.co_occurrence(signals(spark, rows), 60.0, least), "strength", "confidence")
+    want = set()
+    for i, j in ((i, j) for i in range(len(rows)) for j in range(len(rows)) if rows[i][0] < rows[j][0]):
+        (_, s, e, c, *_), (_, t, f, d, *_) = rows[i], rows[j]
+        e, f = s if e is None else e, t if f is None else f
+        if max(0, t - e, s - f) > 60:
+            continue
+        share = max(0, min(e, f) - max(s, t)) / max(e - s, f - t, 1)
+        sure = min(1.0, (0.5 + share * 0.5) * min(c or 0.5, d or 0.5) / 0.5)
+        if round(sure, 4) >= least:
+            want.add((f"s{i:05}", f"s{j:05}", round(share, 4), round(sure, 4)))
+    assert {p[:2] for p in got} == {p[:2] for p in want}
+    near = {p[:2]: p[2:] for p in want}
+    assert all(abs(p[2] - near[p[:2]][0]) < 2e-4 and abs(p[3] - near[p[:2]][1]) < 2e-4 for p in got)
+
+
+def test_pairs_in_time_are_spread_over_tasks(spark):
+    rows = [("xy"[i % 2], i * 60, i * 60 + 600, 0.9, None, None, None) for i in range(400)]
+    df = co.co_occurrence(signals(spark, rows), 60.0, 0.3)
+    assert df.rdd.getNumPartitions() == 4
+
+

@@ -102,3 +102,22 @@ def test_pairs_in_time_are_spread_over_tasks(spark):
     assert df.rdd.getNumPartitions() == 4
 
 
+def test_places_equal_all_pairs_and_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(co, "PLACE_ROWS", 3)
+    rng = random.Random(7)
+    spots = [(0.0, 179.9), (0.0, -179.9), (89.9, 10.0), (89.9, -170.0), (0.0, 0.0), (0.3, 0.2), (-60.0, 5.0), (-60.2, 5.1), (None, 1.0)]
+    rows = [(rng.choice("xyz"), 0, 0, 0.5, *rng.choice(spots), None) for _ in range(150)]
+    df = co.spatial_alignment(signals(spark, rows), 50.0, 0.3)
+    from math import asin, cos, radians, sin, sqrt
+
+    def km(a, b, c, d):
+        return 2 * 6371 * asin(sqrt(min(1.0, sin(radians(c - a) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) ** 2)))
+
+    known = [i for i, r in enumerate(rows) if r[4] is not None]
+    want = sorted((f"s{i:05}", f"s{j:05}") for i in known for j in known if rows[i][0] < rows[j][0] and km(*rows[i][4:6], *rows[j][4:6]) <= 50)
+    assert sorted((r.signal_a_id, r.signal_b_id) for r in df.collect()) == want
+    assert df.rdd.getNumPartitions() == 4
+    join = co.spatial_alignment(signals(spark, [("xy"[i % 2], 0, 0, 0.5, 1.0, 2.0, None) for i in range(60)]), 50.0)
+    assert len(join.collect()) == 900 and joined_rows(join) < 900
+
+

@@ -121,3 +121,10 @@ def test_places_equal_all_pairs_and_are_spread_over_tasks(spark, monkeypatch):
     assert len(join.collect()) == 900 and joined_rows(join) < 900
 
 
+def test_first_correlations_get_ids_last(spark):
+    from oracle import DATA
+
+    from seriesforge.queries import QUERIES
+
+    plan = QUERIES["first_correlations"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2") < plan.index("Sort")

@@ -121,6 +121,16 @@ def test_places_equal_all_pairs_and_are_spread_over_tasks(spark, monkeypatch):
     assert len(join.collect()) == 900 and joined_rows(join) < 900
 
 
+def test_edges_are_thinned_to_a_forest(spark):
+    n = 60
+    edges = pa.RecordBatch.from_pylist([{"a": f"n{i:02}", "b": f"n{j:02}"} for i, j in combinations(range(n), 2)] + [{"a": "lone", "b": "lone"}] * 3 + [{"a": None, "b": "n00"}])
+    kept = [r for b in co._forest(iter([edges, edges])) for r in b.to_pylist()]
+    assert len([r for r in kept if r["a"] and r["a"] != r["b"]]) == n - 1 and kept.count({"a": "lone", "b": "lone"}) == 1
+    rows = [(f"n{i:02}", f"n{j:02}") for i, j in combinations(range(30), 2)] + [("z1", "z2"), ("q", "q"), ("z2", "z3")]
+    got = {r.node: r.component for r in co.components(spark.createDataFrame(rows, "a string, b string")).collect()}
+    assert got == {**{f"n{i:02}": "n00" for i in range(30)}, "z1": "z1", "z2": "z1", "z3": "z1", "q": "q"}
+
+
 def test_first_correlations_get_ids_last(spark):
     from oracle import DATA
 

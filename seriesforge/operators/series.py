@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 STEPS = {"minute": "1 minute", "hour": "1 hour", "day": "1 day", "week": "7 days", "month": "1 month", "quarter": "3 months", "year": "1 year"}
 #: The longest median step (seconds) of each frequency class.
 FREQUENCIES = ((1800, "minute"), (7200, "hourly"), (172_800, "daily"), (864_000, "weekly"), (3_888_000, "monthly"), (10_368_000, "quarterly"))
@@ -97,21 +99,39 @@ def rolling_mean(col: str, window: int, w) -> Column:
 
 
 def filled(col: Column, w) -> Column:
-    """Nulls take the last value before them, leading ones the first after them."""
+    """Nulls take the last value before them, leading ones the first of all, which comes after them."""
     before = F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(col, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return F.coalesce(before, after)
+    first = F.first(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # one frame, taken once
+    return F.coalesce(before, first)
 
 
 def interpolate(df: DataFrame, col: str, order: str, keys: list[str]) -> DataFrame:
-    """Linear in the position between the nearest known values; the ends take the nearest one."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    df = df.withColumn("_i", F.row_number().over(w)).withColumn("_k", F.when(F.col(col).isNotNull(), F.col("_i")))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumns({"_pi": F.last("_k", True).over(back), "_pv": F.last(col, True).over(back), "_ni": F.first("_k", True).over(ahead), "_nv": F.first(col, True).over(ahead)})
-    between = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * (F.col("_i") - F.col("_pi")) / (F.col("_ni") - F.col("_pi"))
-    value = F.when(F.col(col).isNotNull(), F.col(col)).when(F.col("_pv").isNotNull() & F.col("_nv").isNotNull(), between).otherwise(F.coalesce("_pv", "_nv"))
-    return df.withColumn(f"{col}_filled", value).drop("_i", "_k", "_pi", "_pv", "_ni", "_nv")
+    """Linear in the position between the nearest known values; the ends take the nearest one.
+
+    Within ranges of the order, which know the positions and the known values around them from the ends of the other
+    ranges, so no task holds a whole key; frames only look back, as each row of one that looks ahead is a pass.
+    """
+    parts = df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
+    own = ["_part", *keys]
+    rows = kept(parts.withColumn("_l", F.row_number().over(Window.partitionBy(*own).orderBy(order))))
+    known = lambda at: F.when(F.col(col).isNotNull(), F.struct(at.alias("i"), F.col(col).alias("v")))
+    at = F.col("_l").cast("long")
+    ends = rows.groupBy(*own).agg(F.count("*").alias("_n"), F.min(known(at)).alias("_first"), F.max(known(at)).alias("_last"))
+    back = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_off", F.coalesce(F.sum("_n").over(back), F.lit(0)))
+    moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.i") + F.col("_off")).alias("i"), F.col(f"{c}.v").alias("v")))
+    ends = ends.withColumns({"_first": moved("_first"), "_last": moved("_last")})
+    ends = ends.withColumns({"_before": F.last("_last", True).over(back), "_after": F.last("_first", True).over(ahead)})
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(own)], "_off", "_before", "_after")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(own)]
+    rows = rows.join(ends, same).withColumn("_i", F.col("_l") + F.col("_off"))
+    w = Window.partitionBy(*own)
+    look = lambda *o: F.last(known(F.col("_i")), True).over(w.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"_p": F.coalesce(look("_l"), "_before"), "_q": F.coalesce(look(F.desc("_l")), "_after")})
+    between = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * (F.col("_i") - F.col("_p.i")) / (F.col("_q.i") - F.col("_p.i"))
+    value = F.when(F.col(col).isNotNull(), F.col(col)).when(F.col("_p").isNotNull() & F.col("_q").isNotNull(), between).otherwise(F.coalesce("_p.v", "_q.v"))
+    return rows.select(*df.columns, value.alias(f"{col}_filled"))
 
 
 def severity(z: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.stats import chi2_sf
 from ..functions.text import safe_name
+from ..session import kept
 from .profile import union_all
 from .series import seconds
 
@@ -90,13 +91,20 @@ def rank(df: DataFrame, candidates: list[str], ts: str, numeric: list[str], leas
 
 
 def interaction(df: DataFrame, a: str, b: str, col: str) -> DataFrame:
-    """Variance left by the cells of a x b over that left by the sum of both effects; below 0.9 they interact."""
+    """Variance left by the cells of a x b over that left by the sum of both effects; below 0.9 they interact.
+
+    Both come from the number, mean and spread of the values of each cell, so no rows are gathered by a or b.
+    """
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(col).isNotNull())
-    mean = lambda *k: F.avg(col).over(Window.partitionBy(*k))
-    one = rows.agg(F.avg(col).alias("_all"))
-    rows = rows.join(F.broadcast(one)).withColumns({"_a": mean(a), "_b": mean(b), "_ab": mean(a, b)})
-    rows = rows.withColumn("_add", F.col(col) - (F.col("_a") + F.col("_b") - F.col("_all"))).withColumn("_cross", F.col(col) - F.col("_ab"))
-    out = rows.agg(F.var_samp("_cross").alias("cross_var"), F.var_samp("_add").alias("additive_var"))
+    x = F.col(col).cast("double")
+    cells = kept(rows.groupBy(a, b).agg(F.count("*").alias("_n"), F.avg(x).alias("_m"), (F.var_pop(x) * F.count("*")).alias("_s")))
+    mean = lambda *k: cells.groupBy(*k).agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_m_" + "".join(k)))
+    cells = cells.join(mean(a), a).join(mean(b), b).join(F.broadcast(mean()))  # mean(): one row
+    cells = cells.withColumn("_off", F.col("_m") - (F.col(f"_m_{a}") + F.col(f"_m_{b}") - F.col("_m_")))
+    # Within a cell both remainders spread as the values do; those of the sum of effects are off by a constant besides.
+    sums = cells.agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"), F.sum(F.col("_n") * F.col("_off") * F.col("_off")).alias("o2"), F.sum(F.col("_n") * F.col("_off")).alias("o"))
+    var = lambda s: F.when(F.col("n") > 1, s / (F.col("n") - 1))
+    out = sums.select(var(F.col("s")).alias("cross_var"), var(F.col("s") + F.greatest(F.lit(0.0), F.col("o2") - F.col("o") * F.col("o") / F.col("n"))).alias("additive_var"))
     return out.withColumn("ratio", F.col("cross_var") / F.nullif("additive_var", F.lit(0.0))).withColumn("interacts", F.col("ratio") < 0.9)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.stats import chi2_sf
 from ..functions.text import safe_name
-from ..session import kept
+from ..session import kept, spread
 from .profile import union_all
 from .series import seconds
 
@@ -51,18 +51,19 @@ def size_share(df: DataFrame, seg: str, least: int) -> DataFrame:
 def kruskal(df: DataFrame, seg: str, cols: list[str]) -> DataFrame:
     """column, h, k, p: Kruskal-Wallis test of each number between segments of two rows or more.
 
-    Ranks come from the counts of distinct values. Their running count is taken within 4096 ranges
-    of values and over the ranges' totals, so no task orders all values.
+    Ranks come from the counts of distinct values, which are spread by value. Their running count is taken within
+    4096 ranges of values and over the ranges' totals, so no task orders all values.
     """
     parts = []
     for c in cols:
         rows = df.where(F.col(seg).isNotNull() & F.col(c).isNotNull()).select(F.col(seg).alias("_g"), F.col(c).cast("double").alias("_v"))
         sizes = rows.groupBy("_g").agg(F.count("*").alias("_n")).where("_n >= 2")
-        counts = rows.join(sizes.select("_g"), "_g", "left_semi").groupBy("_g", "_v").agg(F.count("*").alias("c"))
+        counts = spread(rows.join(sizes.select("_g"), "_g", "left_semi"), "_v").groupBy("_g", "_v").agg(F.count("*").alias("c"))
         values = counts.groupBy("_v").agg(F.sum("c").alias("t"))
         ends = values.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
         bins = values.join(F.broadcast(ends)).withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * 4096)).otherwise(0)).select("_v", "t", "_bin")  # ends has one row
+        bins = spread(bins, "_bin")
         inner = Window.partitionBy("_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
         before = bins.groupBy("_bin").agg(F.sum("t").alias("_bt")).withColumn("_before", F.coalesce(F.sum("_bt").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         ranks = bins.join(before.select("_bin", "_before"), "_bin").withColumn("rank", F.col("_before") + F.coalesce(F.sum("t").over(inner), F.lit(0)) + (F.col("t") + 1) / 2)

@@ -37,3 +37,8 @@ def test_interaction_from_cells(spark):
     assert segments.interaction(df.where("a = 'z'"), "a", "b", "v").first().cross_var is None
 
 
+def test_ranks_are_spread_by_value(spark):
+    df = spark.createDataFrame([("ab"[i % 2], float(i % 50)) for i in range(400)], "g string, v double")
+    assert plan_of(segments.kruskal(df, "g", ["v"])).count("RepartitionByExpression") >= 2
+
+

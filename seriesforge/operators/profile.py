@@ -5,12 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import fixed
-from ..session import kept
+from ..session import kept, spread
 
 #: Limits of the role rules.
 DISCRIMINATOR_MAX = 500
@@ -33,14 +35,47 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Distinct values of a column, by a sketch, up to which a task may hold those of its rows.
+FEW_VALUES = 20_000
+
+
+def distinct_counts(df: DataFrame, rough: dict[str, int]) -> DataFrame:
+    """column, n_distinct of columns, given about how many distinct values each has.
+
+    Columns of few values are counted in place. The values of the others are dealt out by hash before they are
+    counted, so a task holds a share of them and not all that its file has.
+    """
+    few, many = ([c for c, n in rough.items() if (n <= FEW_VALUES) == small] for small in (True, False))
+    kinds = dict(df.dtypes)
+
+    def text(c: str) -> Column:
+        if kinds[c] == "timestamp":
+            return F.unix_micros(c).cast("string")  # the clock may show two times alike
+        return ((F.col(c) + F.lit(0).cast(kinds[c])) if kinds[c] in ("float", "double") else F.col(c)).cast("string")  # -0.0 is 0.0
+
+    parts = []
+    if few:
+        counts = df.agg(*[F.count_distinct(c).alias(f"_{i}") for i, c in enumerate(few)])
+        parts.append(counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("n_distinct")) for i, c in enumerate(few)])).alias("s")).select("s.*"))
+    if many:
+        pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("v")) for c in many])).alias("s")).select("s.*").where("v is not null")
+        parts.append(spread(pairs, "column", "v").distinct().groupBy("column").agg(F.count("*").alias("n_distinct")))
+    return union_all(parts)
+
+
 def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
-    """column, kind, n, n_null, n_distinct of every column, in one pass.
+    """column, kind, n, n_null, n_distinct of every column.
 
-    ``exact=False`` counts distinct values by sketches, which spares the row expansion on wide or huge tables.
+    ``exact=False`` counts distinct values by sketches, in one pass.
     """
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    aggs = [F.struct(F.lit(f.name).alias("column"), F.lit(family(f.dataType)).alias("kind"), F.count("*").alias("n"), F.count_if(F.col(f.name).isNull()).alias("n_null"), distinct(F.col(f.name)).alias("n_distinct")) for f in df.schema if family(f.dataType) != "other"]
-    return df.agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)]).select(F.explode(F.array(*[f"_{i}" for i in range(len(aggs))])).alias("s")).select("s.*")
+    fields = [f for f in df.schema if family(f.dataType) != "other"]
+    aggs = [F.struct(F.lit(f.name).alias("column"), F.lit(family(f.dataType)).alias("kind"), F.count("*").alias("n"), F.count_if(F.col(f.name).isNull()).alias("n_null"), F.approx_count_distinct(F.col(f.name)).alias("n_distinct")) for f in fields]
+    once = df.agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)]).select(F.explode(F.array(*[f"_{i}" for i in range(len(aggs))])).alias("s")).select("s.*")
+    if not exact:
+        return once
+    rows = once.collect()  # a row for each column
+    known = df.sparkSession.createDataFrame([tuple(r)[:4] for r in rows], "column string, kind string, n long, n_null long")
+    return known.join(F.broadcast(distinct_counts(df, {r["column"]: r["n_distinct"] for r in rows})), "column")
 
 
 #: Distinct values around a median that the driver may hold for each column.
@@ -112,7 +147,20 @@ def value_stats(df: DataFrame) -> DataFrame:
 
 
 def samples(df: DataFrame, col: str, n: int = 10) -> DataFrame:
-    return df.where(F.col(col).isNotNull()).select(F.lit(col).alias("column"), F.col(col).cast("string").alias("value")).distinct().orderBy("value").limit(n)
+    """The first n distinct values of a column, as text; each task passes on the first of its own."""
+
+    def least(batches):
+        best: list[str] = []
+        for batch in batches:
+            found = batch.column(0)
+            if len(best) == n:
+                found = found.filter(pc.less(found, best[-1]))
+            if len(found):
+                best = sorted({*best, *found.unique().to_pylist()})[:n]
+        yield pa.RecordBatch.from_pydict({"value": pa.array(best, pa.string())})
+
+    first = df.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("value")).mapInArrow(least, "value string")
+    return first.distinct().orderBy("value").limit(n).select(F.lit(col).alias("column"), "value")
 
 
 def roles(df: DataFrame) -> DataFrame:

@@ -21,6 +21,30 @@ def mixed(spark, n=400):
     return spark.createDataFrame(rows, "id long, name string, z double, x double, at timestamp, flag boolean, none string")
 
 
+@pytest.mark.parametrize("few", [0, 100, 20_000])
+def test_distinct_counts_however_they_are_counted(spark, monkeypatch, few):
+    monkeypatch.setattr(profile, "FEW_VALUES", few)
+    df = mixed(spark)
+    want = {c: df.agg(F.count_distinct(c)).first()[0] for c in df.columns}
+    got = {r["column"]: r for r in profile.column_stats(df).collect()}
+    assert {c: r["n_distinct"] for c, r in got.items()} == want
+    assert got["none"]["n_null"] == 400 and got["z"]["n_null"] == 80 and got["id"]["kind"] == "int"
+    seen = {r["column"]: r for r in inspect.columns(df).collect()}
+    assert {c: r["n_distinct"] for c, r in seen.items()} == want and seen["id"]["max"] == "399" and seen["name"]["min"] == "n0"
+    if few == 100:
+        assert "count(distinct id" not in plan_of(profile.column_stats(df)) and "count(distinct id" not in plan_of(inspect.columns(df))
+
+
+def test_first_values_of_each_task(spark):
+    rng = random.Random(4)
+    values = [f"v{rng.randrange(500)}" for _ in range(3000)] + ["é", "Z", "", None]
+    df = spark.createDataFrame([(v,) for v in values], "c string").repartition(5)
+    want = sorted({v for v in values if v is not None}, key=lambda v: v.encode())
+    for n in (1, 5, 20):
+        assert [r.value for r in profile.samples(df, "c", n).orderBy("value").collect()] == want[:n]
+    assert profile.samples(df.where("c is null"), "c", 5).collect() == []
+
+
 def test_interaction_from_cells(spark):
     rng = random.Random(6)
     rows = [(a, b, 5.0 * (a == "p") + 3.0 * b + (9.0 if a == "p" and b == 2 else 0.0) + rng.random()) for a in "pqr" for b in range(4) for _ in range(rng.randrange(1, 30))]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.numbers import fixed
+from ..session import kept, spread
 from . import narratives
 
 #: Codes of grains and directions in the shape embedding.
@@ -125,19 +127,33 @@ def text_embedding(c: Column, size: int = 384) -> Column:
     """Signed hashed word counts, normalised: a stand-in for a text model, which callers can plug in instead."""
 
     def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = [0.0] * size
+        out = np.zeros((len(texts), size))
+        at: dict[str, tuple[int, float]] = {}
+        for v, t in zip(out, texts):
             for word in (t or "").lower().split():
-                h = zlib.crc32(word.encode())
-                v[h % size] += 1.0 if h >> 31 else -1.0
-            norm = sum(x * x for x in v) ** 0.5 or 1.0
-            out.append([x / norm for x in v])
-        return pd.Series(out)
+                if word not in at:
+                    h = zlib.crc32(word.encode())
+                    at[word] = (h % size, 1.0 if h >> 31 else -1.0)
+                i, sign = at[word]
+                v[i] += sign
+        norm = np.sqrt((out * out).sum(1, keepdims=True))
+        return pd.Series(list(out / np.where(norm == 0, 1.0, norm)))
 
     return pandas_udf(embed, "array<double>")(c)
 
 
+def nearest_texts(df: DataFrame, text: Column, query: str, k: int, id_col: str, embed=text_embedding) -> DataFrame:
+    """The k rows whose text is most like the query; every different text is embedded once."""
+    row = df.sparkSession.range(1).select(embed(F.lit(query)).alias("e")).first()
+    rows = df.withColumn("_text", F.coalesce(text, F.lit("")))
+    texts = kept(spread(rows.select("_text"), "_text").distinct())  # written, or the embedding would move before it
+    texts = spread(texts, "_text").withColumn("_e", embed(F.col("_text")))
+    likes = kept(texts.select("_text", cosine(F.col("_e"), F.array(*[F.lit(float(x)) for x in row[0]])).alias("similarity")).where("similarity is not null"))
+    last = likes.orderBy(F.desc("similarity")).limit(k).agg(F.min("similarity")).first()[0]  # k rows are as like as this
+    found = rows.join(likes.where(F.col("similarity") >= F.lit(last)), "_text")
+    return found.orderBy(F.desc("similarity"), id_col).limit(k).drop("_text")
+
+
 def clusters(df: DataFrame, vector: str, id_col: str, k: int, seed: int = 42, restarts: int = 10) -> DataFrame:
     """cluster, representative (the member nearest to the centre) and two principal components of each row.
 

@@ -95,6 +95,5 @@ def deviation_embedding(spark, sf_dir):
 
 @query()
 def text_search(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", rg.text_embedding(F.concat_ws(" ", "p_name", "p_type")).alias("e"))
-    row = spark.range(1).select(rg.text_embedding(F.lit("red steel")).alias("e")).first()
-    return rounded(rg.nearest(parts, "e", list(row[0]), 10, "p_partkey").select("p_partkey", "similarity"), 6)
+    found = rg.nearest_texts(table(spark, sf_dir, "part"), F.concat_ws(" ", "p_name", "p_type"), "red steel", 10, "p_partkey")
+    return rounded(found.select("p_partkey", "similarity"), 6)

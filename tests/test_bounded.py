@@ -66,3 +66,19 @@ def test_ranks_are_spread_by_value(spark):
     assert plan_of(segments.kruskal(df, "g", ["v"])).count("RepartitionByExpression") >= 2
 
 
+def test_copies_of_a_text_are_not_embedded_again(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(c):
+        @F.pandas_udf("array<double>")
+        def run(texts):
+            seen.add(len(texts))
+            return texts.map(lambda t: [float(len(t)), 1.0 + t.count("e"), 2.0])
+
+        return run(c)
+
+    rows = [(i, ["red", "green tree", "blue", None][i % 4]) for i in range(200)]
+    got = registry.nearest_texts(spark.createDataFrame(rows, "id int, t string"), F.col("t"), "red", 60, "id", embed).collect()
+    assert seen.value <= 20
+    assert [r.id for r in got[:50]] == list(range(0, 200, 4)) and len(got) == 60 and got[0].similarity == pytest.approx(1.0)
+    assert [r.id for r in got[50:]] == list(range(2, 42, 4))
